@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.llm.byte_bpe import op10_byte_bpe
+from orderloom.llm.sanitise import op3_pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pii": op3_pii,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
