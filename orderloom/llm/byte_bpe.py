@@ -144,14 +144,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     if (whole := ranks.get(piece)) is not None:
         return (whole,)
     n = len(piece)
-    if n <= 32:
-        parts = [piece[i : i + 1] for i in range(n)]
-        while len(parts) > 1:
-            least, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if least == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+    if n <= 64:
+        get, never = ranks.get, len(ranks) + (1 << 30)
+        starts = list(range(n + 1))
+        pairs = [get(piece[i : i + 2], never) for i in range(n - 1)]
+        while pairs and (least := min(pairs)) != never:
+            i = pairs.index(least)
+            del starts[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(piece[starts[i] : starts[i + 2]], never)
+            if i:
+                pairs[i - 1] = get(piece[starts[i - 1] : starts[i + 1]], never)
+        return tuple([ranks[piece[i:j]] for i, j in zip(starts, starts[1:])])
     end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
 
