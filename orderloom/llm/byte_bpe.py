@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import row_chunks, table, text_bytes
+from orderloom.llm.common import map_arrow, row_chunks, table, text_bytes
 
 LETTER, DIGIT, OTHER, BLANK, SPACE, SHORT, LONG = range(7)  # BLANK: U+0020; SHORT/LONG: apostrophe before a contraction of 1 or 2 letters
 IN_LETTERS, IN_DIGITS, IN_OTHER, AFTER_BLANK, AFTER_SPACE, ONE_LEFT, TWO_LEFT, DONE = range(8)
@@ -247,7 +247,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, pa.int32())))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], schema=schema)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, out)
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, out)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -274,7 +274,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                 texts += [joined[x:y] for x, y in zip(row, row[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.binary())], schema=pa.schema([batch.schema.field(0), batch.schema.field(1), pa.field("decoded", pa.binary())]))
 
-    return encoded.select(id_col, "token_ids").mapInArrow(run, out)
+    return map_arrow(encoded.select(id_col, "token_ids"), run, out)
 
 
 def default_path() -> str:

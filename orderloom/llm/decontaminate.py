@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import row_chunks, table, text_bytes
+from orderloom.llm.common import map_arrow, row_chunks, table, text_bytes
 
 SLICE_BYTES = 16 << 20
 #: Bytes that are not part of a word become blanks, A-Z become a-z.
@@ -59,7 +59,7 @@ def corpus_counts(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> dic
                 counts.update(filter(known.__contains__, words_of(b" ".join(data[starts[i] : starts[i + 1]].tobytes() for i in range(a, b)))))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in rows.toLocalIterator()}  # at most the slice's vocabulary
 
 
@@ -120,7 +120,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str
                 schema = pa.schema([*list(batch.schema)[: n_rest + 1], *(pa.field(f"__{n}", kind) for n, kind in PA_FOUND)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: n_rest + 1], *arrays], schema=schema)
 
-        rows = rows.mapInArrow(run, T.StructType([*rows.select(kept).schema]))
+        rows = map_arrow(rows, run, T.StructType([*rows.select(kept).schema]))
     covered = F.aggregate(
         F.array_sort(F.arrays_zip(F.col("__starts").alias("s"), F.col("__ends").alias("e"))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import table, text_bytes
+from orderloom.llm.common import map_arrow, table, text_bytes
 
 MIN_BLOCK = 3
 LENGTH = 64
@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = [fingerprint(data[a:b]) for a, b in zip(starts, starts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], schema=pa.schema([batch.schema.field(0), pa.field("fingerprint", pa.string())]))
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, out)
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, out)
 
 
 def likeness_col(a: str, b: str) -> Column:
@@ -213,7 +213,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *map(pa.array, columns, kinds)], names=out.names)
 
-    return beside_next(docs, id_col, text_col).mapInArrow(run, out)
+    return map_arrow(beside_next(docs, id_col, text_col), run, out)
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import row_chunks, stored, table, text_bytes
+from orderloom.llm.common import map_arrow, row_chunks, stored, table, text_bytes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SLICE_TERMS = 200_000
@@ -123,7 +123,7 @@ def pairs(docs: DataFrame, text_col: str, window: int) -> DataFrame:
                     met = contexts(text, spans, window)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([v for v, _ in met], [t for _, t in met])] + [pa.array(list(met.values()), pa.int64())], schema=schema)
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "value string, term string, context long")
+    return map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "value string, term string, context long")
 
 
 def slices(terms: DataFrame, size: int = 0) -> Iterator[list[tuple]]:
@@ -154,7 +154,7 @@ def document_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFra
             if counts:
                 yield pa.RecordBatch.from_pydict({"term": list(counts), "n": list(counts.values())})
 
-        part = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+        part = map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -200,7 +200,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 spans = [(base_spans(t) if held[i] else []) + term_spans(t, lexicon.value) for i, t in enumerate(texts, a)]
                 yield _rows(batch, a, b, spans, [rewritten(t, s, lexicon.value, remove_at) for t, s in zip(texts, spans)])
 
-    return base.mapInArrow(run, out)
+    return map_arrow(base, run, out)
 
 
 def term_spans(text: str, lexicon: dict[str, float]) -> list[tuple[str, int, int]]:
@@ -250,7 +250,7 @@ def _in_slices(base: DataFrame, lexicons: list[dict[str, float]], out: T.StructT
                     removed.append((gone or []) + [s for _, s, e in own if sent.value[text[s:e].lower()] >= remove_at])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, PA_SPANS), pa.array(removed, pa.list_(pa.int32()))], schema=pa.schema([batch.schema.field(0), batch.schema.field(1), pa.field("spans", PA_SPANS), pa.field("removed", pa.list_(pa.int32()))]))
 
-        rows = rows.mapInArrow(run, schema)
+        rows = map_arrow(rows, run, schema)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +261,7 @@ def _in_slices(base: DataFrame, lexicons: list[dict[str, float]], out: T.StructT
                 texts.append(rewritten(text, row, {text[s:e].lower(): 2.0 * (s in set(gone)) for k, s, e in row if k == "term"}, remove_at))
             yield _rows(batch, 0, len(spans), spans, texts)
 
-    return rows.mapInArrow(last, out)
+    return map_arrow(rows, last, out)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
