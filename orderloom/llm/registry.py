@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.llm.byte_bpe import op10_byte_bpe
 from orderloom.llm import decontaminate
+from orderloom.llm.fingerprint import op9_fingerprint
 from orderloom.llm.sanitise import op3_pii
 
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_pii": op3_pii,
+        "op9_fingerprint": op9_fingerprint,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
