@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from orderloom.llm.byte_bpe import op10_byte_bpe
 from orderloom.llm import decontaminate
 from orderloom.llm.fingerprint import op9_fingerprint
+from orderloom.llm.quality import op5_quality
 from orderloom.llm.sanitise import op3_pii
+from orderloom.llm.urls import op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_pii": op3_pii,
+        "op5_quality": op5_quality,
+        "op8_url_filter": op8_url_filter,
         "op9_fingerprint": op9_fingerprint,
         "op10_byte_bpe": op10_byte_bpe,
     }
