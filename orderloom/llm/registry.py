@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.llm.byte_bpe import op10_byte_bpe
-from orderloom.llm import decontaminate
+from orderloom.llm import decontaminate, line_dedup
 from orderloom.llm.fingerprint import op9_fingerprint
 from orderloom.llm.quality import op5_quality
 from orderloom.llm.sanitise import op3_pii
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_pii": op3_pii,
         "op5_quality": op5_quality,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_url_filter": op8_url_filter,
         "op9_fingerprint": op9_fingerprint,
         "op10_byte_bpe": op10_byte_bpe,
@@ -28,4 +29,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.ORACLE,
+        "op7_line_dedup": line_dedup.ORACLE,
     }
