@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm.byte_bpe import op10_byte_bpe
 from orderloom.llm import decontaminate, line_dedup
+from orderloom.llm.byte_bpe import op10_byte_bpe
 from orderloom.llm.fingerprint import op9_fingerprint
+from orderloom.llm.minhash import op6_minhash
 from orderloom.llm.quality import op5_quality
 from orderloom.llm.sanitise import op3_pii
 from orderloom.llm.urls import op8_url_filter
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_pii": op3_pii,
         "op5_quality": op5_quality,
+        "op6_minhash": op6_minhash,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_url_filter": op8_url_filter,
         "op9_fingerprint": op9_fingerprint,
@@ -29,5 +31,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.ORACLE,
+        "op6_minhash": op6_minhash,
         "op7_line_dedup": line_dedup.ORACLE,
     }
