@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orderloom.llm import decontaminate, line_dedup
 from orderloom.llm.byte_bpe import op10_byte_bpe
 from orderloom.llm.fingerprint import op9_fingerprint
+from orderloom.llm.lattice_lm import op1_lattice_lm
 from orderloom.llm.minhash import op6_minhash
 from orderloom.llm.quality import op5_quality
 from orderloom.llm.sanitise import op3_pii
@@ -17,6 +18,7 @@ from orderloom.llm.urls import op8_url_filter
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lattice_lm": op1_lattice_lm,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_pii": op3_pii,
         "op5_quality": op5_quality,
