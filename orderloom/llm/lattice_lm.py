@@ -4,7 +4,8 @@ A word's probability mixes its discounted count in the training texts with the p
 P(w) = (max(c - D, 0) + D V P_sub(w)) / N. P_sub sums over all segmentations of the word into pieces of an existing vocabulary: a
 log-space forward recursion over its bytes, a weight for each piece (apart for pieces that open a word), then a stop. The
 vocabulary's scores give an order only; Zipf's law makes them weights, and passes over the distinct training words move these to
-the expected piece counts. A text is its words and an end; its score is the sum of log10 P.
+the expected piece counts. A text is its words and an end, drawn from one of a few classes (languages of the training texts),
+whose own counts are discounted towards P in the same way; the class is not known, so a text's probability sums over them.
 
 Documents are cut into blocks where they are read: a block keeps its distinct words once, and for each document their places and
 counts. Words meet their totals by word, then go back by block; whole texts are never shuffled.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -161,51 +163,53 @@ def public_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pieces)
 
 
-BLOCKED = T.StructType([T.StructField("block", T.StringType()), T.StructField("word", T.BinaryType()), T.StructField("place", T.IntegerType()), T.StructField("count", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("places", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+def blocked_schema(classes: int) -> T.StructType:
+    kinds = {"block": "string", "word": "binary", "place": "int", **{f"c{k}": "long" for k in range(classes)}, "doc": "long", "kind": "int", "held_out": "boolean", "places": "binary", "counts": "binary", "n_tokens": "long"}
+    return T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in kinds.items()))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """docs (doc, text, held_out) as blocks: a row for each distinct word (word, place, count in training texts), and a row for
-    each document (places and counts of its words)."""
-    kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
-    schema = pa.schema([pa.field(f.name, k) for f, k in zip(BLOCKED, kinds)])
+def blocks(docs: DataFrame, classes: int) -> DataFrame:
+    """docs (doc, text, held_out, kind) as blocks: a row for each distinct word (word, place, counts in training texts of each
+    class), and a row for each document (places and counts of its words)."""
+    out = blocked_schema(classes)
+    kinds = [{"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in out]
+    schema = pa.schema([pa.field(f.name, k) for f, k in zip(out, kinds)])
+    first_doc = 3 + classes
 
     def flushed(place: dict, counts: np.ndarray, bags: list) -> Iterator[pa.RecordBatch]:
-        name, n = os.urandom(12).hex(), len(place)
-        none = lambda k, m: pa.nulls(m, k)
-        words = list(place)
+        name, n, words = os.urandom(12).hex(), len(place), list(place)
         for a in range(0, n, WORDS_AT_ONCE):
             m = min(n, a + WORDS_AT_ONCE) - a
-            yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array(words[a : a + m], pa.binary()), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array(counts[a : a + m]), *(none(k, m) for k in kinds[4:])], schema=schema)
-        doc, held, places, numbers, tokens = zip(*bags)
+            own = [pa.array(np.ascontiguousarray(counts[a : a + m, k])) for k in range(classes)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array(words[a : a + m], pa.binary()), pa.array(np.arange(a, a + m, dtype=np.int32)), *own, *(pa.nulls(m, k) for k in kinds[first_doc:])], schema=schema)
         m = len(bags)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * m), *(none(k, m) for k in kinds[1:4]), pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(places, pa.binary()), pa.array(numbers, pa.binary()), pa.array(tokens, pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * m), *(pa.nulls(m, k) for k in kinds[1:first_doc]), *map(pa.array, map(list, zip(*bags)), kinds[first_doc:])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[bytes, int] = {}
-        trained, bags, size = np.zeros(1 << 16, np.int64), [], 0
+        trained, bags, size = np.zeros((1 << 16, classes), np.int64), [], 0
         for batch in batches:
             data, starts = text_bytes(batch.column(1))
-            for i, (doc, held) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            for i, (doc, held, kind) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)))):
                 words = data[starts[i] : starts[i + 1]].tobytes().lower().split()
                 bag = Counter(words)
                 places = np.array([place.setdefault(w, len(place)) for w in bag], np.int32)
                 counts = np.fromiter(bag.values(), np.int32, len(bag))
                 if len(place) > len(trained):
-                    trained = np.concatenate([trained, np.zeros(len(place), np.int64)])
+                    trained = np.concatenate([trained, np.zeros((len(place), classes), np.int64)])
                 if not held:
-                    trained[places] += counts
+                    trained[places, kind] += counts
                 order = np.argsort(places)
-                bags.append((doc, held, np.diff(places[order], prepend=np.int32(0)).astype(np.int32).tobytes(), counts[order].tobytes(), len(words) + 1))
+                bags.append((doc, kind, held, np.diff(places[order], prepend=np.int32(0)).astype(np.int32).tobytes(), counts[order].tobytes(), len(words) + 1))
                 size += int(starts[i + 1] - starts[i])
                 if size >= BLOCK_BYTES:
                     yield from flushed(place, trained[: len(place)], bags)
                     place, bags, size = {}, [], 0
-                    trained = np.zeros(1 << 16, np.int64)
+                    trained = np.zeros((1 << 16, classes), np.int64)
         if bags:
             yield from flushed(place, trained[: len(place)], bags)
 
-    return map_arrow(docs.select("doc", "text", "held_out"), run, BLOCKED)
+    return map_arrow(docs.select("doc", "text", "held_out", "kind"), run, out)
 
 
 def piece_counts(words: DataFrame, sent, weights: np.ndarray) -> np.ndarray:
@@ -229,88 +233,123 @@ def piece_counts(words: DataFrame, sent, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-SCORED = "block string, places binary, counts binary, scores binary"
+class Totals(NamedTuple):
+    """Training tokens, ends among them, distinct words, discount."""
 
+    n: int
+    ends: int
+    v: int
+    discount: float
 
-def block_scores(words: DataFrame, sent, weights: np.ndarray, n: int, v: int, discount: float) -> DataFrame:
-    """For each block, what its words' totals and log10 probabilities are, packed."""
+
+def totals_of(row, ends: int, k: str) -> Totals:
+    one, two = row[f"one{k}"], row[f"two{k}"]
+    return Totals((row[f"n{k}"] or 0) + ends, ends, row[f"v{k}"], one / (one + 2 * two) if one and two else 0.5)
+
+
+def log10_of_words(counts: np.ndarray, sub: np.ndarray, whole: Totals, parts: list[Totals]) -> np.ndarray:
+    """log10 P of words in each class, from counts (words x classes) and natural logarithms of P_sub."""
+    c = counts.sum(1)
+    with np.errstate(divide="ignore"):
+        if whole.n == 0:
+            base = sub + np.log(0.5)
+        else:
+            base = np.logaddexp(np.log(np.maximum(c - whole.discount, 0)), np.log(whole.discount * whole.v) + sub) - np.log(whole.n)
+        words_only = base - np.log((whole.n - whole.ends) / whole.n if whole.n > whole.ends else 0.5 if whole.n == 0 else 1.0)
+        out = np.empty(counts.shape)
+        for k, part in enumerate(parts):
+            if part.v == 0:
+                out[:, k] = base
+            else:
+                out[:, k] = np.logaddexp(np.log(np.maximum(counts[:, k] - part.discount, 0)), np.log(part.discount * part.v) + words_only) - np.log(part.n)
+    return out / np.log(10)
+
+
+def block_scores(words: DataFrame, sent, weights: np.ndarray, whole: Totals, parts: list[Totals]) -> DataFrame:
+    """For each block, its words' training counts and log10 probabilities in each class, packed."""
+    m = len(parts)
 
     def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(held)
-        c = part.column(1).to_numpy().astype(np.float64)
-        sub = np.exp(word_scores(part.column(0).to_pylist(), sent.value, weights))
-        with np.errstate(divide="ignore"):
-            score = np.log10((np.maximum(c - discount, 0) + discount * v * sub) / n) if n else np.log10(sub / 2)
-        if not np.isfinite(score).all():  # beyond doubles: in logarithms
-            low = ~np.isfinite(score)
-            score[low] = word_scores([w for w, x in zip(part.column(0).to_pylist(), low) if x], sent.value, weights) / np.log(10) + (np.log10(discount * v / n) if n else np.log10(0.5))
-        sizes = pc.list_value_length(part.column(2)).to_numpy()
-        row = np.repeat(np.arange(len(c)), sizes)
-        names, name = np.unique(np.array(pc.list_flatten(part.column(2)).to_pylist(), object), return_inverse=True)
-        place = pc.list_flatten(part.column(3)).to_numpy()
+        counts = np.stack([part.column(3 + k).to_numpy() for k in range(m)], 1)
+        score = log10_of_words(counts.astype(np.float64), word_scores(part.column(0).to_pylist(), sent.value, weights), whole, parts).astype(np.float32)
+        c = counts.sum(1)
+        row = np.repeat(np.arange(len(c)), pc.list_value_length(part.column(1)).to_numpy())
+        code = pc.list_flatten(part.column(1)).combine_chunks().dictionary_encode()
+        name, place = code.indices.to_numpy(), pc.list_flatten(part.column(2)).to_numpy()
         order = np.argsort(name, kind="stable")
-        cuts = np.searchsorted(name[order], np.arange(len(names) + 1))
-        out = [[], [], [], []]
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            at = order[a:b]
-            for column, value in zip(out, (names[k], place[at].astype(np.int32).tobytes(), c[row[at]].astype(np.int64).tobytes(), score[row[at]].astype(np.float32).tobytes())):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "places", "counts", "scores"])
+        cuts = np.searchsorted(name[order], np.arange(len(code.dictionary) + 1))
+        own = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+        out = [[place[at].astype(np.int32).tobytes() for at in own], [c[row[at]].astype(np.int64).tobytes() for at in own], [score[row[at]].tobytes() for at in own]]
+        yield pa.RecordBatch.from_arrays([code.dictionary, *(pa.array(x, pa.binary()) for x in out)], names=["block", "places", "counts", "scores"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, entries = [], 0
         for batch in batches:
             held.append(batch)
-            entries += len(batch.column(2).flatten())
+            entries += len(batch.column(1).flatten())
             if entries >= ENTRIES_AT_ONCE:
                 yield from packed(held)
                 held, entries = [], 0
         if held:
             yield from packed(held)
 
-    return map_arrow(words.select("word", "c", "blocks", "places"), run, SCORED)
+    return map_arrow(words.select("word", "blocks", "places", *(f"c{k}" for k in range(m))), run, "block string, places binary, counts binary, scores binary")
 
 
-def scored(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, passes: int = 2) -> DataFrame:
+def scored(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, folds: int = 7, fold: int = 2, passes: int = 2, most_classes: int = 6) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
-    Null texts are empty: an end alone. Repeated rows count and score as often as they come. Null ids hash as the empty text.
-    With no training texts the base of every token is 0 and words have half the lattice's probability, the end the other half.
-    An empty table gives an empty one. Other columns are left out, whatever their names."""
+    The commonest values of class_col among training texts are classes, the others (and null) one more; scores do not see the
+    column. Null texts are empty: an end alone. Repeated rows count and score as often as they come. Null ids hash as the
+    empty text. With no training texts the base of every token is 0 and words have half the lattice's probability, the end the
+    other half. An empty table gives an empty one. Other columns are left out, whatever their names."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), held_out(id_col, folds, fold).alias("held_out"))
-    cut = stored(blocks(rows), "blocks")
-    words = cut.filter("word is not null").groupBy("word").agg(F.sum("count").alias("c"), F.collect_list(F.struct("block", "place")).alias("at"))
-    words = stored(words.select("word", "c", F.col("at.block").alias("blocks"), F.col("at.place").alias("places")), "words")
+    held = held_out(id_col, folds, fold)
+    names: list = []
+    kind = F.lit(0)
+    if class_col:
+        names = [r[0] for r in docs.filter(~held).filter(F.col(class_col).isNotNull()).groupBy(F.col(class_col).cast("string").alias("k")).count().orderBy(F.desc("count"), "k").limit(most_classes).collect()]
+        for k, name in enumerate(names, 1):
+            kind = F.when(F.col(class_col).cast("string") == name, k).otherwise(kind)
+    m = len(names) + 1
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"), kind.cast("int").alias("kind"))
+    cut = stored(blocks(rows, m), "blocks")
+    each = [f"c{k}" for k in range(m)]
+    words = cut.filter("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in each), F.collect_list(F.struct("block", "place")).alias("at"))
+    words = stored(words.select("word", *each, sum(map(F.col, each), F.lit(0)).alias("c"), F.col("at.block").alias("blocks"), F.col("at.place").alias("places")), "words")
     bags = cut.filter("word is null")
-    ends = bags.filter("not held_out").count()
-    totals = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
-    n, v = (totals.n or 0) + ends, totals.v + (ends > 0)
-    discount = totals.one / (totals.one + 2 * totals.two) if totals.one and totals.two else 0.5
+    ends = dict.fromkeys(range(m), 0) | {r.kind: r["count"] for r in bags.filter("not held_out").groupBy("kind").count().collect()}
+    found = words.agg(*(f(F.col(c)).alias(f"{name}{c}") for c in ("c", *each) for name, f in (("n", F.sum), ("v", lambda c: F.count_if(c > 0)), ("one", lambda c: F.count_if(c == 1)), ("two", lambda c: F.count_if(c == 2))))).first()
+    whole, parts = totals_of(found, sum(ends.values()), "c"), [totals_of(found, ends[k], f"c{k}") for k in range(m)]
     sent = spark.sparkContext.broadcast(vocabulary)
     weights = vocabulary.weights
     for _ in range(passes):
         weights = vocabulary.moved(piece_counts(words, sent, weights), 100.0)
-    end_score = float(np.log10(ends / n)) if ends else float(np.log10(0.5))
-    unit = float(np.log10(n + v + 1))
+    n = whole.n
+    unit, known_end = float(np.log10(n + whole.v + (whole.ends > 0) + 1)), whole.ends > 0
+    end_base = float(np.log10(whole.ends + 1.0)) - unit
+    of_end = np.array([np.log10((p.ends or 0.5) / p.n) if p.n else -np.inf if n else np.log10(0.5) for p in parts])
+    share = np.array([p.ends for p in parts], float)
+    prior = np.log10(np.maximum(share / share.sum(), 1e-300)) if share.any() else np.log10(np.full(m, 1 / m))
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         size = sum(len(x) // 4 for x in right.column("places").to_pylist())
-        c, s = np.zeros(size, np.int64), np.zeros(size)
+        c, s = np.zeros(size, np.int64), np.zeros((size, m), np.float32)
         for p, x, y in zip(*(right.column(k).to_pylist() for k in ("places", "counts", "scores"))):
             at = np.frombuffer(p, np.int32)
-            c[at], s[at] = np.frombuffer(x, np.int64), np.frombuffer(y, np.float32)
+            c[at], s[at] = np.frombuffer(x, np.int64), np.frombuffer(y, np.float32).reshape(-1, m)
         base = np.log10(c + 1.0) - unit
-        out = [[], [], []]
+        out: list[list] = [[], [], []]
         for p, k in zip(left.column("places").to_pylist(), left.column("counts").to_pylist()):
             at, times = np.cumsum(np.frombuffer(p, np.int32)), np.frombuffer(k, np.int32).astype(np.int64)
-            out[0].append(int(times[c[at] > 0].sum()) + (ends > 0))
-            out[1].append(float((base[at] * times).sum()) + float(np.log10(ends + 1.0)) - unit)
-            out[2].append(float((s[at] * times).sum()) + end_score)
-        m = len(out[0])
-        return pa.table([left.column("doc"), left.column("held_out"), left.column("n_tokens"), pa.array(out[0], pa.int64()), pa.array([n] * m, pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            ways = times @ s[at].astype(np.float64) + of_end + prior
+            out[0].append(int(times[c[at] > 0].sum()) + known_end)
+            out[1].append(float((base[at] * times).sum()) + end_base)
+            out[2].append(float(ways.max() + np.log10((10 ** (ways - ways.max())).sum())))
+        return pa.table([left.column("doc"), left.column("held_out"), left.column("n_tokens"), pa.array(out[0], pa.int64()), pa.array([n] * len(out[0]), pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    per_block = block_scores(words, sent, weights, n, v - (ends > 0), discount).groupBy("block")
+    per_block = block_scores(words, sent, weights, whole, parts).groupBy("block")
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return bags.select("block", "doc", "held_out", "n_tokens", "places", "counts").groupBy("block").cogroup(per_block).applyInArrow(joined, schema)
 
@@ -318,4 +357,4 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return scored(table(spark, sf_dir, "documents"), public_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    return scored(table(spark, sf_dir, "documents"), public_vocabulary(public_tokenizers.path("piece_bpe_32k.model")), class_col="lang")

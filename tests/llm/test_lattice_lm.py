@@ -58,23 +58,37 @@ def test_weights_are_probabilities():
     assert np.exp(L.word_scores(two, V, V.weights)).sum() + np.exp(L.word_scores(one, V, V.weights)).sum() < 1
 
 
-def brute(rows, vocabulary):
+def discount(c):
+    one, two = (sum(x == k for x in c.values()) for k in (1, 2))
+    return one / (one + 2 * two) if one and two else 0.5
+
+
+def brute(rows, vocabulary, classes=None):
+    """rows: (id, text, class)"""
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-    docs = [(i, lower(t).encode().split(), zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2) for i, t in rows]
-    c = Counter(w for _, ws, held in docs if not held for w in ws)
-    ends = sum(not held for _, _, held in docs)
+    docs = [(i, lower(t).encode().split(), zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2, k) for i, t, k in rows]
+    train = [d for d in docs if not d[2]]
+    c = Counter(w for d in train for w in d[1])
+    ends = len(train)
     n, v = sum(c.values()) + ends, len(c) + (ends > 0)
-    one, two = (sum(x == k for x in c.values()) for k in (1, 2))
-    d = one / (one + 2 * two) if one and two else 0.5
-    known = [w for w in sorted(c)]
     weights = vocabulary.weights
     for _ in range(2):
-        weights = vocabulary.moved(L.expected_counts(known, vocabulary, weights), 100.0)
+        weights = vocabulary.moved(L.expected_counts(sorted(c), vocabulary, weights), 100.0)
+    every = sorted({w for d in docs for w in d[1]})
+    sub = dict(zip(every, np.exp(L.word_scores(every, vocabulary, weights)) if every else []))
+    p = {w: (max(c[w] - discount(c), 0) + discount(c) * len(c) * sub[w]) / n if n else sub[w] / 2 for w in every}
+    models = []
+    for k in classes or [None]:
+        own = [d for d in train if not classes or d[3] == k]
+        cz = Counter(w for d in own for w in d[1])
+        nz = sum(cz.values()) + len(own)
+        pz = {w: (max(cz[w] - discount(cz), 0) + discount(cz) * len(cz) * p[w] * n / (n - ends)) / nz if cz else p[w] for w in every}
+        models.append((len(own) / max(1, ends) if n else 1.0, pz, len(own) / nz if nz else 0.5))
     out = []
-    for i, ws, held in docs:
+    for i, ws, held, _ in docs:
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws) + math.log10((ends + 1) / (n + v + 1))
-        sub = np.exp(L.word_scores(ws, vocabulary, weights)) if ws else []
-        score = sum(math.log10((max(c[w] - d, 0) + d * len(c) * p) / n if n else p / 2) for w, p in zip(ws, sub)) + math.log10(ends / n if ends else 0.5)
+        ways = [math.log10(share) + math.log10(e) + sum(math.log10(pz[w]) for w in ws) for share, pz, e in models if share]
+        score = max(ways) + math.log10(sum(10 ** (x - max(ways)) for x in ways))
         out.append((i, held, len(ws) + 1, sum(c[w] > 0 for w in ws) + (ends > 0), n, base, score))
     return out
 
@@ -87,18 +101,22 @@ def same(got, want):
 
 def test_scores_against_brute_force(spark, monkeypatch):
     vocab = ["".join(R.choices("abcé", k=R.randint(1, 7))) for _ in range(60)]
-    rows = [(i, " ".join(R.choice(vocab) if R.random() < 0.9 else "".join(R.choices("abcxyz", k=6)) for _ in range(R.randint(0, 40)))) for i in range(80)]
-    rows += [(200, None), (None, "A b\tc\n"), (3, rows[3][1]), (201, "x" * 3000), (202, "ab " * 20_000)]
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, word string, block int").repartition(3)
-    want = brute(rows, V)
+    rows = [(i, " ".join(R.choice(vocab[:40] if i % 3 else vocab[20:]) if R.random() < 0.9 else "".join(R.choices("abcxyz", k=6)) for _ in range(R.randint(0, 40))), "xy"[i % 3 > 0]) for i in range(80)]
+    rows += [(200, None, "x"), (None, "A b\tc\n", None), (3, rows[3][1], "y"), (201, "x" * 3000, "y"), (202, "ab " * 20_000, "z")]
+    docs = spark.createDataFrame([(i, t, k, 1) for i, t, k in rows], "doc_id long, text string, word string, block int").repartition(3)
+    want, by_class = brute(rows, V), brute(rows, V, [None, "x", "y", "z"])
     same([tuple(r) for r in L.scored(docs, V).collect()], want)
+    same([tuple(r) for r in L.scored(docs, V, class_col="word").collect()], by_class)
     monkeypatch.setattr(L, "BLOCK_BYTES", 300)
     monkeypatch.setattr(L, "ENTRIES_AT_ONCE", 50)
-    same([tuple(r) for r in L.scored(docs, V).collect()], want)
+    same([tuple(r) for r in L.scored(docs, V, class_col="word").collect()], by_class)
 
 
 def test_edges(spark):
-    assert L.scored(spark.createDataFrame([], "doc_id long, text string"), V).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert L.scored(empty, V, class_col="lang").count() == 0
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
-    rows = [(i, "abc é") for i in held]
-    same([tuple(r) for r in L.scored(spark.createDataFrame(rows, "doc_id long, text string"), V).collect()], brute(rows, V))
+    rows = [(i, "abc é", "x") for i in held]
+    same([tuple(r) for r in L.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), V, class_col="lang").collect()], brute(rows, V))
+    rows = [(i, None, "x") for i in range(9)]
+    same([tuple(r) for r in L.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), V, class_col="lang").collect()], brute(rows, V))
