@@ -13,6 +13,7 @@ from orderloom.llm.lattice_lm import op1_lattice_lm
 from orderloom.llm.minhash import op6_minhash
 from orderloom.llm.quality import op5_quality
 from orderloom.llm.sanitise import op3_pii
+from orderloom.llm.suffix_dedup import op4_suffix_dedup
 from orderloom.llm.urls import op8_url_filter
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lattice_lm": op1_lattice_lm,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_pii": op3_pii,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality": op5_quality,
         "op6_minhash": op6_minhash,
         "op7_line_dedup": line_dedup.op7_line_dedup,
