@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.plans import diffs
+from orderloom.plans import diffs, sequences
 
-GROUPS = [diffs]
+GROUPS = [diffs, sequences]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
