@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.plans import diffs, sequences
+from orderloom.plans import diffs, sequences, streams, texts
 
-GROUPS = [diffs, sequences]
+GROUPS = [diffs, sequences, texts, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
