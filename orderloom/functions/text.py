@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ TYPE = r"\s+([LCN])\s*$"
 LEAD = r"^\s*(?:ITEM\s*)?\(?(\d{1,3})\)?\s*(?:[.):]|-(?=\s))?\s+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold(text: Column) -> Column:
     """Accented Latin letters without their accents; combining marks go."""
     return F.regexp_replace(F.translate(text, "".join(_FOLDED), "".join(_FOLDED.values())), r"\p{M}", "")
@@ -54,16 +60,18 @@ def normalize(raw: Column, strip_columns: bool = True, abbreviations: dict[str,
     points stay within numbers."""
     text = F.upper(fold(F.trim(F.coalesce(raw, F.lit("")))))
     if strip_columns:
-        text = split_type(split_price(split_lead(text)["text"])["text"])["text"]
+        text = let(text, lambda t: let(split_lead(t)["text"], lambda u: let(split_price(u)["text"], lambda v: split_type(v)["text"])))
     known = F.create_map(*(F.lit(x) for pair in (ABBREVIATIONS if abbreviations is None else abbreviations).items() for x in pair))
 
     def token(tok: Column) -> Column:
-        bare = F.regexp_replace(tok, r"^[.,;:()\[\]]+|[.,;:()\[\]]+$", "")
+        return let(F.regexp_replace(tok, r"^[.,;:()\[\]]+|[.,;:()\[\]]+$", ""), lambda bare: written_out(tok, bare))
+
+    def written_out(tok: Column, bare: Column) -> Column:
         steel = F.coalesce(F.nullif(F.regexp_extract(bare, r"^T?(\d{3}L?)(?:SST?|SS)$", 1), F.lit("")), F.nullif(F.regexp_extract(bare, r"^(?:SST?|STAINLESS)(304L?|316L?)$", 1), F.lit("")))
         return (
             F.when(bare == "NAN", F.lit(""))
-            .when(F.try_element_at(known, bare).isNotNull(), F.try_element_at(known, bare))
-            .when(steel.isNotNull(), F.concat(steel, F.lit(" STAINLESS STEEL")))
+            .when(F.map_contains_key(known, bare), F.try_element_at(known, bare))
+            .when(bare.rlike("^T?\\d{3}L?SS|^SS|^STAINLESS") & steel.isNotNull(), F.concat(steel, F.lit(" STAINLESS STEEL")))
             .when(bare.startswith("W/") & (F.length(bare) > 2), F.concat(F.lit("WITH "), F.substr(bare, F.lit(3))))
             .otherwise(tok)
         )
