@@ -7,7 +7,7 @@ at similarity 0.75 a pair shares no band with probability (1 - 0.75^ROWS)^BANDS,
 Documents with the same shingle set are one class. Within a bucket (classes that share a band) every class is compared with
 one hub, the class whose buckets hold most, so a bucket of n classes gives n - 1 comparisons, not n(n - 1) / 2. What is linked
 so is one component. Then the members of different components that share a bucket are compared, save those that an exact bound
-rules out: shingles that no other candidate has cannot be shared, so |x & y| <= min(m_x, m_y), m the count of the others.
+rules out: shingles that no other candidate has cannot be shared, and of the others, those in the hub's set only within it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,22 +131,23 @@ def sets_of(chosen: DataFrame, width: int) -> DataFrame:
     return map_arrow(chosen.select("id", "text", "same"), run, "id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, their set sizes and the size of their intersection."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     out = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            both = [len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(batch.column(2), batch.column(3))]
+            sizes = [pc.list_value_length(batch.column(k)).cast(pa.int64()) for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.array(both, pa.int64())], names=["a", "b", "n_a", "n_b", "shared"])
 
-    return map_arrow(out.select("a", "b", "x", "y"), run, "a long, b long")
+    return map_arrow(out.select("a", "b", "x", "y"), run, "a long, b long, n_a long, n_b long, shared long")
+
+
+def linking(tested: DataFrame, percent: int) -> DataFrame:
+    return tested.filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -170,33 +172,48 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(roots, nodes["id"] == roots["u"], "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def close(a: str, b: str, percent: int, overlap: str | None = None) -> Column:
-    """Whether the sizes (and a bound on the overlap) allow the similarity."""
-    most = F.least(f"{a}.n", f"{b}.n") if overlap is None else F.least(f"{a}.{overlap}", f"{b}.{overlap}")
+def close(most: Column, a: str, b: str, percent: int) -> Column:
+    """Whether an overlap of at most `most` allows the similarity."""
     return F.lit(100) * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
 
 
-def hub_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every class of a bucket with the bucket's hub."""
+def hubs_of(buckets: DataFrame) -> DataFrame:
+    """key, hub, and the hub's n, of each bucket: the class whose buckets hold most."""
     weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
-    weighted = buckets.join(weight, "id")
-    hubs = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("order"), "id", "n")).alias("h")).select("key", "h.id", "h.n")
-    near = buckets.alias("x").join(hubs.alias("h"), "key").filter((F.col("x.id") != F.col("h.id")) & close("x", "h", percent))
-    return near.select(F.greatest("x.id", "h.id").alias("a"), F.least("x.id", "h.id").alias("b")).distinct()
+    best = F.max(F.struct("weight", (-F.col("id")).alias("order"), "id", "n")).alias("h")
+    return buckets.join(weight, "id").groupBy("key").agg(best).select("key", F.col("h.id").alias("hub"), "h.n")
+
+
+def hub_pairs(buckets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every class of a bucket with the bucket's hub."""
+    near = buckets.alias("x").join(hubs.alias("h"), "key").filter((F.col("x.id") != F.col("h.hub")) & close(F.least("x.n", "h.n"), "x", "h", percent))
+    return near.select(F.greatest("x.id", "h.hub").alias("a"), F.least("x.id", "h.hub").alias("b")).distinct()
+
 
+def rest_pairs(buckets: DataFrame, hubs: DataFrame, tested: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what shares a bucket across components, once, but for pairs that cannot overlap enough.
 
-def rest_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): what shares a bucket across components, but for pairs that their sets' sizes and unshared shingles rule out."""
+    m is how many of a set's shingles some other candidate has too, h how many the bucket's hub has. What two sets share lies
+    within the hub, at most min(h, h'), or beside it, at most min(m - h, m' - h')."""
     owned = buckets.select("key", "id", "n").join(comps, "id")
     mixed_keys = owned.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
     open_ = stored(owned.join(mixed_keys, "key"), "open-buckets")
     alone = sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
     alone = alone.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("unshared"))
     bound = open_.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("unshared", F.lit(0))).filter(100 * F.col("m") >= percent * F.col("n")).select("key", "id", "n", "m", "comp")
-    bound = stored(bound, "bounded-buckets")
+    with_hub = tested.select(F.col("a").alias("id"), F.col("b").alias("hub"), "shared").unionByName(tested.select(F.col("b").alias("id"), F.col("a").alias("hub"), "shared"))
+    bound = bound.join(hubs.select("key", "hub"), "key").join(with_hub, ["id", "hub"], "left")
+    # not compared with the hub (sizes too different): any part of m may lie within it or beside it
+    inside = F.when(F.col("id") == F.col("hub"), F.col("m")).otherwise(F.coalesce("shared", "m"))
+    beside = F.when(F.col("id") == F.col("hub"), F.lit(0)).otherwise(F.coalesce(F.col("m") - F.col("shared"), F.col("m")))
+    keys = bound.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most BANDS
+    bound = stored(bound.select("key", "id", "n", "m", "comp", inside.alias("inside"), beside.alias("beside")).join(keys, "id"), "bounded-buckets")
     main = bound.groupBy("key", "comp").agg(F.count("*").alias("members")).groupBy("key").agg(F.max(F.struct("members", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
     few = bound.join(main, "key").filter("comp <> main")
-    pairs = few.alias("x").join(bound.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & close("x", "y", percent, "m"))
+    most = F.least("x.m", "y.m", F.least("x.inside", "y.inside") + F.least("x.beside", "y.beside"))
+    first = F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")
+    either = (F.col("y.comp") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))
+    pairs = few.alias("x").join(bound.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & close(most, "x", "y", percent) & either & first)
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
@@ -215,14 +232,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     buckets = stored(heads.join(sizes, "key"), "buckets")
     chosen = buckets.groupBy("id").agg(F.first("same").alias("same"))
     sets = stored(sets_of(base.join(chosen, "id"), width), "sets")
-    links = stored(confirmed(hub_pairs(buckets, percent), sets, percent), "links")
-    nodes = stored(chosen.select("id"), "nodes")
-    more = stored(confirmed(rest_pairs(buckets, stored(components(links, nodes), "comps"), sets, percent), sets, percent), "links")
+    hubs = stored(hubs_of(buckets), "hubs")
+    tested = stored(overlaps(hub_pairs(buckets, hubs, percent), sets), "tested")
+    links, nodes = linking(tested, percent), stored(chosen.select("id"), "nodes")
+    rest = rest_pairs(buckets, hubs, tested, stored(components(links, nodes), "comps"), sets, percent)
+    more = stored(linking(overlaps(rest, sets), percent), "links")
     comps = components(links.unionByName(more), nodes)
     of_class = classes.join(comps, "id", "left").select("same", F.coalesce("comp", "id").alias("comp"))
     with_class = known.select("id", "n", "same").join(of_class, "same", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))
-    rest = found.filter("id is null or n = 0").select("id", "n", F.col("id").alias("comp"))
-    return with_class.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
+    alone = found.filter("id is null or n = 0").select("id", "n", F.col("id").alias("comp"))
+    return with_class.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
