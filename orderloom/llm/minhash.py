@@ -252,3 +252,26 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that are linked with a document of lesser id."""
     gone = linked(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS s FROM w
+), classes AS (
+  SELECT s, min(doc_id) AS id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), sh AS (
+  SELECT id, n, unnest(s) AS s FROM classes
+), pairs AS (
+  SELECT a.id AS a, b.id AS b, a.n + b.n AS total, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.id <> b.id GROUP BY 1, 2, 3
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * shared >= 75 * (total - shared)
+), reach(id, comp) AS (
+  SELECT id, id FROM classes UNION SELECT links.b, reach.comp FROM reach JOIN links ON links.a = reach.id
+), comps AS (
+  SELECT id, min(comp) AS comp FROM reach GROUP BY 1
+)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, CAST(coalesce(comp, sets.doc_id) AS BIGINT) AS component_id, coalesce(comp, sets.doc_id) = sets.doc_id AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN comps ON comps.id = classes.id
+"""

@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import decontaminate, line_dedup
+from orderloom.llm import decontaminate, line_dedup, minhash
 from orderloom.llm.byte_bpe import op10_byte_bpe
 from orderloom.llm.fingerprint import op9_fingerprint
 from orderloom.llm.lattice_lm import op1_lattice_lm
-from orderloom.llm.minhash import op6_minhash
 from orderloom.llm.quality import op5_quality
 from orderloom.llm.sanitise import op3_pii
 from orderloom.llm.suffix_dedup import op4_suffix_dedup
@@ -24,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality": op5_quality,
-        "op6_minhash": op6_minhash,
+        "op6_minhash": minhash.op6_minhash,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_url_filter": op8_url_filter,
         "op9_fingerprint": op9_fingerprint,
@@ -35,6 +34,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.ORACLE,
-        "op6_minhash": op6_minhash,
+        "op6_minhash": minhash.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
     }
