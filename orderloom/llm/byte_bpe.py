@@ -28,7 +28,7 @@ IN_LETTERS, IN_DIGITS, IN_OTHER, AFTER_BLANK, AFTER_SPACE, ONE_LEFT, TWO_LEFT, D
 FIRST = 7  # added to the symbol of a document's first code point, which forgets what came before
 # fixed values: Unicode White_Space
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE_SLICES = 200_000
+CACHE_SLICES = 1 << 16
 ROWS = 64
 
 

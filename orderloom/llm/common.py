@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text of about this many bytes is turned into numpy arrays at once, so a task's memory does not grow with its batch.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Arrow batches sent to Python workers are held to about this size.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow with batches small enough for long texts (a session setting)."""
+    """df.mapInArrow with batches small enough for long texts (a session setting). Workers are used again by later tasks, so each
+    task gives Arrow's free memory back."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

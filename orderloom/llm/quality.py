@@ -126,13 +126,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def learned(part: pa.Table) -> pa.Table:
         part = part.sort_by([("rank", "ascending"), ("text", "ascending")])
         model = Ftrl(alpha, beta, l1, l2)
-        own = []
+        held = []  # large arrays, a few for each chunk: their memory goes back to the system afterwards
         data, starts = text_bytes(part.column("text").combine_chunks())
         for a, b in row_chunks(starts):
-            own += sparse_rows(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+            at, x = zip(*sparse_rows(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]))
+            held.append((np.concatenate(at).astype(np.int32), np.concatenate(x).astype(np.float32), np.cumsum([0, *map(len, at)])))
         given = part.column("label").to_pylist()
         for _ in range(passes):
-            for (at, x), label in zip(own, given):
+            rows = ((at[i:j], x[i:j]) for at, x, ends in held for i, j in zip(ends, ends[1:]))
+            for (at, x), label in zip(rows, given):
                 model.learn(at, x, label)
         return pa.table({"n": pa.array([len(given)], pa.int64()), "w": pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())})
 
