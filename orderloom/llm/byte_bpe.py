@@ -180,15 +180,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Slices(dict):
-    """Slice of text to ids; emptied when it holds CACHE_SLICES."""
+    """Slice of text to ids. When it holds CACHE_SLICES they become the older half, of which only what is asked for again stays."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = merge(piece.encode(), self.ranks)
+        if (ids := self.older.get(piece)) is None:
+            ids = merge(piece.encode(), self.ranks)
         if len(self) >= CACHE_SLICES:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids
