@@ -1,13 +1,12 @@
-"""Line dedup by winnowing over line hashes, with DataFrame operations only.
+"""Line dedup by hashes of whole runs at every line, with DataFrame operations only.
 
-The lines of a document that hold words are numbered. A gram at a line is the fewest lines from there with `gram_words` words.
-Of the grams that start within `run_words - gram_words` words of a line, the least hash is a fingerprint, so every run of
-`run_words` words or more holds one, wherever it stands. A fingerprint is joined with the first place of its hash, by
-(doc_id, line), and the match is extended line by line both ways: `run_words - gram_words` words back and `run_words` on, which
-reaches from the first fingerprint of any run to its start, from the last to its end, and from each to the next.
-Runs of matched lines with `run_words` words or more are deleted; what comes first stays.
+The lines of a document that hold words are numbered. A run at a line is the fewest lines from there with `run_words` words; a
+run up to a line, the fewest lines that end there. Each is hashed, and a run that has an earlier place, by (doc_id, line), is
+deleted; what comes first stays. A longer passage that stands earlier is made up of such runs: of its lines, each lies in the
+run at it, in the run up to it, or in the one at the passage's start. So a line is deleted if, and only if, it is in
+`run_words` words or more that stand earlier as well, whatever their context is there.
 
-Every join is on places or hashes, with one row per hash or place on one side; no pairs within a group are made.
+The join is on hashes, with one row per hash on one side; no pairs within a group are made.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from orderloom.llm.common import stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-GRAM_WORDS, RUN_WORDS = 20, 40
+RUN_WORDS = 40
 KEY = ["id", "tie"]
 
 
@@ -34,52 +33,39 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    """id, tie, pos (of all lines), n (of lines with words), hash, words, before (words before it); identical documents once."""
+    """id, tie, pos (of all lines), hash, words, before (words before it) of lines with words; identical documents once."""
     exploded = rows.select(F.col("__id").alias("id"), F.col("__tie").alias("tie"), F.posexplode(F.split("__body", "\n", -1)).alias("pos", "line"))
     lines = exploded.select(*KEY, "pos", F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"), hash60(F.col("line")).alias("hash")).filter("words > 0")
     own = W.partitionBy(*KEY).orderBy("pos")
     lines = lines.withColumn("previous", F.lag("pos").over(own)).filter("previous is null or previous <> pos")
-    return lines.select(*KEY, "pos", "hash", "words", F.row_number().over(own).alias("n"), (F.sum("words").over(own) - F.col("words")).alias("before"))
+    return lines.select(*KEY, "pos", "hash", "words", (F.sum("words").over(own) - F.col("words")).alias("before"))
 
 
-def fingerprints(lines: DataFrame, gram_words: int, run_words: int) -> DataFrame:
-    """id, tie, n, gram of each fingerprint, and low, high: between which lines a match is extended."""
+def runs_of(lines: DataFrame, run_words: int) -> DataFrame:
+    """id, tie, pos, last (of its first and last line) and run (hash) of the runs at lines, and of those up to lines that are not
+    among these."""
     doc = W.partitionBy(*KEY)
-    near = doc.orderBy("before")
-    span, window = near.rangeBetween(0, gram_words - 1), near.rangeBetween(0, run_words - gram_words)
-    grams = lines.select(
-        *KEY, "n", "before",
-        F.max(F.col("before") + F.col("words")).over(doc).alias("total"),
-        F.collect_list("hash").over(span).alias("hashes"),
-        F.sum("words").over(span).alias("gram_total"),
-        F.min("n").over(near.rangeBetween(gram_words - run_words, 0)).alias("low"),
-        F.max("n").over(near.rangeBetween(0, run_words - 1)).alias("reach"),
+    ahead = doc.orderBy("before").rangeBetween(0, run_words - 1)
+    back = doc.orderBy("end").rangeBetween(1 - run_words, 0)
+    ends = lines.withColumn("end", F.col("before") + F.col("words"))
+    both = ends.select(
+        *KEY, "words",
+        *(F.struct(F.min("pos").over(w).alias("pos"), F.max("pos").over(w).alias("last"), F.sum("words").over(w).alias("total"), F.collect_list("hash").over(w).alias("hashes")).alias(name) for name, w in (("ahead", ahead), ("back", back))),
     )
-    grams = grams.withColumn("high", F.coalesce(F.lead("reach").over(near), "n"))
-    grams = grams.filter(f"gram_total >= {gram_words}").withColumn("gram", hash60(F.array_join(F.col("hashes").cast("array<string>"), ",")))
-    chosen = grams.withColumn("least", F.min(F.struct("gram", "n", "low", "high")).over(window)).filter(F.col("total") - F.col("before") >= run_words)
-    return chosen.withColumn("previous", F.lag("least.n").over(near)).filter("previous is null or previous <> least.n").select(*KEY, "least.*")
-
-
-def repeated(lines: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """id, tie, pos of every line to delete."""
-    marks = stored(fingerprints(lines, gram_words, run_words), "line-fingerprints")
-    firsts = marks.groupBy("gram").agg(F.min(F.struct(*KEY, "n")).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    matches = marks.join(firsts, "gram").filter(F.struct(*KEY, "n") > F.col("first"))
-    places = matches.select(*KEY, F.col("n").alias("seed"), F.col("first.id").alias("id0"), F.col("first.tie").alias("tie0"), (F.col("n") - F.col("first.n")).alias("shift"), F.explode(F.sequence("low", "high")).alias("n"))
-    here = places.join(lines.select(*KEY, "n", "hash", "words", "pos"), [*KEY, "n"])
-    there = lines.select(F.col("id").alias("id0"), F.col("tie").alias("tie0"), F.col("n").alias("n0"), "hash")
-    equal = here.withColumn("n0", (F.col("n") - F.col("shift")).cast("int")).join(there, ["id0", "tie0", "n0", "hash"])
-    equal = equal.filter(F.struct("id", "tie", "n") > F.struct("id0", "tie0", "n0"))
-    run = W.partitionBy(*KEY, "seed").orderBy("n")
-    equal = equal.withColumn("stretch", F.col("n") - F.row_number().over(run))
-    seeded = F.max(F.col("n") == F.col("seed")).over(W.partitionBy(*KEY, "seed", "stretch"))
-    matched = equal.withColumn("seeded", seeded).filter("seeded").groupBy(*KEY, "n").agg(F.first("pos").alias("pos"), F.first("words").alias("words"))
-    runs = matched.withColumn("stretch", F.col("n") - F.row_number().over(W.partitionBy(*KEY).orderBy("n")))
-    return runs.withColumn("total", F.sum("words").over(W.partitionBy(*KEY, "stretch"))).filter(f"total >= {run_words}").select(*KEY, "pos")
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS, removed_col: str = "removed_lines") -> DataFrame:
+    # A run up to a line that still has run_words words without that line is not the run at its first line.
+    found = F.filter(F.array(F.when(F.col("ahead.total") >= run_words, F.col("ahead")), F.when(F.col("back.total") - F.col("words") >= run_words, F.col("back"))), F.isnotnull)
+    return both.select(*KEY, F.explode(found).alias("r")).select(*KEY, "r.pos", "r.last", F.xxhash64("r.hashes").alias("run"))
+
+
+def repeated(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """id, tie, pos, last of every run that has an earlier place; its lines with words are to be deleted."""
+    runs = stored(runs_of(lines, run_words), "line-runs")
+    place = F.struct(*KEY, "pos")
+    firsts = runs.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    return runs.join(firsts, "run").filter(place > F.col("first")).select(*KEY, "pos", "last")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, removed_col: str = "removed_lines") -> DataFrame:
     """docs with deleted lines taken out of the text, and the positions of those lines (from 0) as removed_col, replacing a
     column of that name.
 
@@ -87,10 +73,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document: they keep and lose the same lines. Rows with the same id and other texts are ordered by a hash of the text; null
     ids come last. Runs of fewer than run_words words stay. An empty table gives an empty one."""
     rows = keyed(docs.drop(removed_col), id_col, text_col)
-    lines = stored(lines_of(rows), "lines")
-    gone = repeated(lines, gram_words, run_words).groupBy(F.col("id").alias("__id"), F.col("tie").alias("__tie")).agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
-    both = rows.join(gone, ["__id", "__tie"], "left")
-    kept = F.array_join(F.filter(F.split("__body", "\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
+    spans = repeated(lines_of(rows), run_words).groupBy(F.col("id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_set(F.struct("pos", "last")).alias("__spans"))
+    covered = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["pos"], s["last"]))))
+    lines = F.split("__body", "\n", -1)
+    both = rows.join(spans, ["__id", "__tie"], "left").withColumn("__gone", F.array_sort(F.filter(covered, lambda i: F.regexp_like(F.get(lines, i), F.lit(WORD)))))
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
     return both.withColumns({text_col: text, removed_col: F.coalesce("__gone", F.array().cast("array<int>"))}).select(*(docs.drop(removed_col).columns), removed_col)
 

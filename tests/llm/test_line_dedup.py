@@ -72,3 +72,31 @@ def test_every_long_passage_goes_and_nothing_is_lost(spark):
                     seen.add(tuple(p))
         lines_before |= set(lines)
     assert any(got.values())
+
+
+def brute(docs, words=40):
+    """Positions of lines in any earlier equal run of so many words, by comparing all runs."""
+    runs, gone = {}, {i: set() for i, _ in docs}
+    for i, t in sorted(docs):
+        lines = [(k, x) for k, x in enumerate(t.split("\n")) if x.split()]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(x for _, x in lines[a:b])
+                if sum(len(x.split()) for x in run) >= words and runs.setdefault(run, (i, a)) != (i, a):
+                    gone[i] |= {k for k, _ in lines[a:b]}
+    return {i: sorted(x) for i, x in gone.items()}
+
+
+def test_passages_that_share_a_line_with_an_earlier_context(spark):
+    """The first place of a shared line stands elsewhere; the copy that counts is a later one."""
+    shared = line(25)
+    docs = [(1, "\n".join([shared, line(25)])), (2, "\n".join([line(50), shared, passage := line(30)])), (3, "\n".join([line(50), shared, passage]))]
+    got, _ = removed(spark, rows(docs))
+    assert got == brute(docs) == {1: [], 2: [], 3: [1, 2]}
+
+
+def test_any_earlier_equal_run_goes(spark):
+    pool = [line(R.choice([1, 3, 8, 15, 25, 39, 40, 60])) for _ in range(9)] + ["", " "]
+    docs = [(i, "\n".join(R.choices(pool, k=R.randint(1, 9)))) for i in range(80)]
+    got, _ = removed(spark, rows(docs))
+    assert got == brute(docs) and sum(map(len, got.values())) > 50
