@@ -15,7 +15,7 @@ B1, B2 = map(board_sql, (D1, D2))
 
 def item_lines(spark, sf):
     """Lines of an order as a document: a heading, items with prices, text under them, a total."""
-    l = table(spark, sf, "lineitem").filter("l_orderkey % 4 = 0").join(table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    l = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     first = l.groupBy(F.col("l_orderkey").alias("doc"), "l_linenumber").agg(F.min_by("p_name", "l_partkey").alias("p_name"), F.min_by("p_type", "l_partkey").alias("p_type"), F.min("l_partkey").alias("k"))
     headed = F.max(F.col("l_linenumber") == 3).over(W.partitionBy("doc"))
     first = first.withColumn("headed", headed).filter("headed or l_linenumber < 3")
@@ -87,7 +87,7 @@ SELECT p_partkey, concat_ws('; ', CASE WHEN p_size * 7 - 20 < 0 OR p_size * 7 -
 
 def note_rows(spark, sf):
     c = table(spark, sf, "conversations")
-    rows = c.filter("turn % 2 = 0").select(F.col("conv_id").alias("order"), F.concat_ws("|", F.col("role"), F.col("turn").cast("string")).alias("row_key"), F.col("turn").cast("string").alias("item_no"), F.md5(F.col("text").cast("binary")).alias("item_text"), F.col("turn").alias("row"))
+    rows = c.select(F.col("conv_id").alias("order"), F.concat_ws("|", F.col("role"), F.col("turn").cast("string")).alias("row_key"), F.col("turn").cast("string").alias("item_no"), F.md5(F.col("text").cast("binary")).alias("item_text"), F.col("turn").alias("row"))
     rows = rows.groupBy("order", "row").agg(F.min("row_key").alias("row_key"), F.min("item_no").alias("item_no"), F.min("item_text").alias("item_text"))
     notes = rows.select((F.col("order") * 100 + F.col("row")).alias("id"), "order", F.when(F.col("row") % 4 == 0, F.col("row_key")).otherwise("gone").alias("row_key"), F.when(F.col("order") % 3 == 0, F.col("item_no")).otherwise("none").alias("item_no"), F.when(F.col("order") % 2 == 0, F.col("item_text")).otherwise("lost").alias("item_text"))
     return documents.notes_on_rows(notes, rows, "order")

@@ -126,7 +126,7 @@ def queue_total(spark, sf):
 
 
 def component_rollup(spark, sf):
-    return rollups.components(lines(spark, sf).filter("l_orderkey % 10 = 0"), ["l_orderkey", "p_type"], "l_extendedprice", "p_name", "l_linenumber", "p_brand")
+    return rollups.components(lines(spark, sf), ["l_orderkey", "p_type"], "l_extendedprice", "p_name", "l_linenumber", "p_brand")
 
 
 COMPONENT = f"""
@@ -154,7 +154,7 @@ def next_transmittal(spark, sf):
 
 
 def feature_matrix(spark, sf):
-    rows = lines(spark, sf).filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("job"), "p_type")
+    rows = lines(spark, sf).select(F.col("l_orderkey").alias("job"), "p_type")
     return rollups.matrix(rows, "job", "p_type", ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
 
 
