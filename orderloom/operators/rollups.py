@@ -13,9 +13,11 @@ def tag_counts(items: DataFrame, job: str, tags: str) -> DataFrame:
     return each.groupBy("tag").agg(F.count("*").alias("jobs"), F.sum("n").alias("items"))
 
 
-def audit(items: DataFrame, by: list[str], job: str, most: int) -> DataFrame:
-    """by, items, jobs: the first `most` jobs, by number, joined by commas. Jobs are ranked before they are gathered."""
+def audit(items: DataFrame, by: list[str], job: str, most: int | None = None) -> DataFrame:
+    """by, items, jobs: the first `most` jobs (all if None), by number, joined by commas. Jobs are ranked before they are gathered."""
     each = items.groupBy(*by, job).agg(F.count("*").alias("n"))
+    if most is None:
+        return each.groupBy(*by).agg(F.sum("n").alias("items"), F.array_join(F.array_sort(F.collect_list(job)).cast("array<string>"), ",").alias("jobs"))
     place = F.row_number().over(W.partitionBy(*by).orderBy(job))
     first = each.withColumn("place", place).filter(F.col("place") <= most).groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(job)).cast("array<string>"), ",").alias("jobs"))
     return each.groupBy(*by).agg(F.sum("n").alias("items")).join(first, by)
@@ -79,10 +81,11 @@ def append_only(previous: list[str], present: DataFrame, feature: str) -> list[s
     return [*previous, *new]
 
 
-def numbered_columns(rows: DataFrame, key: str, order: str, value: str, most: int, prefix: str) -> DataFrame:
-    """The first `most` values of each key side by side; the rows past them stay in the table they come from."""
-    place = rows.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(order)))
-    return place.groupBy(key).agg(*(F.max(F.when(F.col("__n") == k, F.col(value))).alias(f"{prefix}{k}") for k in range(1, most + 1)))
+def numbered_columns(rows: DataFrame, by: list[str], order: str, value: str, prefix: str) -> DataFrame:
+    """All values of each group side by side, in as many columns as the fullest group needs (one at least), which a pass finds."""
+    most = max(1, rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
+    place = rows.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(order)))
+    return place.groupBy(*by).agg(*(F.max(F.when(F.col("__n") == k, F.col(value))).alias(f"{prefix}{k}") for k in range(1, most + 1)))
 
 
 def full_outer_flags(a: DataFrame, b: DataFrame, key: str, in_a: str, in_b: str) -> DataFrame:

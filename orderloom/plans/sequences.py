@@ -105,7 +105,7 @@ def audit_untagged(spark, sf):
 
 def inquiry_counts(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").alias("inquiry")).filter("inquiry is not null")
-    return rollups.audit(e, ["inquiry"], "user_id", 1000).select("inquiry", F.col("items").alias("n"), "jobs")
+    return rollups.audit(e, ["inquiry"], "user_id").select("inquiry", F.col("items").alias("n"), "jobs")
 
 
 def corpus_quality(spark, sf):
@@ -162,8 +162,9 @@ FEATURES = "SELECT l_orderkey AS job, " + ", ".join(f"max(CASE WHEN p_type = '{t
 
 
 def change_columns(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
-    return rollups.numbered_columns(e, "user_id", "event_id", "event_type", 4, "field_")
+    """A row for each user and day, with all that happened then as columns."""
+    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("date").alias("day"), "event_id", "event_type")
+    return rollups.numbered_columns(e, ["user_id", "day"], "event_id", "event_type", "field_")
 
 
 def shard_manifest(spark, sf):

@@ -1,5 +1,6 @@
 """Queries take whole tables: they give the rows of their SQL without its choice of ids, and of brute force."""
 
+import datetime as dt
 import os
 from collections import defaultdict
 
@@ -46,3 +47,18 @@ def test_order_similarity_of_all_neighbours(spark, duck):  # noqa: F811
     got = {r.job: r.likeness for r in catalog.queries()["order_similarity"](spark, SF).collect()}
     assert got.keys() == {j for j in parts if j + 1 in parts}
     assert all(abs(got[j] - likeness(parts[j], parts[j + 1])) < 1e-5 for j in got)
+
+
+def test_events_of_a_hot_inquiry_and_a_full_day(spark, tmp_path):
+    """More than 1,000 users of one inquiry, more than 4 events of a user, and users with several days."""
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 3, i % 24), i % 1200 if i < 2400 else 7, f"e{i % 5}", '{"k": "%s"}' % ("hot" if i < 2400 else "cold")) for i in range(2430)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.inquiry: (r.n, r.jobs) for r in catalog.queries()["inquiry_counts"](spark, str(tmp_path)).collect()}
+    assert got == {"hot": (2400, ",".join(map(str, range(1200)))), "cold": (30, "7")}
+    want = defaultdict(list)
+    for _, ts, user, kind, _ in rows:
+        want[user, ts.date()].append(kind)
+    frame = catalog.queries()["change_columns"](spark, str(tmp_path))
+    n = max(map(len, want.values()))
+    assert frame.columns == ["user_id", "day", *(f"field_{k}" for k in range(1, n + 1))] and n > 4
+    assert {(r.user_id, r.day): list(r[2:]) for r in frame.collect()} == {k: v + [None] * (n - len(v)) for k, v in want.items()}
