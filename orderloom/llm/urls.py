@@ -1,9 +1,9 @@
 """URL filters: gradient-boosted trees on lexical features, learned from URLs that rules label.
 
 Rules judge what they fit. They also label the training rows: a bounded sample (max_rows of each verdict, those of least hash)
-of the URLs that some rule fits. Features are lengths, depth, digit ratio, entropy, parameter counts and statistics of host
-suffixes; the latter are smoothed block rates among the training rows of the last two labels of the host. Trees judge the
-URLs that no rule fits. All features are column expressions; trees are grown by Spark's own distributed trainer.
+of the distinct URLs that some rule fits. Features are lengths, depth, digit ratio, entropy, parameter counts and statistics of
+host suffixes; the latter are smoothed block rates of the last two labels of the host, among all rows that some rule fits. Trees
+judge the URLs that no rule fits. All features are column expressions; trees are grown by Spark's own distributed trainer.
 """
 
 from __future__ import annotations
@@ -53,6 +53,10 @@ def entropy(text: Column) -> Column:
     return -F.aggregate(share, F.lit(0.0), lambda acc, p: acc + p * F.log2(p))
 
 
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1)
+
+
 def lexical(urls: DataFrame, url: Column, host: Column, path: Column) -> DataFrame:
     text = F.coalesce(url, F.lit(""))
     length = F.greatest(F.length(text), F.lit(1))
@@ -73,14 +77,14 @@ def lexical(urls: DataFrame, url: Column, host: Column, path: Column) -> DataFra
             "f_fragment": F.contains(text, F.lit("#")).cast("double"),
             "f_secure": F.startswith(F.lower(text), F.lit("https:")).cast("double"),
             "f_extension": F.regexp_like(path, F.lit(r"\.[A-Za-z0-9]{1,5}$")).cast("double"),
-            "suffix": F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1),
+            "suffix": suffix_of(host),
         }
     )
 
 
 def with_suffixes(rows: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
-    """suffixes: at most one row for each training row."""
-    joined = rows.join(F.broadcast(suffixes), "suffix", "left")
+    """suffixes: a row for each suffix of labelled rows; the planner knows its size and broadcasts it where it is small."""
+    joined = rows.join(suffixes, "suffix", "left")
     return joined.withColumns({"f_suffix_rate": F.coalesce("rate", F.lit(rate)), "f_suffix_count": F.log1p(F.coalesce("seen", F.lit(0)).cast("double"))}).drop("rate", "seen", "suffix")
 
 
@@ -89,16 +93,18 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, max_rows: int = 8_192, trees: int = 10, depth: int = 4, smooth: float = 10.0) -> tuple[GBTClassificationModel | None, DataFrame, float]:
-    """labelled: lexical features, suffix, verdict. The model, suffix statistics and the block rate; no model where one verdict alone is labelled."""
-
-    parts = [labelled.filter(F.col("verdict") == v).orderBy(F.xxhash64("url"), "url").limit(max_rows) for v in ("block", "allow")]
-    sample = stored(parts[0].unionByName(parts[1]).withColumn("label", (F.col("verdict") == "block").cast("double")), "labelled-urls")
-    counted = sample.groupBy("suffix").agg(F.count("*").alias("seen"), F.sum("label").alias("blocked"))
+    """labelled: url, host, path, verdict. The model, suffix statistics and the block rate, both of all rows; no model where one verdict alone is labelled."""
+    counts = labelled.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("seen"), F.count_if(F.col("verdict") == "block").cast("double").alias("blocked"))
+    counted = stored(counts, "suffix-counts")
     known = counted.agg(F.sum("seen").alias("n"), F.sum("blocked").alias("b")).first()
     rate = (known.b or 0.0) / (known.n or 1)
     suffixes = stored(counted.select("suffix", "seen", ((F.col("blocked") + smooth * rate) / (F.col("seen") + smooth)).alias("rate")), "suffixes")
     if rate in (0.0, 1.0):
         return None, suffixes, rate
+    distinct = labelled.select("url", "host", "path", "verdict").distinct()
+    parts = [distinct.filter(F.col("verdict") == v).orderBy(F.xxhash64("url"), "url").limit(max_rows) for v in ("block", "allow")]
+    chosen = parts[0].unionByName(parts[1]).withColumn("label", (F.col("verdict") == "block").cast("double"))
+    sample = stored(lexical(chosen, F.col("url"), F.col("host"), F.col("path")), "labelled-urls")
     rows = assemble(with_suffixes(sample, suffixes, rate)).select("features", "label").repartition(4)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=7, stepSize=0.2).fit(rows)
     return model, suffixes, rate
@@ -116,7 +122,7 @@ def judged(urls: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_
     text, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": text, "given": verdict})
     with_features = lexical(rows, F.col("url"), F.col("host"), F.col("path"))
-    model, suffixes, rate = train(with_features.filter(F.col("given").isNotNull()).withColumnRenamed("given", "verdict"), max_rows)
+    model, suffixes, rate = train(rows.filter(F.col("given").isNotNull()).withColumnRenamed("given", "verdict"), max_rows)
     ready = with_suffixes(with_features, suffixes, rate)
     if model is None:
         ready = ready.withColumn("score", F.lit(float(rate)))

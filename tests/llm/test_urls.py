@@ -44,3 +44,23 @@ def test_held_out_accuracy(spark):
     got = {r.page_id: r for r in U.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     right = sum((got[1000 + i].verdict == "block") == bool(i % 2) for i in range(100))
     assert right >= 90 and all(got[i].verdict == ("block" if i % 3 == 0 else "allow") for i in range(400))
+
+
+def test_suffixes_are_counted_over_all_rows_and_fitted_rows_are_distinct(spark, monkeypatch):
+    """40 copies of each of 4 URLs and 60 single ones, two of every three blocked, with room for 3 rows of a verdict."""
+    urls = [f"http://h{i}.com/p{i}" for i in range(4) for _ in range(40)] + [f"http://w.s{i}.org/q" for i in range(60)]
+    rows = [(u, u.split("/")[2], "/" + u.split("/")[3], "allow" if k % 3 == 0 else "block") for k, u in enumerate(sorted(set(urls)))]
+    verdict = {u: v for u, _, _, v in rows}
+    rows = [next(r for r in rows if r[0] == u) for u in urls]
+    fitted = []
+    monkeypatch.setattr(U, "assemble", lambda df, own=U.assemble: (fitted.append(df), own(df))[1])
+    _, suffixes, rate = U.train(spark.createDataFrame(rows, "url string, host string, path string, verdict string"), max_rows=3)
+    blocked = [verdict[u] == "block" for u in urls]
+    assert abs(rate - sum(blocked) / len(urls)) < 1e-12
+    got = {r.suffix: (r.seen, r.rate) for r in suffixes.collect()}
+    want = Counter(".".join(u.split("/")[2].split(".")[-2:]) for u in urls)
+    assert {k: n for k, (n, _) in got.items()} == want
+    hits = Counter(".".join(u.split("/")[2].split(".")[-2:]) for u, b in zip(urls, blocked) if b)
+    assert all(abs(r - (hits[k] + 10 * rate) / (n + 10)) < 1e-12 for k, (n, r) in got.items())
+    sample = [(r.url, r.label) for r in fitted[0].collect()]
+    assert len(sample) == len(set(sample)) == 6 and Counter(x for _, x in sample) == {0.0: 3, 1.0: 3}
