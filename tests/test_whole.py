@@ -14,6 +14,7 @@ CHOICES = {
     "feature_matrix": " WHERE l_orderkey % 20 = 0",
     "extract_items": " WHERE l_orderkey % 4 = 0",
     "note_rows": " WHERE turn % 2 = 0",
+    "stream_fold": " WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-06', DATE '2024-01-08', DATE '2024-01-12')",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
