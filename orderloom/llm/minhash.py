@@ -86,9 +86,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band, the band's number included."""
-    values = signature(shingles).reshape(2, PERMUTATIONS)
-    grid = np.concatenate([values[0].reshape(BANDS, ROWS // 2), values[1].reshape(BANDS, ROWS // 2)], 1)
+    """A key for each band, the band's number included. Its maxima are of other permutations than its minima: in small sets, the
+    minimum and the maximum of one permutation depend on each other."""
+    low, high = signature(shingles).reshape(2, BANDS, ROWS // 2)
+    grid = np.concatenate([low, np.roll(high, BANDS // 2, 0)], 1)
     keys = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         keys = mixed(keys * np.uint64(ODD) + grid[:, k])

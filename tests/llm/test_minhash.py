@@ -101,3 +101,10 @@ def test_connected_components(spark):
         root[max(p, q)] = min(p, q)
     got = M.components(spark.createDataFrame(edges, "a long, b long"), spark.range(450))
     assert {r.id: r.comp for r in got.collect()} == {i: find(i) for i in range(450)}
+
+
+def test_bands_of_small_sets_agree_as_independent_values_do():
+    """Sets that share 3 of 4 shingles: a band's four values agree with probability 0.75 ** 4, not 0.5 ** 2."""
+    sets = np.sort(np.random.default_rng(3).integers(0, 1 << 63, (2000, 4)).astype(np.uint64), 1)
+    rate = np.mean([M.bands(x) == M.bands(np.delete(x, k % 4)) for k, x in enumerate(sets)])
+    assert abs(rate - 0.75**4) < 0.02
