@@ -34,7 +34,7 @@ def extract_items(spark, sf):
 
 
 EXTRACT = """
-WITH f AS (SELECT l_orderkey AS doc, l_linenumber AS n, arg_min(p_name, l_partkey) AS p, arg_min(p_type, l_partkey) AS t, min(l_partkey) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 4 = 0 GROUP BY 1, 2),
+WITH f AS (SELECT l_orderkey AS doc, l_linenumber AS n, arg_min(p_name, l_partkey) AS p, arg_min(p_type, l_partkey) AS t, min(l_partkey) AS k FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 i AS (SELECT *, n * 4 + 1 AS item, upper(p) AS norm, bool_or(n = 3) OVER h AS opened, bool_or(n = 5) OVER b AS closed FROM f WINDOW h AS (PARTITION BY doc ORDER BY n ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY doc ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 a AS (SELECT *, coalesce(opened, false) AND NOT coalesce(closed, false) AS inside FROM i)
 SELECT doc, CAST(item AS BIGINT) AS item, norm, CAST(n AS VARCHAR) AS qty, CASE WHEN n < 3 THEN k || '.00' ELSE '' END AS price, CASE WHEN n < 3 THEN 'L' ELSE '' END AS type, CASE WHEN n >= 3 THEN 'Accessories' ELSE '' END AS section, CASE WHEN n < 3 THEN 'of ' || t ELSE '' END AS details
@@ -94,7 +94,7 @@ def note_rows(spark, sf):
 
 
 NOTE_ROWS = """
-WITH r AS (SELECT conv_id AS o, turn AS row, min(md5(text)) AS t FROM conversations WHERE turn % 2 = 0 GROUP BY 1, 2), x AS (SELECT o, t, min(row) AS by_text FROM r GROUP BY 1, 2), f AS (SELECT o, min(row) AS first FROM r GROUP BY 1)
+WITH r AS (SELECT conv_id AS o, turn AS row, min(md5(text)) AS t FROM conversations GROUP BY 1, 2), x AS (SELECT o, t, min(row) AS by_text FROM r GROUP BY 1, 2), f AS (SELECT o, min(row) AS first FROM r GROUP BY 1)
 SELECT o * 100 + row AS id, CASE WHEN row % 4 = 0 OR o % 3 = 0 THEN row WHEN o % 2 = 0 THEN by_text ELSE first END AS row FROM r JOIN x USING (o, t) JOIN f USING (o)"""
 
 

@@ -36,7 +36,7 @@ def stream_fold(spark, sf):
 
 
 FOLD = """
-WITH p AS (SELECT DISTINCT user_id AS job, CAST(ts AS DATE) AS d FROM events WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-06', DATE '2024-01-08', DATE '2024-01-12')),
+WITH p AS (SELECT DISTINCT user_id AS job, CAST(ts AS DATE) AS d FROM events),
 n AS (SELECT d, row_number() OVER (ORDER BY d) AS k FROM (SELECT DISTINCT d FROM p)), q AS (SELECT job, k, d FROM p JOIN n USING (d)),
 j AS (SELECT DISTINCT job FROM q), g AS (SELECT j.job, n.k, n.d, q.job IS NOT NULL AS here, coalesce(lag(q.job IS NOT NULL) OVER w, false) AS before, coalesce(bool_or(q.job IS NOT NULL) OVER (PARTITION BY j.job ORDER BY n.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ever
   FROM j CROSS JOIN n LEFT JOIN q ON q.job = j.job AND q.k = n.k WINDOW w AS (PARTITION BY j.job ORDER BY n.k))
