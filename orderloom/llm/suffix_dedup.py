@@ -1,14 +1,18 @@
 """Removal of repeated byte strings by sampled suffix sorting, deep-shallow.
 
-Any string of LENGTH bytes holds an anchor: of its GRAM-byte substrings the one with the least hash (the first, on ties). Equal
+Any string of SHORT bytes holds an anchor: of its GRAM-byte substrings the one with the least hash (the first, on ties). Equal
 strings have their anchors at the same offset, so only suffixes at anchors are sorted. An anchor covers the run of windows
-(LENGTH-byte strings) that it is the anchor of. Anchors are grouped by their gram; grams seen once are done. Anchors whose whole
-runs are equal settle each other. For the rest, two orders are made of each group: of the bytes from the anchor on, and of the
-bytes before it read backwards. Multikey quicksort orders both to a shallow depth, blind tries order what still agrees there.
-A window that starts d bytes before its anchor is repeated if another member shares d bytes before and LENGTH - d from it on:
-if both lie in one interval of each order, at depths d and LENGTH - d. Orders change at few depths, so few are looked at.
+(SHORT-byte strings) that it is the anchor of, and the LENGTH-byte strings that start where these do. Anchors are grouped by
+their gram; grams seen once are done. Anchors whose whole runs, up to the end of the last LENGTH-byte string, are equal settle
+each other. For the rest, two orders are made of each group: of the bytes from the anchor on, and of the bytes before it read
+backwards. Multikey quicksort orders both to a shallow depth, blind tries order what still agrees there. A string of n bytes that
+starts d bytes before its anchor is repeated if another member shares d bytes before and n - d from it on: if both lie in one
+interval of each order, at depths d and n - d. Orders change at few depths, so few are looked at.
 
-Groups of more than GROUP different members (one gram in very many contexts) are not brought into one task: their windows are
+LENGTH is what is removed. The same orders settle strings of SHORT bytes, about forty words: passages that repeat but are too
+short to be removed are counted.
+
+Groups of more than GROUP different members (one gram in very many contexts) are not brought into one task: their strings are
 counted by hash, with partial sums.
 """
 
@@ -26,8 +30,8 @@ from pyspark.sql import types as T
 
 from orderloom.llm.common import map_arrow, stored, table, text_bytes
 
-LENGTH, GRAM = 400, 145
-SPAN = LENGTH - GRAM + 1  # grams in a window; a power of two
+LENGTH, SHORT, GRAM = 400, 256, 65
+SPAN = SHORT - GRAM + 1  # grams in a window
 SHALLOW = 12
 GROUP = 2_000
 PIECE = 1 << 20
@@ -67,29 +71,32 @@ class Hashes:
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Place, first and last window, hash of the gram, hash of the run, of each anchor of one text, in pieces of bounded size."""
     n, parts = len(data), []
-    for first in range(0, max(n - LENGTH + 1, 0), PIECE):
+    for first in range(0, max(n - SHORT + 1, 0), PIECE):
         part = data[first : first + PIECE + LENGTH - 1]
+        windows = min(PIECE, len(part) - SHORT + 1)
         hashes = Hashes(part, ODD)
         at = np.arange(len(part) - GRAM + 1)
         grams = hashes.of(at, at + GRAM)
         least = (grams >> np.uint64(24) << np.uint64(24)) | at.astype(np.uint64)
         step = 1
-        while step < SPAN:
+        while 2 * step <= SPAN:
             least = np.minimum(least[:-step], least[step:])
             step *= 2
-        own = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+        if step < SPAN:
+            least = np.minimum(least[: step - SPAN], least[SPAN - step :])
+        own = (least[:windows] & np.uint64((1 << 24) - 1)).astype(np.int64)
         change = np.flatnonzero(np.diff(own)) + 1
         a = np.concatenate([[0], change])
         b = np.concatenate([change, [len(own)]]) - 1
         p = own[a]
-        run = hashes.of(a, b + LENGTH) ^ mixed((p - a).astype(np.uint64) << np.uint64(20) | (b - a).astype(np.uint64))
+        run = hashes.of(a, np.minimum(b + LENGTH, len(part))) ^ mixed((p - a).astype(np.uint64) << np.uint64(20) | (b - a).astype(np.uint64))
         parts.append((p + first, a + first, b + first, grams[p].view(np.int64), run.view(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """id, tie, p, lo, hi (distances of the first and the last window from the anchor), gram, run: of each anchor."""
-    kinds = [("id", pa.int64()), ("tie", pa.int64()), ("p", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("gram", pa.int64()), ("run", pa.int64())]
+    """id, tie, p, lo, hi (distances of the first and the last window from the anchor), size (of the text), gram, run: of each anchor."""
+    kinds = [("id", pa.int64()), ("tie", pa.int64()), ("p", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("size", pa.int32()), ("gram", pa.int64()), ("run", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +106,11 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             if not sum(sizes):
                 continue
             p, a, b, gram, whole = (np.concatenate(x) for x in zip(*found))
-            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x.astype(k.to_pandas_dtype())) for x, (_, k) in zip((p, p - a, p - b, gram, whole), kinds[2:]))], schema=pa.schema(kinds))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            size, row = np.diff(starts)[row], pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x.astype(k.to_pandas_dtype())) for x, (_, k) in zip((p, p - a, p - b, size, gram, whole), kinds[2:]))], schema=pa.schema(kinds))
 
-    return map_arrow(docs.select(*KEY, "text"), run, "id long, tie long, p int, lo short, hi short, gram long, run long")
+    return map_arrow(docs.select(*KEY, "text"), run, "id long, tie long, p int, lo short, hi short, size int, gram long, run long")
 
 
 def shared(x: bytes, y: bytes, at: int) -> int:
@@ -211,20 +219,25 @@ def suffix_order(texts: list[bytes], start: int) -> tuple[np.ndarray, np.ndarray
     return np.array(order), np.array(common)
 
 
-def repeated_windows(right: list[bytes], left: list[bytes], lo: np.ndarray, hi: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each member of a group, the ranges (d1, d2) of distances of its windows that another member has too."""
-    m = len(right)
+def orders(right: list[bytes], left: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    return suffix_order(right, min(GRAM, *map(len, right))), suffix_order(left, 0)
+
+
+def repeated_windows(both: tuple, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+    """For each member of a group, the ranges (d1, d2) of distances of its strings of that length that another member has too.
+    both: the orders; size: bytes from the anchor on."""
+    (by_right, lcp_right), (by_left, lcp_left) = both
+    m = len(lo)
     found: list[list[tuple[int, int]]] = [[] for _ in range(m)]
-    by_right, lcp_right = suffix_order(right, min(GRAM, *map(len, right)))
-    by_left, lcp_left = suffix_order(left, 0)
-    depths = np.unique(np.concatenate([hi, lo + 1, lcp_left[1:] + 1, LENGTH - lcp_right[1:]]))
+    hi = np.maximum(hi, length - size)  # a string ends within its text
+    depths = np.unique(np.concatenate([hi, lo + 1, lcp_left[1:] + 1, length - lcp_right[1:]]))
     depths = depths[(depths >= hi.min()) & (depths <= lo.max())]
     rank_r, rank_l = np.empty(m, np.int64), np.empty(m, np.int64)
     for d, after in zip(depths.tolist(), [*depths[1:].tolist(), int(lo.max()) + 1]):
         valid = np.flatnonzero((hi <= d) & (d <= lo))
         if len(valid) < 2:
             continue
-        rank_r[by_right] = np.cumsum(lcp_right < LENGTH - d)
+        rank_r[by_right] = np.cumsum(lcp_right < length - d)
         rank_l[by_left] = np.cumsum(lcp_left < d)
         pair = rank_r[valid] * (m + 1) + rank_l[valid]
         _, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
@@ -237,8 +250,8 @@ def repeated_windows(right: list[bytes], left: list[bytes], lo: np.ndarray, hi:
 
 
 MEMBERS = "gram long, size long, id long, tie long, p int, lo short, hi short, copies long, body binary"
-SPANS = "id long, tie long, a int, b int"
-PA_SPANS = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+SPANS = "id long, tie long, length short, a int, b int"
+PA_SPANS = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("length", pa.int16()), ("a", pa.int32()), ("b", pa.int32())])
 
 
 def bodies(rows: DataFrame) -> DataFrame:
@@ -251,7 +264,7 @@ def bodies(rows: DataFrame) -> DataFrame:
             flat = members.flatten()
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(members).to_numpy())
             p, lo, hi = (flat.field(k).to_numpy().astype(np.int64) for k in ("p", "lo", "hi"))
-            a, b = starts[row] + p - lo, starts[row] + p - hi + LENGTH
+            a, b = starts[row] + p - lo, np.minimum(starts[row] + p - hi + LENGTH, starts[row + 1])
             for k in range(0, len(p), 8192):
                 part, own = flat.slice(k, 8192), pa.array(row[k : k + 8192])
                 body = [data[x:y].tobytes() for x, y in zip(a[k : k + 8192], b[k : k + 8192])]
@@ -267,10 +280,12 @@ def spans_of_groups(members: DataFrame) -> DataFrame:
         cut = [x["lo"] for x in group]
         right = [x["body"][k:] for x, k in zip(group, cut)]
         left = [x["body"][:k][::-1] for x, k in zip(group, cut)]
-        found = repeated_windows(right, left, np.array(cut), np.array([x["hi"] for x in group]))
-        for x, ranges in zip(group, found):
-            if x["copies"] == 1:
-                yield from ((x["id"], x["tie"], x["p"] - d2, x["p"] - d1 + LENGTH) for d1, d2 in ranges)
+        both, size = orders(right, left), np.array(list(map(len, right)))
+        for length in (LENGTH, SHORT):
+            found = repeated_windows(both, size, np.array(cut), np.array([x["hi"] for x in group]), length)
+            for x, ranges in zip(group, found):
+                if x["copies"] == 1:
+                    yield from ((x["id"], x["tie"], length, x["p"] - d2, x["p"] - d1 + length) for d1, d2 in ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[dict] = []
@@ -291,31 +306,38 @@ def spans_of_groups(members: DataFrame) -> DataFrame:
 
 def spans_of_windows(members: DataFrame) -> DataFrame:
     """The same for groups of any size: windows are counted by two 64-bit hashes."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("a", pa.int32()), ("copies", pa.int64())])
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("length", pa.int16()), ("a", pa.int32()), ("copies", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 data = np.frombuffer(row["body"], np.uint8)
-                at = np.arange(len(data) - LENGTH + 1)
-                n = len(at)
-                x, y = (Hashes(data, base).of(at, at + LENGTH).view(np.int64) for base in (ODD, OTHER))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array([row["id"]] * n, pa.int64()), pa.array([row["tie"]] * n, pa.int64()), pa.array((at + row["p"] - row["lo"]).astype(np.int32)), pa.array([row["copies"]] * n, pa.int64())], schema=schema)
-
-    windows = stored(map_arrow(members, run, "x long, y long, id long, tie long, a int, copies long"), "windows")
+                both = [Hashes(data, base) for base in (ODD, OTHER)]
+                for length in (LENGTH, SHORT):
+                    n = max(0, min(len(data) - length, row["lo"] - row["hi"]) + 1)
+                    at = np.arange(n)
+                    x, y = (h.of(at, at + length).view(np.int64) for h in both)
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *(pa.array([v] * n, k) for v, k in ((row["id"], pa.int64()), (row["tie"], pa.int64()), (length, pa.int16()))), pa.array((at + row["p"] - row["lo"]).astype(np.int32)), pa.array([row["copies"]] * n, pa.int64())], schema=schema)
+
+    windows = stored(map_arrow(members, run, "x long, y long, id long, tie long, length short, a int, copies long"), "windows")
     known = windows.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select("x", "y")
-    return windows.filter("copies = 1").join(known, ["x", "y"]).select(*KEY, "a", (F.col("a") + LENGTH).alias("b"))
+    return windows.filter("copies = 1").join(known, ["x", "y"]).select(*KEY, "length", "a", (F.col("a") + F.col("length")).cast("int").alias("b"))
 
 
 def repeated_spans(rows: DataFrame, group: int = 0) -> DataFrame:
-    """id, tie, a, b: byte ranges whose union is all that repeated strings cover. rows: id, tie, text."""
+    """id, tie, length, a, b: byte ranges whose union is all that repeated strings of that length cover. rows: id, tie, text.
+
+    Keys that stand in very many places are never one task's: what is joined has a row for each key, made by partial sums, and
+    a large side is dealt anew by the planner."""
     found = stored(anchor_rows(rows), "anchors")
     often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     again = stored(found.join(often, "gram"), "repeated-anchors")
-    runs = again.groupBy("gram", "run").agg(F.count("*").alias("copies"), F.max(F.struct(*KEY, "p", "lo", "hi")).alias("rep"))
-    whole = again.join(runs.filter("copies > 1").select("gram", "run"), ["gram", "run"]).select(*KEY, (F.col("p") - F.col("lo")).cast("int").alias("a"), (F.col("p") - F.col("hi") + LENGTH).cast("int").alias("b"))
+    runs = stored(again.groupBy("gram", "run").agg(F.count("*").alias("copies"), F.max(F.struct(*KEY, "p", "lo", "hi", "size")).alias("rep")), "runs")
+    first, last = F.col("p") - F.col("lo"), F.col("p") - F.col("hi")
+    equal = again.join(runs.filter("copies > 1").select("gram", "run"), ["gram", "run"])
+    whole = equal.select(*KEY, F.explode(F.array(*(F.struct(F.lit(n).cast("short").alias("length"), first.cast("int").alias("a"), F.least(last + n, "size").cast("int").alias("b")) for n in (LENGTH, SHORT)))).alias("s")).select(*KEY, "s.*").filter("b - a >= length")
     sizes = runs.groupBy("gram").agg(F.count("*").alias("size"), F.min("copies").alias("least")).filter("size > 1 and least = 1").select("gram", "size")
-    reps = runs.join(sizes, "gram").select("rep.*", "gram", "size", "copies")
+    reps = runs.join(sizes, "gram").select("rep.id", "rep.tie", "rep.p", "rep.lo", "rep.hi", "gram", sizes["size"], "copies")
     listed = reps.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "size", "p", "lo", "hi", "copies")).alias("members"))
     members = stored(bodies(rows.join(listed, KEY)), "members")
     few = spans_of_groups(members.filter(F.col("size") <= (group or GROUP)))
@@ -323,39 +345,50 @@ def repeated_spans(rows: DataFrame, group: int = 0) -> DataFrame:
     return whole.unionByName(few).unionByName(many)
 
 
+def merged(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of sorted spans."""
+    if not spans.is_valid or not len(spans.values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (spans.values.field(k).to_numpy().astype(np.int64) for k in ("a", "b"))
+    ends = np.maximum.accumulate(b)
+    first = np.concatenate([[True], a[1:] > ends[:-1]])
+    return a[first], ends[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(ends) - 1]])]
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = 0) -> DataFrame:
-    """id_col, n_bytes, n_removed, n_spans and kept (binary) of every row.
+    """id_col, n_bytes, n_removed, n_spans, n_repeated and kept (binary) of every row. n_repeated: bytes that repeated strings of
+    SHORT bytes cover, removed or not.
 
     Texts are UTF-8 bytes, null ones empty; texts of fewer than LENGTH bytes lose nothing; strings never cross rows. Repeated
     rows are documents of their own, and so lose what is long enough. Null ids are kept. An empty table gives an empty one.
     Other columns are left out, whatever their names."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    spans = repeated_spans(rows, group).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    out = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    of = lambda n: F.sort_array(F.collect_set(F.when(F.col("length") == n, F.struct("a", "b"))))
+    spans = repeated_spans(rows, group).groupBy(*KEY).agg(of(LENGTH).alias("spans"), of(SHORT).alias("short"))
+    out = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans", "n_repeated")), T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = text_bytes(batch.column(1))
-            sizes, gone, runs, kept = np.diff(starts), [], [], []
-            for i, cut in enumerate(batch.column(2)):
+            sizes, gone, runs, again, kept = np.diff(starts), [], [], [], []
+            for i, (cut, short) in enumerate(zip(batch.column(2), batch.column(3))):
                 body = data[starts[i] : starts[i + 1]]
-                if not cut.is_valid:
+                a, b = merged(short)
+                again.append(int((b - a).sum()))
+                a, b = merged(cut)
+                if not len(a):
                     gone.append(0), runs.append(0), kept.append(body.tobytes())
                     continue
-                a, b = (cut.values.field(k).to_numpy().astype(np.int64) for k in ("a", "b"))
-                ends = np.maximum.accumulate(b)
-                first = np.concatenate([[True], a[1:] > ends[:-1]])
-                a, b = a[first], ends[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(ends) - 1]])]
                 keep = np.zeros(len(body) + 1, np.int64)
                 keep[a] += 1
                 keep[b] -= 1
                 keep = np.cumsum(keep)[:-1] == 0
                 gone.append(int((b - a).sum())), runs.append(len(a)), kept.append(body[keep].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=out.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(again, pa.int64()), pa.array(kept, pa.binary())], names=out.names)
 
-    return map_arrow(rows.join(spans, KEY, "left").select("own", "text", "spans"), run, out)
+    return map_arrow(rows.join(spans, KEY, "left").select("own", "text", "spans", "short"), run, out)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", F.sha2("kept", 256).alias("kept_sha256"))

@@ -27,7 +27,7 @@ def test_order(texts):
 def test_anchors_follow_content(monkeypatch):
     data = np.frombuffer(noise(6000).encode(), np.uint8)
     p, a, b, gram, run = S.anchors(data)
-    assert a[0] == 0 and b[-1] == len(data) - S.LENGTH and (a[1:] == b[:-1] + 1).all() and (p >= b).all() and (p - a <= S.SPAN - 1).all()
+    assert a[0] == 0 and b[-1] == len(data) - S.SHORT and (a[1:] == b[:-1] + 1).all() and (p >= b).all() and (p - a <= S.SPAN - 1).all()
     shifted = S.anchors(data[777:])
     whole = {(g, r) for g, r, x in zip(gram, run, a) if x >= 777}
     assert len(whole - set(zip(shifted[3], shifted[4]))) <= 1
@@ -38,20 +38,21 @@ def test_anchors_follow_content(monkeypatch):
 
 def brute(rows):
     texts = [(t or "").encode() for _, t in rows]
-    seen = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+    seen = {n: Counter(t[k : k + n] for t in texts for k in range(len(t) - n + 1)) for n in (256, 400)}
     out = []
     for (i, _), t in zip(rows, texts):
-        gone = bytearray(len(t))
-        for k in range(len(t) - 399):
-            if seen[t[k : k + 400]] > 1:
-                gone[k : k + 400] = b"\x01" * 400
+        short, gone = bytearray(len(t)), bytearray(len(t))
+        for n, covered in ((256, short), (400, gone)):
+            for k in range(len(t) - n + 1):
+                if seen[n][t[k : k + n]] > 1:
+                    covered[k : k + n] = b"\x01" * n
         runs = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
-        out.append((i, len(t), sum(gone), runs, bytes(c for c, g in zip(t, gone) if not g)))
+        out.append((i, len(t), sum(gone), runs, sum(short), bytes(c for c, g in zip(t, gone) if not g)))
     return sorted(out, key=repr)
 
 
 def corpus():
-    passages = [noise(n) for n in (399, 395, 401, 420, 700, 1500)]
+    passages = [noise(n) for n in (170, 200, 240, 257, 330, 395, 401, 420, 700, 1500)]
     rows, n = [], 0
     for _ in range(40):
         parts = [noise(R.randint(0, 300))]
@@ -74,6 +75,6 @@ def test_against_brute_force(spark):
     want = brute(rows)
     assert sum(r[2] for r in want) > 10_000
     for group in (0, 2):
-        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.without_repeats(docs, group=group).collect()]
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.n_repeated, bytes(r.kept)) for r in S.without_repeats(docs, group=group).collect()]
         assert sorted(got, key=repr) == want
     assert S.without_repeats(docs.limit(0)).count() == 0
