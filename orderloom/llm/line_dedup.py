@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import stored, table
+from orderloom.functions.text import let
+from orderloom.llm.common import fresh, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 RUN_WORDS = 40
@@ -26,15 +27,10 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with id and tie: order and identity of documents. Null ids come last."""
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__tie": F.xxhash64(body), "__body": body})
-
-
 def lines_of(rows: DataFrame) -> DataFrame:
-    """id, tie, pos (of all lines), hash, words, before (words before it) of lines with words; identical documents once."""
-    exploded = rows.select(F.col("__id").alias("id"), F.col("__tie").alias("tie"), F.posexplode(F.split("__body", "\n", -1)).alias("pos", "line"))
+    """id, tie, pos (of all lines), hash, words, before (words before it) of lines with words; identical documents once. rows: id,
+    tie, body."""
+    exploded = rows.select(*KEY, F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
     lines = exploded.select(*KEY, "pos", F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"), hash60(F.col("line")).alias("hash")).filter("words > 0")
     own = W.partitionBy(*KEY).orderBy("pos")
     lines = lines.withColumn("previous", F.lag("pos").over(own)).filter("previous is null or previous <> pos")
@@ -71,15 +67,24 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts stay null and lose nothing; lines without words are never deleted. Rows with the same id and text are one
     document: they keep and lose the same lines. Rows with the same id and other texts are ordered by a hash of the text; null
-    ids come last. Runs of fewer than run_words words stay. An empty table gives an empty one."""
-    rows = keyed(docs.drop(removed_col), id_col, text_col)
-    spans = repeated(lines_of(rows), run_words).groupBy(F.col("id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_set(F.struct("pos", "last")).alias("__spans"))
-    covered = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["pos"], s["last"]))))
-    lines = F.split("__body", "\n", -1)
-    both = rows.join(spans, ["__id", "__tie"], "left").withColumn("__gone", F.array_sort(F.filter(covered, lambda i: F.regexp_like(F.get(lines, i), F.lit(WORD)))))
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    return both.withColumns({text_col: text, removed_col: F.coalesce("__gone", F.array().cast("array<int>"))}).select(*(docs.drop(removed_col).columns), removed_col)
+    ids come last. Runs of fewer than run_words words stay. An empty table gives an empty one.
+    Other columns are kept, whatever their names."""
+    given = docs.drop(removed_col)
+    id_, tie, body, cuts, found = fresh([*given.columns, removed_col], "__id", "__tie", "__body", "__cuts", "__found")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = given.withColumns({id_: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), tie: F.xxhash64(text), body: text})
+    lines = lines_of(rows.select(F.col(id_).alias("id"), F.col(tie).alias("tie"), F.col(body).alias("body")))
+    spans = repeated(lines, run_words).groupBy(F.col("id").alias(id_), F.col("tie").alias(tie)).agg(F.collect_set(F.struct("pos", "last")).alias(cuts))
+
+    def cut(every: Column) -> Column:
+        """struct(gone, left): positions of deleted lines, and the others joined again."""
+        covered = F.array_distinct(F.flatten(F.transform(cuts, lambda s: F.sequence(s["pos"], s["last"]))))
+        left = lambda gone: F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone), lambda i: F.get(every, i))
+        return let(F.array_sort(F.filter(covered, lambda i: F.regexp_like(F.get(every, i), F.lit(WORD)))), lambda gone: F.struct(gone.alias("gone"), F.array_join(left(gone), "\n").alias("left")))
+
+    both = rows.join(spans, [id_, tie], "left").withColumn(found, F.when(F.col(cuts).isNotNull(), let(F.split(body, "\n", -1), cut)))
+    new = F.when(F.col(found).isNull(), F.col(text_col)).otherwise(F.col(found)["left"])
+    return both.withColumns({text_col: new, removed_col: F.coalesce(F.col(found)["gone"], F.array().cast("array<int>"))}).select(*given.columns, removed_col)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +100,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without repeated lines; documents of which no words are left go."""
-    found = without_repeats(docs, removed_col="__removed")
-    left = (F.size("__removed") == 0) | F.regexp_like(F.coalesce("text", F.lit("")), F.lit(WORD))
+    (gone,) = fresh(docs.columns, "__removed")
+    found = without_repeats(docs, removed_col=gone)
+    left = (F.size(gone) == 0) | F.regexp_like(F.coalesce("text", F.lit("")), F.lit(WORD))
     return found.filter(left).select(docs.columns)
 
 
@@ -108,34 +114,19 @@ WITH l AS (
   SELECT id, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS hash FROM l
 ), lines AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n, CAST(sum(words) OVER (PARTITION BY id ORDER BY pos) - words AS BIGINT) AS before FROM h WHERE words > 0
-), g AS (
-  SELECT id, n, before, max(before + words) OVER (PARTITION BY id) AS total, list(hash) OVER s AS hashes, sum(words) OVER s AS gram_total,
-         min(n) OVER (PARTITION BY id ORDER BY before RANGE BETWEEN 20 PRECEDING AND CURRENT ROW) AS low,
-         max(n) OVER (PARTITION BY id ORDER BY before RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING) AS reach
-  FROM lines WINDOW s AS (PARTITION BY id ORDER BY before RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING)
-), r AS (
-  SELECT *, coalesce(lead(reach) OVER (PARTITION BY id ORDER BY before), n) AS high FROM g
-), grams AS (
-  SELECT *, CAST('0x' || substr(md5(array_to_string(hashes, ',')), 1, 15) AS BIGINT) AS gram FROM r WHERE gram_total >= 20
-), c AS (
-  SELECT *, min({'gram': gram, 'n': n, 'low': low, 'high': high}) OVER (PARTITION BY id ORDER BY before RANGE BETWEEN CURRENT ROW AND 20 FOLLOWING) AS least FROM grams
-), marks AS (
-  SELECT DISTINCT id, least.n AS n, least.gram AS gram, least.low AS low, least.high AS high FROM c WHERE total - before >= 40
-), firsts AS (
-  SELECT gram, min({'id': id, 'n': n}) AS f FROM marks GROUP BY gram
-), places AS (
-  SELECT id, n AS seed, f.id AS id0, n - f.n AS shift, unnest(generate_series(low, high)) AS n FROM marks JOIN firsts USING (gram) WHERE id > f.id OR (id = f.id AND n > f.n)
-), equal AS (
-  SELECT p.*, a.words, a.pos, p.n - row_number() OVER (PARTITION BY p.id, seed ORDER BY p.n) AS stretch
-  FROM places p JOIN lines a ON a.id = p.id AND a.n = p.n JOIN lines b ON b.id = p.id0 AND b.n = p.n - shift AND b.hash = a.hash WHERE p.id > p.id0 OR shift > 0
-), seeded AS (
-  SELECT *, bool_or(n = seed) OVER (PARTITION BY id, seed, stretch) AS s FROM equal
-), matched AS (
-  SELECT DISTINCT id, n, pos, words FROM seeded WHERE s
+), w AS (
+  SELECT id, n, before, words, max(before + words) OVER (PARTITION BY id) AS total,
+         list(hash) OVER a AS ahead, max(n) OVER a AS last, list(hash) OVER b AS back, min(n) OVER b AS first
+  FROM lines WINDOW a AS (PARTITION BY id ORDER BY before RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING), b AS (PARTITION BY id ORDER BY before + words RANGE BETWEEN 39 PRECEDING AND CURRENT ROW)
 ), runs AS (
-  SELECT *, n - row_number() OVER (PARTITION BY id ORDER BY n) AS stretch FROM matched
+  SELECT id, n AS a, last AS b, md5(array_to_string(ahead, ',')) AS run FROM w WHERE total - before >= 40
+  UNION SELECT id, first, n, md5(array_to_string(back, ',')) FROM w WHERE before + words >= 40
+), firsts AS (
+  SELECT run, min({'id': id, 'n': a}) AS f FROM runs GROUP BY run
+), covered AS (
+  SELECT DISTINCT id, unnest(generate_series(a, b)) AS n FROM runs JOIN firsts USING (run) WHERE id > f.id OR (id = f.id AND a > f.n)
 ), gone AS (
-  SELECT id, pos FROM (SELECT *, sum(words) OVER (PARTITION BY id, stretch) AS total FROM runs) WHERE total >= 40
+  SELECT id, pos FROM covered JOIN lines USING (id, n)
 ), removed AS (
   SELECT id, count(*) AS n_removed, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM gone GROUP BY 1
 ), kept AS (

@@ -1,9 +1,10 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
-Features are n-grams of words as they stand and of their shapes (runs of upper, lower, digit, each other sign: "IT!!" is
-"A!"), hashed into 2^BITS columns; a column's value is its count over the number of n-grams of its kind, times SCALE. Training
-takes at most max_rows labelled rows (those of least hash of their id), dealt into shards; every shard makes its passes in one
-task, and the weights are averaged. A score is the logistic function of a sparse dot product; whole texts are scored.
+Features are n-grams of words as they stand (one and two words) and of their shapes (one to three; runs of upper, lower, digit,
+each other sign: "IT!!" is "A!"), hashed into 2^BITS columns; a column's value is its count over the number of n-grams of its
+kind, times SCALE. Training takes at most max_rows labelled rows (those of least hash of their id), dealt into shards by number;
+every shard makes its passes in one task, over at most max_bytes / shards of text, and the weights are averaged. A score is the
+logistic function of a sparse dot product; whole texts are scored.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import held_out, map_arrow, row_chunks, table, text_bytes
+from orderloom.llm.common import fresh, held_out, map_arrow, row_chunks, table, text_bytes
 
 BITS = 18
 SCALE = 8.0
-KINDS = 4
+KINDS = 5
 ODD = 0x9E3779B97F4A7C15
 SHAPES = np.array([0 if b == 0x20 or 9 <= b <= 13 else 1 if 0x41 <= b <= 0x5A else 2 if 0x61 <= b <= 0x7A or b > 0x7F else 3 if 0x30 <= b <= 0x39 else b + 4 for b in range(256)], np.uint64)
 
@@ -61,13 +62,13 @@ def columns(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
     yield _column(words, 1), begin
     yield _column(shapes, 2), begin
     row = np.repeat(np.arange(len(starts) - 1), np.diff(begin))
-    for n in (2, 3):
-        gram = shapes[: max(0, len(shapes) - n + 1)].copy()
+    for kind, parts, n in ((3, shapes, 2), (4, shapes, 3), (5, words, 2)):
+        gram = parts[: max(0, len(parts) - n + 1)].copy()
         for k in range(1, n):
-            gram = gram * odd + shapes[k : len(shapes) - n + 1 + k]
+            gram = gram * odd + parts[k : len(parts) - n + 1 + k]
         whole = row[: len(gram)] == row[n - 1 :][: len(gram)]
         counts = np.bincount(row[: len(gram)][whole], minlength=len(starts) - 1)
-        yield _column(gram[whole], 1 + n), np.concatenate([[0], np.cumsum(counts)])
+        yield _column(gram[whole], kind), np.concatenate([[0], np.cumsum(counts)])
 
 
 def _column(hashes: np.ndarray, kind: int) -> np.ndarray:
@@ -115,30 +116,37 @@ def sparse_rows(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarr
         yield own, np.bincount(inverse, x)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 16_384, shards: int = 4, passes: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias. labels may hold an id several times (its least label counts); null ids and labels are left out. With
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 16_384, max_bytes: int = 256 << 20, shards: int = 4, passes: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias, from at most max_rows labelled ids and max_bytes of text. labels may hold an id several times (its least label counts); null ids and labels are left out. With
     no labelled rows all weights are 0."""
     rank = F.xxhash64(id_col)
     sample = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label")).orderBy(rank, id_col).limit(max_rows)
     rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), id_col)
     rows = rows.select(F.pmod(rank, F.lit(shards)).cast("int").alias("shard"), rank.alias("rank"), "text", "label")
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("rank", "text").select("text", "label")
 
-    def learned(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("rank", "ascending"), ("text", "ascending")])
-        model = Ftrl(alpha, beta, l1, l2)
-        held = []  # large arrays, a few for each chunk: their memory goes back to the system afterwards
-        data, starts = text_bytes(part.column("text").combine_chunks())
-        for a, b in row_chunks(starts):
-            at, x = zip(*sparse_rows(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]))
-            held.append((np.concatenate(at).astype(np.int32), np.concatenate(x).astype(np.float32), np.cumsum([0, *map(len, at)])))
-        given = part.column("label").to_pylist()
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, room = Ftrl(alpha, beta, l1, l2), max_bytes // shards
+        held, given = [], []  # large arrays, a few for each chunk: their memory goes back to the system afterwards
+        for batch in batches:
+            if room < 0:
+                continue
+            data, starts = text_bytes(batch.column(0))
+            starts = starts[: int(np.searchsorted(starts, room, "right"))]
+            room -= int(starts[-1]) if len(starts) > batch.num_rows else room + 1
+            for a, b in row_chunks(starts):
+                at, x = zip(*sparse_rows(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]))
+                held.append((np.concatenate(at).astype(np.int32), np.concatenate(x).astype(np.float32), np.cumsum([0, *map(len, at)])))
+            given += batch.column(1).to_pylist()[: max(0, len(starts) - 1)]
+        if not given:
+            return
         for _ in range(passes):
-            rows = ((at[i:j], x[i:j]) for at, x, ends in held for i, j in zip(ends, ends[1:]))
-            for (at, x), label in zip(rows, given):
+            each = ((at[i:j], x[i:j]) for at, x, ends in held for i, j in zip(ends, ends[1:]))
+            for (at, x), label in zip(each, given):
                 model.learn(at, x, label)
-        return pa.table({"n": pa.array([len(given)], pa.int64()), "w": pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([len(given)], pa.int64()), pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
-    parts = rows.groupBy("shard").applyInArrow(learned, "n long, w binary").collect()  # one row of 1 MB for each shard
+    parts = map_arrow(dealt, learned, "n long, w binary").collect()  # one row of 1 MB for each shard
     if not parts:
         return np.zeros(1 << BITS, np.float32), 0.0
     mean = sum(p.n * np.frombuffer(p.w, np.float32).astype(np.float64) for p in parts) / sum(p.n for p in parts)
@@ -149,8 +157,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
     """All columns of docs, and the score (0 to 1) as `into`, replacing a column of that name. Null texts score as empty ones,
     which have the bias alone; repeated rows score alike."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop(into).withColumn("__text", F.col(text_col).cast("string"))
-    out = T.StructType([*rows.drop("__text").schema, T.StructField(into, T.DoubleType())])
+    given = docs.drop(into)
+    (text,) = fresh([*given.columns, into], "__text")
+    rows = given.withColumn(text, F.col(text_col).cast("string"))
+    out = T.StructType([*given.schema, T.StructField(into, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
@@ -178,4 +188,5 @@ def accepted(score: str = "score") -> Column:
 
 def good(docs: DataFrame, labels: DataFrame, all_docs: DataFrame) -> DataFrame:
     """docs that the classifier accepts; it learns from the labelled rows of all_docs."""
-    return scored(docs, train(all_docs, learners(labels)), into="__score").filter(accepted("__score")).drop("__score")
+    (score,) = fresh(docs.columns, "__score")
+    return scored(docs, train(all_docs, learners(labels)), into=score).filter(accepted(score)).drop(score)

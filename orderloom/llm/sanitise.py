@@ -2,11 +2,14 @@
 
 Base spans (e-mail, IP, card, phone) are found by pattern. A term's disclosure of a protected value e is measured on the
 corpus: PMI(t, e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)), with counts of documents; n(t,e) counts documents in
-which t stands within `window` words of e. 1 means that t occurs with e alone. A pair counts only if seen in at least
-`min_contexts` different contexts, so copies of one passage are no evidence. Terms at or over `generalise_at` become a class
-label, at or over `remove_at` they are removed, wherever they occur.
-
-Candidate terms and flagged terms are handled in slices of at most SLICE_TERMS, each small enough to be sent to every task.
+which t stands within `window` words of e. 1 means that t occurs with e alone. A pair counts only if its k different contexts
+(copies of one passage are one) are more than chance: n(t) documents hit those of e at least k times with a probability below
+(e n(t) n(e) / (k N))^k, which must be at most `chance`. Terms at or over `generalise_at` become a class label, at or over
+`remove_at` they are removed, wherever they occur.
+
+Terms are never gathered: candidates and flagged terms meet the documents' words in joins. Before these, words are sifted by a
+bitmap of BITS bits of the terms' hashes, the one thing that is sent to every task; its size does not depend on the terms, and
+what it lets through by chance the joins drop.
 """
 
 from __future__ import annotations
@@ -14,18 +17,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import map_arrow, row_chunks, stored, table, text_bytes
+from orderloom.llm.common import fresh, map_arrow, row_chunks, stored, table, text_bytes
 
 KINDS = ("email", "ip", "card", "phone", "term")
-SLICE_TERMS = 200_000
+BITS = 26
 FLUSH = 100_000
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -126,81 +130,117 @@ def pairs(docs: DataFrame, text_col: str, window: int) -> DataFrame:
     return map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "value string, term string, context long")
 
 
-def slices(terms: DataFrame, size: int = 0) -> Iterator[list[tuple]]:
-    """The rows of terms in slices of at most `size`, by hash of the term, one in the driver's memory at a time."""
-    size = size or SLICE_TERMS
-    n = terms.count()
-    parts = -(-n * 5 // (4 * size)) if n > size else min(n, 1)
-    for k in range(parts):
-        own = terms.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == k) if parts > 1 else terms
-        yield [tuple(r) for r in own.collect()]
+class Sieve:
+    """A bitmap of the hashes of terms: says no to nearly all other words."""
+
+    def __init__(self, terms: DataFrame) -> None:
+        place = F.xxhash64("term").bitwiseAND(F.lit((1 << BITS) - 1))
+        rows = terms.groupBy(F.shiftright(place, 15).alias("block")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+        bits = bytearray(max(4096, 1 << BITS >> 3))
+        for r in rows:  # at most 2^(BITS - 15), of 4 KB each
+            bits[r.block << 12 : (r.block + 1) << 12] = r.bits
+        self.empty, self.bits, self.mask = not rows, bytes(bits), (1 << BITS) - 1
+        self.known: dict[str, bool] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def passed(self, words: Iterable[str]) -> list[str]:
+        known, out = self.known, []
+        if len(known) > FLUSH:
+            known.clear()
+        for word in words:
+            hit = known.get(word)
+            if hit is None:
+                h = xxhash.xxh64_intdigest(word.encode(), 42) & self.mask  # as Spark's xxhash64
+                hit = known[word] = bool(self.bits[h >> 3] >> (h & 7) & 1)
+            if hit:
+                out.append(word)
+        return out
 
 
 def document_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """In how many rows of docs each of the terms occurs."""
-    spark, out = docs.sparkSession, None
-    for own in slices(terms.select("term")):
-        sent = spark.sparkContext.broadcast(frozenset(t for t, in own))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known, counts = sent.value, Counter()
-            for batch in batches:
-                for text in batch.column(0):
-                    if (text := text.as_py()):
-                        counts.update(known.intersection(WORD.findall(text.lower())))
-                if len(counts) > FLUSH:
-                    yield pa.RecordBatch.from_pydict({"term": list(counts), "n": list(counts.values())})
-                    counts.clear()
-            if counts:
+    """In how many rows of docs each of the terms (distinct) occurs."""
+    sent = docs.sparkSession.sparkContext.broadcast(Sieve(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, counts = sent.value, Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                if (text := text.as_py()) and not sieve.empty:
+                    counts.update(sieve.passed(set(WORD.findall(text.lower()))))
+            if len(counts) > FLUSH:
                 yield pa.RecordBatch.from_pydict({"term": list(counts), "n": list(counts.values())})
+                counts.clear()
+        if counts:
+            yield pa.RecordBatch.from_pydict({"term": list(counts), "n": list(counts.values())})
 
-        part = map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    counted = map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "term string, n long")
+    return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", window: int = 8, min_contexts: int = 3, generalise_at: float = 0.9) -> DataFrame:
+def disclosures(docs: DataFrame, text_col: str = "text", window: int = 8, chance: float = 0.001, generalise_at: float = 0.9) -> DataFrame:
     """term, value, disclosure of pairs at or over generalise_at."""
-    spark = docs.sparkSession
     n_docs = docs.count()
-    met = stored(
-        pairs(docs, text_col, window).groupBy("value", "term").agg(F.count("*").alias("n_both"), F.count_distinct("context").alias("n_contexts")).filter((F.col("n_contexts") >= min_contexts) | (F.col("term") == "")),
-        "met",
-    )
+    met = stored(pairs(docs, text_col, window).groupBy("value", "term").agg(F.count("*").alias("n_both"), F.count_distinct("context").alias("k")), "met")
     values = met.filter("term = ''").select("value", F.col("n_both").alias("n_value"))
-    both = met.filter(f"term <> '' and n_contexts >= {int(min_contexts)}")
+    both = met.filter("term <> ''").join(values, "value").filter(F.col("n_value") < n_docs)
     counts = document_counts(docs, text_col, both.select("term").distinct())
-    if counts is None:
-        return spark.createDataFrame([], "term string, value string, disclosure double")
     n = F.lit(float(n_docs))
-    scored = both.join(counts, "term").join(values, "value")
     share = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_value"))) / F.log(n / F.col("n_value"))
-    return scored.filter(F.col("n_value") < n_docs).select("term", "value", share.alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
+    by_chance = F.col("k") * F.log(F.lit(np.e) * F.col("n_term") * F.col("n_value") / (F.col("k") * n))
+    scored = both.join(counts, "term").select("term", "value", share.alias("disclosure"), by_chance.alias("by_chance"))
+    return scored.filter((F.col("disclosure") >= generalise_at) & (F.col("by_chance") <= float(np.log(chance)))).drop("by_chance")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, min_contexts: int = 3, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, chance: float = 0.001, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
     """id_col, spans (kind, start, end in code points; by kind, then start) and sanitised text of every row.
 
     Null and empty texts have no spans and an empty sanitised text. Repeated rows give a row each. Ties in a kind keep the
     leftmost match. An empty table gives an empty one. Other columns are left out, whatever their names."""
-    flagged = stored(disclosures(docs, text_col, window, min_contexts, generalise_at).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "flagged")
+    flagged = stored(disclosures(docs, text_col, window, chance, generalise_at).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "flagged")
+    sieve = Sieve(flagged)
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
     out = T.StructType([docs.select(id_col).schema[0], T.StructField("spans", SPANS), T.StructField("sanitised", T.StringType())])
-    base = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-    lexicons = list(map(dict, slices(flagged)))
-    if len(lexicons) > 1:  # more terms than one slice: find each slice's terms first, then put them together
-        return _in_slices(base, lexicons, out, remove_at)
-    lexicon = docs.sparkSession.sparkContext.broadcast(lexicons[0] if lexicons else {})
+    base = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(fresh([id_col], "text")[0]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of which no word passes the sieve."""
         for batch in batches:
             data, starts = text_bytes(batch.column(1))
             held = may_hold(data, starts)
             for a, b in row_chunks(starts):
                 texts = [data[starts[i] : starts[i + 1]].tobytes().decode() for i in range(a, b)]
-                spans = [(base_spans(t) if held[i] else []) + term_spans(t, lexicon.value) for i, t in enumerate(texts, a)]
-                yield _rows(batch, a, b, spans, [rewritten(t, s, lexicon.value, remove_at) for t, s in zip(texts, spans)])
+                rows = [i for i, t in enumerate(texts) if sent.value.empty or not sent.value.passed(set(WORD.findall(t.lower())))]
+                spans = [base_spans(texts[i]) if held[a + i] else [] for i in rows]
+                yield _rows(batch.column(0).take(pa.array([a + i for i in rows], pa.int64())), batch.schema.field(0), spans, [rewritten(texts[i], s, {}, remove_at) for i, s in zip(rows, spans)])
 
-    return map_arrow(base, run, out)
+    done = map_arrow(base, alone, out)
+    if sieve.empty:
+        return done
+    kind = out[0].dataType
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other rows, with the words that pass."""
+        for batch in batches:
+            found = [sent.value.passed(set(WORD.findall((t.as_py() or "").lower()))) for t in batch.column(1)]
+            rows = pa.array([i for i, w in enumerate(found) if w], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([w for w in found if w], pa.list_(pa.string()))], names=["own", "text", "words"])
+
+    rows = stored(map_arrow(base, passing, T.StructType([T.StructField("own", kind), T.StructField("text", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])), "sifted")
+    rows = rows.withColumns({"key": F.xxhash64("text"), "size": F.length("text")})
+    lexicon = rows.select("key", "size", F.explode("words").alias("term")).distinct().join(flagged, "term").groupBy("key", "size").agg(F.collect_list(F.struct("term", "disclosure")).alias("lexicon"))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans, new = batch.column(1).to_pylist(), [], []
+            for text, own in zip(texts, batch.column(2).to_pylist()):
+                known = {x["term"]: x["disclosure"] for x in own or ()}
+                spans.append(base_spans(text) + term_spans(text, known))
+                new.append(rewritten(text, spans[-1], known, remove_at))
+            yield _rows(batch.column(0), pa.field(out[0].name, batch.schema.field(0).type), spans, new)
+
+    return done.unionByName(map_arrow(rows.join(lexicon, ["key", "size"], "left").select("own", "text", "lexicon"), met, out))
 
 
 def term_spans(text: str, lexicon: dict[str, float]) -> list[tuple[str, int, int]]:
@@ -227,41 +267,9 @@ def rewritten(text: str, spans: list[tuple[str, int, int]], lexicon: dict[str, f
     return "".join([*parts, text[done:]])
 
 
-def _rows(batch: pa.RecordBatch, a: int, b: int, spans: list, texts: list[str]) -> pa.RecordBatch:
+def _rows(ids: pa.Array, field: pa.Field, spans: list, texts: list[str]) -> pa.RecordBatch:
     kinds = [[{"kind": k, "start": s, "end": e} for k, s, e in row] for row in spans]
-    schema = pa.schema([batch.schema.field(0), pa.field("spans", PA_SPANS), pa.field("sanitised", pa.string())])
-    return pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(kinds, PA_SPANS), pa.array(texts, pa.string())], schema=schema)
-
-
-def _in_slices(base: DataFrame, lexicons: list[dict[str, float]], out: T.StructType, remove_at: float) -> DataFrame:
-    """As sanitise, one pass of every row for each slice of the lexicon; found spans travel with the row."""
-    schema = T.StructType([*base.schema, T.StructField("spans", SPANS), T.StructField("removed", T.ArrayType(T.IntegerType()))])
-    rows = base.withColumns({"spans": F.lit(None).cast(SPANS), "removed": F.lit(None).cast("array<int>")})
-    for k, own in enumerate(lexicons):
-        sent = base.sparkSession.sparkContext.broadcast(own)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=k == 0) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                spans, removed = [], []
-                for text, before, gone in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                    text, own = text or "", term_spans(text or "", sent.value)
-                    old = [(x["kind"], x["start"], x["end"]) for x in before or ()] if not first else base_spans(text)
-                    spans.append([{"kind": x, "start": s, "end": e} for x, s, e in old + own])
-                    removed.append((gone or []) + [s for _, s, e in own if sent.value[text[s:e].lower()] >= remove_at])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, PA_SPANS), pa.array(removed, pa.list_(pa.int32()))], schema=pa.schema([batch.schema.field(0), batch.schema.field(1), pa.field("spans", PA_SPANS), pa.field("removed", pa.list_(pa.int32()))]))
-
-        rows = map_arrow(rows, run, schema)
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, texts = [], []
-            for text, found, gone in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                text, row = text or "", sorted(((x["kind"], x["start"], x["end"]) for x in found), key=lambda x: (KINDS.index(x[0]), x[1]))
-                spans.append(row)
-                texts.append(rewritten(text, row, {text[s:e].lower(): 2.0 * (s in set(gone)) for k, s, e in row if k == "term"}, remove_at))
-            yield _rows(batch, 0, len(spans), spans, texts)
-
-    return map_arrow(rows, last, out)
+    return pa.RecordBatch.from_arrays([ids, pa.array(kinds, PA_SPANS), pa.array(texts, pa.string())], schema=pa.schema([field, pa.field("spans", PA_SPANS), pa.field("sanitised", pa.string())]))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

