@@ -1,14 +1,17 @@
 """LM scoring by subword lattices.
 
-A word's probability mixes its discounted count in the training texts with the probability that its letters make it:
-P(w) = (max(c - D, 0) + D V P_sub(w)) / N. P_sub sums over all segmentations of the word into pieces of an existing vocabulary: a
-log-space forward recursion over its bytes, a weight for each piece (apart for pieces that open a word), then a stop. The
-vocabulary's scores give an order only; Zipf's law makes them weights, and passes over the distinct training words move these to
-the expected piece counts. A text is its words and an end, drawn from one of a few classes (languages of the training texts),
-whose own counts are discounted towards P in the same way; the class is not known, so a text's probability sums over them.
+A word's probability is the sum over all its segmentations into pieces of an existing vocabulary: a log-space forward recursion
+over its bytes, a weight for each piece (apart for pieces that open a word), then a stop. The vocabulary's scores give an order
+only; Zipf's law makes them weights, and passes over the training words move these to the expected piece counts, each word as
+often as it occurs. A text is its words and an end: its score is the marginal probability of all ways to segment it.
+
+Beside the score stands mixed_score, a law with whole words in it: P(w) = (max(c - D, 0) + D V P_sub(w)) / N mixes a word's
+discounted count in the training texts with its lattice. The text is drawn from one of a few classes (languages of the training
+texts), whose own counts are discounted towards P in the same way; a text's probability sums over the classes.
 
 Documents are cut into blocks where they are read: a block keeps its distinct words once, and for each document their places and
-counts. Words meet their totals by word, then go back by block; whole texts are never shuffled.
+counts. Words meet their totals by word, then go back by block; whole texts are never shuffled. A word of more than BLOCKS_A_ROW
+blocks is dealt into several rows, so none grows with the corpus.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from orderloom.llm.common import held_out, map_arrow, stored, table, text_bytes
 BLOCK_BYTES = 8 << 20
 WORDS_AT_ONCE = 65_536
 ENTRIES_AT_ONCE = 1 << 20
+BLOCKS_A_ROW = 4096
 
 
 class Vocabulary:
@@ -128,8 +132,8 @@ def word_scores(words: list[bytes], vocabulary: Vocabulary, weights: np.ndarray)
     return out
 
 
-def expected_counts(words: list[bytes], vocabulary: Vocabulary, weights: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over all segmentations of the words, and of the stop."""
+def expected_counts(words: list[bytes], vocabulary: Vocabulary, weights: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece over all segmentations of the words, each so many times, and of the stop."""
     out = np.zeros(len(weights))
     for at, sizes, grid in grids(words):
         arcs = vocabulary.arcs(grid)
@@ -142,8 +146,8 @@ def expected_counts(words: list[bytes], vocabulary: Vocabulary, weights: np.ndar
             for j, rows, piece in arcs[i]:
                 way = weights[piece] + beta[rows, j]
                 beta[rows, i] = np.logaddexp(beta[rows, i], way)
-                out += np.bincount(piece, np.exp(alpha[rows, i] + way - total[rows]), len(out))
-        out[-1] += len(at)
+                out += np.bincount(piece, np.exp(alpha[rows, i] + way - total[rows]) * times[at[rows]], len(out))
+        out[-1] += times[at].sum()
     return out
 
 
@@ -213,22 +217,23 @@ def blocks(docs: DataFrame, classes: int) -> DataFrame:
 
 
 def piece_counts(words: DataFrame, sent, weights: np.ndarray) -> np.ndarray:
-    """Expected piece counts over the distinct training words; the driver gets one row for each piece."""
+    """Expected piece counts over the training words (word, c); the driver gets one row for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros(len(weights)), []
+        total, held, times = np.zeros(len(weights)), [], []
         for batch in batches:
             held += batch.column(0).to_pylist()
+            times += batch.column(1).to_pylist()
             if len(held) >= WORDS_AT_ONCE:
-                total += expected_counts(held, sent.value, weights)
-                held = []
+                total += expected_counts(held, sent.value, weights, np.array(times, float))
+                held, times = [], []
         if held:
-            total += expected_counts(held, sent.value, weights)
+            total += expected_counts(held, sent.value, weights, np.array(times, float))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
     out = np.zeros(len(weights))
-    for r in map_arrow(words.filter("c > 0").select("word"), run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(words.filter("c > 0").select("word", "c"), run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         out[r.piece] = r.n
     return out
 
@@ -266,13 +271,14 @@ def log10_of_words(counts: np.ndarray, sub: np.ndarray, whole: Totals, parts: li
 
 
 def block_scores(words: DataFrame, sent, weights: np.ndarray, whole: Totals, parts: list[Totals]) -> DataFrame:
-    """For each block, its words' training counts and log10 probabilities in each class, packed."""
+    """For each block, its words' training counts and log10 probabilities, in each class and by the lattice alone, packed."""
     m = len(parts)
 
     def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(held)
         counts = np.stack([part.column(3 + k).to_numpy() for k in range(m)], 1)
-        score = log10_of_words(counts.astype(np.float64), word_scores(part.column(0).to_pylist(), sent.value, weights), whole, parts).astype(np.float32)
+        sub = word_scores(part.column(0).to_pylist(), sent.value, weights)
+        score = np.column_stack([log10_of_words(counts.astype(np.float64), sub, whole, parts), sub / np.log(10)]).astype(np.float32)
         c = counts.sum(1)
         row = np.repeat(np.arange(len(c)), pc.list_value_length(part.column(1)).to_numpy())
         code = pc.list_flatten(part.column(1)).combine_chunks().dictionary_encode()
@@ -298,10 +304,10 @@ def block_scores(words: DataFrame, sent, weights: np.ndarray, whole: Totals, par
 
 
 def scored(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, folds: int = 7, fold: int = 2, passes: int = 2, most_classes: int = 6) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score for every row of docs.
 
-    The commonest values of class_col among training texts are classes, the others (and null) one more; scores do not see the
-    column. Null texts are empty: an end alone. Repeated rows count and score as often as they come. Null ids hash as the
+    The commonest values of class_col among training texts are classes of mixed_score, the others (and null) one more; no score
+    sees the column. Null texts are empty: an end alone. Repeated rows count and score as often as they come. Null ids hash as the
     empty text. With no training texts the base of every token is 0 and words have half the lattice's probability, the end the
     other half. An empty table gives an empty one. Other columns are left out, whatever their names."""
     spark = docs.sparkSession
@@ -316,9 +322,15 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"), kind.cast("int").alias("kind"))
     cut = stored(blocks(rows, m), "blocks")
     each = [f"c{k}" for k in range(m)]
-    words = cut.filter("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in each), F.collect_list(F.struct("block", "place")).alias("at"))
-    words = stored(words.select("word", *each, sum(map(F.col, each), F.lit(0)).alias("c"), F.col("at.block").alias("blocks"), F.col("at.place").alias("places")), "words")
     bags = cut.filter("word is null")
+    salts = -(-bags.select("block").distinct().count() // BLOCKS_A_ROW)
+    by = ["word"] if salts < 2 else ["word", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt")]
+    spread = cut.filter("word is not null").groupBy(*by).agg(*(F.sum(c).alias(c) for c in each), F.collect_list(F.struct("block", "place")).alias("at"))
+    spread = stored(spread.select("word", *each, sum(map(F.col, each), F.lit(0)).alias("c"), F.col("at.block").alias("blocks"), F.col("at.place").alias("places")), "words")
+    words = spread
+    if salts > 1:
+        words = stored(spread.groupBy("word").agg(*(F.sum(c).alias(c) for c in [*each, "c"])), "totals")
+        spread = spread.select("word", "blocks", "places").join(words, "word")
     ends = dict.fromkeys(range(m), 0) | {r.kind: r["count"] for r in bags.filter("not held_out").groupBy("kind").count().collect()}
     found = words.agg(*(f(F.col(c)).alias(f"{name}{c}") for c in ("c", *each) for name, f in (("n", F.sum), ("v", lambda c: F.count_if(c > 0)), ("one", lambda c: F.count_if(c == 1)), ("two", lambda c: F.count_if(c == 2))))).first()
     whole, parts = totals_of(found, sum(ends.values()), "c"), [totals_of(found, ends[k], f"c{k}") for k in range(m)]
@@ -330,27 +342,31 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     unit, known_end = float(np.log10(n + whole.v + (whole.ends > 0) + 1)), whole.ends > 0
     end_base = float(np.log10(whole.ends + 1.0)) - unit
     of_end = np.array([np.log10((p.ends or 0.5) / p.n) if p.n else -np.inf if n else np.log10(0.5) for p in parts])
+    log_end = float(np.log10(whole.ends / n if whole.ends else 0.5))
+    of_word = float(np.log10((n - whole.ends) / n)) if n > whole.ends else float(np.log10(0.5))
     share = np.array([p.ends for p in parts], float)
     prior = np.log10(np.maximum(share / share.sum(), 1e-300)) if share.any() else np.log10(np.full(m, 1 / m))
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         size = sum(len(x) // 4 for x in right.column("places").to_pylist())
-        c, s = np.zeros(size, np.int64), np.zeros((size, m), np.float32)
+        c, s = np.zeros(size, np.int64), np.zeros((size, m + 1), np.float32)
         for p, x, y in zip(*(right.column(k).to_pylist() for k in ("places", "counts", "scores"))):
             at = np.frombuffer(p, np.int32)
-            c[at], s[at] = np.frombuffer(x, np.int64), np.frombuffer(y, np.float32).reshape(-1, m)
+            c[at], s[at] = np.frombuffer(x, np.int64), np.frombuffer(y, np.float32).reshape(-1, m + 1)
         base = np.log10(c + 1.0) - unit
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for p, k in zip(left.column("places").to_pylist(), left.column("counts").to_pylist()):
             at, times = np.cumsum(np.frombuffer(p, np.int32)), np.frombuffer(k, np.int32).astype(np.int64)
-            ways = times @ s[at].astype(np.float64) + of_end + prior
+            sums = times @ s[at].astype(np.float64)
+            ways = sums[:m] + of_end + prior
             out[0].append(int(times[c[at] > 0].sum()) + known_end)
             out[1].append(float((base[at] * times).sum()) + end_base)
-            out[2].append(float(ways.max() + np.log10((10 ** (ways - ways.max())).sum())))
-        return pa.table([left.column("doc"), left.column("held_out"), left.column("n_tokens"), pa.array(out[0], pa.int64()), pa.array([n] * len(out[0]), pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            out[2].append(float(sums[m]) + int(times.sum()) * of_word + log_end)
+            out[3].append(float(ways.max() + np.log10((10 ** (ways - ways.max())).sum())))
+        return pa.table([left.column("doc"), left.column("held_out"), left.column("n_tokens"), pa.array(out[0], pa.int64()), pa.array([n] * len(out[0]), pa.int64()), pa.array(out[1], pa.float64()), *(pa.array(x, pa.float64()) for x in out[2:])], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score"])
 
-    per_block = block_scores(words, sent, weights, whole, parts).groupBy("block")
-    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    per_block = block_scores(spread, sent, weights, whole, parts).groupBy("block")
+    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double"
     return bags.select("block", "doc", "held_out", "n_tokens", "places", "counts").groupBy("block").cogroup(per_block).applyInArrow(joined, schema)
 
 

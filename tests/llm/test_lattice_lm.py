@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ import numpy as np
 from orderloom.llm import lattice_lm as L
 
 R = random.Random(4)
+SF = "/root/testdata/sf0.001"
 PIECES = [(p.encode(), o, w) for p, o, w in [("a", True, 1.0), ("ab", True, 2.0), ("b", False, 1.0), ("ba", False, 0.5), ("c", False, 1.0), ("abc", True, 0.2), ("bc", False, 3.0), ("é", True, 0.7)]]
 V = L.Vocabulary(PIECES)
 
@@ -47,11 +49,12 @@ def test_marginals_and_expected_counts_by_enumeration():
         for pieces, w in all_paths:
             for p in (*pieces, -1):
                 want_counts[p] += math.exp(w - total)
-    assert np.allclose(L.expected_counts(words, V, V.weights), want_counts)
+    assert np.allclose(L.expected_counts(words, V, V.weights, np.ones(len(words))), want_counts)
+    assert np.allclose(L.expected_counts(words + words[:2], V, V.weights, np.array([1, 2, 1, 1, 3, 1, 4, 5])), L.expected_counts(words, V, V.weights, np.array([5, 7, 1, 1, 3, 1])))
 
 
 def test_weights_are_probabilities():
-    for w in (V.weights, V.moved(L.expected_counts([b"abc", b"abab"], V, V.weights), 10.0)):
+    for w in (V.weights, V.moved(L.expected_counts([b"abc", b"abab"], V, V.weights, np.array([1, 2])), 10.0)):
         assert math.isclose(np.exp(w[V.opens]).sum(), 1) and math.isclose(np.exp(w[~V.opens]).sum(), 1)
     two = [bytes([a, b]) for a in range(256) for b in range(256)]
     one = [bytes([a]) for a in range(256)]
@@ -73,8 +76,9 @@ def brute(rows, vocabulary, classes=None):
     n, v = sum(c.values()) + ends, len(c) + (ends > 0)
     weights = vocabulary.weights
     for _ in range(2):
-        weights = vocabulary.moved(L.expected_counts(sorted(c), vocabulary, weights), 100.0)
+        weights = vocabulary.moved(L.expected_counts(sorted(c), vocabulary, weights, np.array([c[w] for w in sorted(c)], float)), 100.0)
     every = sorted({w for d in docs for w in d[1]})
+    logs = dict(zip(every, L.word_scores(every, vocabulary, weights))) if every else {}
     sub = dict(zip(every, np.exp(L.word_scores(every, vocabulary, weights)) if every else []))
     p = {w: (max(c[w] - discount(c), 0) + discount(c) * len(c) * sub[w]) / n if n else sub[w] / 2 for w in every}
     models = []
@@ -89,14 +93,15 @@ def brute(rows, vocabulary, classes=None):
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws) + math.log10((ends + 1) / (n + v + 1))
         ways = [math.log10(share) + math.log10(e) + sum(math.log10(pz[w]) for w in ws) for share, pz, e in models if share]
         score = max(ways) + math.log10(sum(10 ** (x - max(ways)) for x in ways))
-        out.append((i, held, len(ws) + 1, sum(c[w] > 0 for w in ws) + (ends > 0), n, base, score))
+        lattice = sum(logs[w] / math.log(10) + math.log10((n - ends) / n if n > ends else 0.5) for w in ws) + math.log10(ends / n if ends else 0.5)
+        out.append((i, held, len(ws) + 1, sum(c[w] > 0 for w in ws) + (ends > 0), n, base, lattice, score))
     return out
 
 
 def same(got, want):
     key = lambda r: (repr(r[0]), r[2], r[5])
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-        assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9, abs_tol=1e-12) and math.isclose(g[6], w[6], rel_tol=1e-5)
+        assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9, abs_tol=1e-12) and math.isclose(g[6], w[6], rel_tol=1e-5) and math.isclose(g[7], w[7], rel_tol=1e-5)
 
 
 def test_scores_against_brute_force(spark, monkeypatch):
@@ -110,6 +115,8 @@ def test_scores_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK_BYTES", 300)
     monkeypatch.setattr(L, "ENTRIES_AT_ONCE", 50)
     same([tuple(r) for r in L.scored(docs, V, class_col="word").collect()], by_class)
+    monkeypatch.setattr(L, "BLOCKS_A_ROW", 3)
+    same([tuple(r) for r in L.scored(docs, V, class_col="word").collect()], by_class)
 
 
 def test_edges(spark):
@@ -120,3 +127,19 @@ def test_edges(spark):
     same([tuple(r) for r in L.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), V, class_col="lang").collect()], brute(rows, V))
     rows = [(i, None, "x") for i in range(9)]
     same([tuple(r) for r in L.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), V, class_col="lang").collect()], brute(rows, V))
+
+
+def test_held_out_texts_against_a_law_of_bytes(spark):
+    """On held-out documents the lattice beats a byte unigram with an end of word, normalised as it is; whole words help further."""
+    if not os.path.isdir(SF):
+        return
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in L.op1_lattice_lm(spark, SF).collect()}
+    words = {i: [w + b" " for w in t.encode().lower().split()] for i, t in rows}
+    counts = Counter(b for i, ws in words.items() if not got[i].held_out for w in ws for b in w)
+    total = sum(counts.values()) + 256
+    held = [i for i in words if got[i].held_out]
+    tokens = sum(len(words[i]) for i in held)
+    n, ends = got[held[0]].train_tokens, sum(not r.held_out for r in got.values())
+    bytes_law = sum(math.log10((counts[b] + 1) / total) for i in held for w in words[i] for b in w) + tokens * math.log10((n - ends) / n) + len(held) * math.log10(ends / n)
+    assert sum(got[i].mixed_score for i in held) > sum(got[i].score for i in held) > bytes_law + 0.3 * tokens
