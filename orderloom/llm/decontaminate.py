@@ -5,8 +5,9 @@ document only if all its words are, so one word of it, its prefix, is enough to
 by counts over all documents. A document's words are joined with the prefixes; the window's place follows from the prefix
 word's place (positional bound), must lie inside the document (length bound), and is then compared word by word.
 
-The benchmark is taken in slices of at most SLICE_BYTES of text, the most that is sent to tasks at once; every slice meets
-every document, and what it finds travels with the row.
+The benchmark is taken in slices of at most SLICE_BYTES of text, the most that is sent to tasks at once (its windows take about
+fifty times as much memory); every slice meets every document, and what it finds travels with the row. A prefix word costs one
+look-up for each place that it has in windows, however many windows it stands for.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import map_arrow, row_chunks, table, text_bytes
+from orderloom.llm.common import fresh, map_arrow, row_chunks, table, text_bytes
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Bytes that are not part of a word become blanks, A-Z become a-z.
 TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256))
 FOUND = [T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
@@ -64,15 +65,17 @@ def corpus_counts(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> dic
 
 
 def index(items: list[tuple[str, bytes]], width: int, counts: dict[bytes, int]) -> dict[bytes, dict]:
-    """Prefix word to {(place in window, window): items}."""
-    of_window: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+    """Prefix word to {(place in window, words of window): {window: items}}."""
+    of_window: dict[tuple[bytes, ...], tuple[str, ...]] = {}
     for item, body in items:
         for window in windows_of(words_of(body), width):
-            of_window[window].add(item)
+            owners = of_window.get(window, ())
+            if item not in owners:
+                of_window[window] = (*owners, item)
     out: dict[bytes, dict] = defaultdict(dict)
     for window, owners in of_window.items():
         place = min(range(len(window)), key=lambda i: (counts.get(window[i], 0), window[i], i))
-        out[window[place]][place, window] = sorted(owners)
+        out[window[place]].setdefault((place, len(window)), {})[window] = owners
     return dict(out)
 
 
@@ -85,9 +88,9 @@ def hits(words: list[bytes], prefixes: dict[bytes, dict]) -> tuple[dict[int, int
     for at, word in enumerate(words):
         if (of_word := prefixes.get(word)) is None:
             continue
-        for (place, window), owners in of_word.items():
-            start, end = at - place, at - place + len(window)
-            if start >= 0 and end <= len(words) and tuple(words[start:end]) == window:
+        for (place, size), windows in of_word.items():
+            start, end = at - place, at - place + size
+            if start >= 0 and end <= len(words) and (owners := windows.get(tuple(words[start:end]))):
                 spans[start] = max(end, spans.get(start, 0))
                 items.update(owners)
     return spans, items
@@ -98,7 +101,9 @@ def overlap(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str
 
     Null and empty texts have no words and no hits; an empty benchmark gives no hits; items without words are left out; equal
     items count each; repeated rows give a row each. Ties in rarity go to the smaller word, then the earlier place."""
-    rows = docs.withColumn("__text", F.col(text_col).cast("string")).withColumns({f"__{f.name}": F.lit(None).cast(f.dataType) for f in FOUND})
+    text, *own_names = fresh([*docs.columns, into], "__text", *(f"__{f.name}" for f in FOUND))
+    n_words, starts_, ends_, items_ = own_names
+    rows = docs.withColumn(text, F.col(text_col).cast("string")).withColumns({name: F.lit(None).cast(f.dataType) for name, f in zip(own_names, FOUND)})
     kept = rows.columns
     for k, items in enumerate(benchmark_slices(benchmark, item_id_col, item_text_col)):
         vocabulary = {w for _, body in items for w in words_of(body)}
@@ -117,17 +122,17 @@ def overlap(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str
                     for own, old, new in zip(out, (b[i] for b in before), (len(words), list(spans), list(spans.values()), sorted(items))):
                         own.append(new if isinstance(new, int) else (old or []) + new)
                 arrays = [pa.array(x, kind) for x, (_, kind) in zip(out, PA_FOUND)]
-                schema = pa.schema([*list(batch.schema)[: n_rest + 1], *(pa.field(f"__{n}", kind) for n, kind in PA_FOUND)])
+                schema = pa.schema([*list(batch.schema)[: n_rest + 1], *(pa.field(n, kind) for n, (_, kind) in zip(own_names, PA_FOUND))])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: n_rest + 1], *arrays], schema=schema)
 
         rows = map_arrow(rows, run, T.StructType([*rows.select(kept).schema]))
     covered = F.aggregate(
-        F.array_sort(F.arrays_zip(F.col("__starts").alias("s"), F.col("__ends").alias("e"))),
+        F.array_sort(F.arrays_zip(F.col(starts_).alias("s"), F.col(ends_).alias("e"))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["to"]))).alias("n"), F.greatest(acc["to"], x["e"]).alias("to")),
     )["n"]
-    found = F.struct(F.col("__n_words").alias("n_words"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("__items")).alias("items"))
-    return rows.withColumn(into, found).drop("__text", *(f"__{f.name}" for f in FOUND))
+    found = F.struct(F.col(n_words).alias("n_words"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(items_)).alias("items"))
+    return rows.withColumn(into, found).drop(text, *own_names)
 
 
 def contaminated(found: str = "contamination") -> Column:
@@ -152,7 +157,8 @@ def digests(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
-    return overlap(docs, benchmark, into="__found").filter(~contaminated("__found")).drop("__found")
+    (found,) = fresh(docs.columns, "__found")
+    return overlap(docs, benchmark, into=found).filter(~contaminated(found)).drop(found)
 
 
 ORACLE = r"""
