@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.plans import diffs, documents, sequences, streams, texts
+from orderloom.plans import diffs, documents, labels, records, sequences, streams, texts
 
-GROUPS = [diffs, sequences, texts, documents, streams]
+GROUPS = [diffs, sequences, texts, documents, labels, records, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
