@@ -1,5 +1,146 @@
 """Rules of the text functions. A rule file may add to them."""
 
+# fixed values: lines that are never items
+SKIP = [
+    r"^\s*c\s*/?\s*o\s*#?\s*\d",
+    r"^chicago\s+blower\s+corporation\b.*\bsales\s+order\b",
+    r"^v\d+\.\d+",
+    r"^(sub\s*)?total\b",
+    r"total\s+(billing|price|order|commission)",
+    r"^amount\s+due",
+    r"^list\s+total\b",
+    r"deduction",
+    r"^freight\b",
+    r"^fob\b",
+    r"^(sales\s+)?tax\b",
+    r"surcharge",
+    r"^lead\s+time\b",
+    r"^customs\s+invoice\b",
+    r"^type\s+price\b",
+    r"^max\s+temp,\s+elevation,\s+density\b",
+    r"^page\s+\d+",
+    r"^\d+\s+of\s+\d+$",
+    r"^sales\s+order\b",
+    r"^order\s*#",
+    r"^order\s+(no|number|date)\b",
+    r"^job\s+(no|number)\b",
+    r"^job\s+name\s*:",
+    r"^location\s*:",
+    r"^sold\s+to\b",
+    r"^ship\s+to\b",
+    r"^bill\s+to\b",
+    r"^customer\s+(po|p\.o\.|order|#|contact)",
+    r"^p\.?\s*o\.?\s*(no|number|#)",
+    r"^terms\b",
+    r"^net\s+\d+",
+    r"^quote\b",
+    r"^quotation\b",
+    r"^phone\b",
+    r"^fax\b",
+    r"^www\.",
+    r"\w@\w",
+    r"^date\b",
+    r"^entered\s+by\b",
+    r"^salesman\b",
+    r"^rep\b",
+    r"^sales\s+office\b",
+    r"^splits?\b",
+    r"list\s+price",
+    r"multiplier",
+    r"^unit\s+price",
+    r"^price\s+each",
+    r"^discount\b",
+    r"^see\s+(additional|special)\b",
+    r"^warranty\b",
+    r"^commission\s+override\b",
+    r"\b(charge|fee)\b",
+    r"^prints?\s*:?\s*$",
+    r"^product\s*:?\s*$",
+    r"^product\s+\$?\d",
+    r"^additional\s+shipping\s+notes?\b",
+    r"^traffic\s+note\b",
+    r"shipping\s+barcode",
+    r"^(?!.*\bdrawings?\b).*do\s+not\s+stack",
+    r"no\s+metal\s+banding",
+    r"^order\s+is\s+shipping\s+overseas\b",
+    r"^customer\s+broker\b",
+    r"^standard\s+address\b",
+    r"^https?\b",
+    r"^(last\s+choice\s+)?(fedex|ups)\b",
+    r"^please\s+send\b",
+    r"^if\s+the\s+shipment\b",
+    r"^lbs\.?\s+contact\b",
+    r"^above\s+email\s+after\b",
+    r"^as\s+well\b",
+    r"^appointment\s+required\b",
+    r"^for\s+(orders|packages)\b",
+    r"^with\s+a\s+ship\s+date\b",
+    r"^contact\s*$",
+    r"^must\s+(appear|be)\b",
+    r"^reference\s+sn\b",
+    r"\bppap\b",
+    r"^kindly\s+note\b",
+    r"^please\s+confirm\b",
+    r"^be\s+necessary\b.*\bfor\s+more\s+information\b",
+    r"^fan\s+drawings?\b",
+    r"^motor\s+prints?\b",
+    r"^motor\s+data\s+sheets?\b",
+    r"^buyout\s+prints?\b",
+    r"^emailed\b",
+    r"^mailed\b",
+    r"^o\s*&\s*m\b",
+    r"^other\s*$",
+    r"^special\s+invoicing\b",
+]
+# fixed values: short lines that open a section
+SECTION_START = [
+    r"^additional\s+features?\b",
+    r"^special\s+features?\b",
+    r"^accessor(y|ies)\b",
+    r"^features?\s*:?\s*$",
+    r"^options?\s*:?\s*$",
+    r"^includes?\s*:?\s*$",
+    r"^scope\s+of\s+supply\b",
+]
+# fixed values: lines that close an open section
+SECTION_END = [
+    r"^notes?\b",
+    r"^tag\b",
+    r"^nameplate\b",
+    r"^total\b",
+    r"^sold\s+to\b",
+    r"^ship\s+to\b",
+    r"^terms\b",
+    r"^approval\b",
+    r"^signature\b",
+    r"^change\s+order",
+    r"^fan\s+drawings?\b",
+    r"^special\s+invoicing\b",
+]
+# fixed values: slots of components: id, group, weight, words of names, beginnings of attributes
+SLOTS = [
+    ("damper", "accessories", 0.02, ["DAMPER", "IVC", "INLET VANE", "VOLUME CONTROL"], ["damper_", "ivc_"]),
+    ("actuator", "accessories", 0.015, ["ACTUATOR", "POSITIONER"], ["actuator_", "positioner_"]),
+    ("silencer", "accessories", 0.01, ["SILENCER", "MUFFLER"], ["silencer_"]),
+    ("door-drain", "accessories", 0.01, ["ACCESS DOOR", "INSPECTION DOOR", "DRAIN", "PRESSURE TAP"], ["door_"]),
+    ("base-isolation", "accessories", 0.02, ["UNITARY BASE", "VIBRATION BASE", "STRUCTURAL BASE", "BASE FRAME", "T-RAIL", "ISOLATOR", "ISOLATION"], ["unitary_base_", "isolation_"]),
+    ("cover-screen-guard", "accessories", 0.02, ["WEATHER COVER", "SCREEN", "GUARD"], ["weather_cover_", "screen_", "guard_"]),
+    ("flex-connector", "accessories", 0.005, ["FLEX CONNECTOR", "FLEXIBLE CONNECTOR", "EXPANSION JOINT"], ["flex_connector_"]),
+    ("motor", "motor", 0.08, ["MOTOR"], ["motor_"]),
+    ("drive-vfd", "motor", 0.04, ["DRIVE", "VFD", "VARIABLE FREQUENCY"], ["drive_", "vfd_"]),
+    ("coupling-belt", "motor", 0.03, ["COUPLING", "BELT", "SHEAVE", "BUSHING"], ["coupling_", "belt_"]),
+    ("wheel", "construction", 0.045, ["WHEEL"], ["wheel_"]),
+    ("housing", "construction", 0.035, ["HOUSING"], ["housing_"]),
+    ("inlet", "construction", 0.025, ["INLET"], ["inlet_"]),
+    ("outlet", "construction", 0.025, ["OUTLET", "DISCHARGE"], ["outlet_"]),
+    ("shaft-bearing", "construction", 0.035, ["SHAFT", "BEARING", "SEAL", "SLEEVE", "COOLER"], ["shaft_", "bearing_"]),
+    ("materials", "construction", 0.035, ["MATERIAL", "STAINLESS", "ALUMINUM"], ["material_"]),
+    ("finish", "construction", 0.03, ["COATING", "PAINT", "PRIMER", "EPOXY", "LINING", "INSULATION"], ["coating_", "lining_", "insulation_"]),
+    ("special", "construction", 0.02, ["SPECIAL CONSTRUCTION", "SPARK", "SPLIT", "FLANGE"], ["special_construction_", "spark_", "split_", "flange_"]),
+]
+# fixed values: attributes and components that say nothing about likeness
+IGNORED_ATTRIBUTES = r"^(?:applies_to|component|description|drawing_|inquiry_num|job_number|label_|note(?:_|$)|quote_number|referenced_po|related_nameplate_|ship_|shipping_|used_on|vendor_quote|warranty_)"
+IGNORED_COMPONENTS = r"(?:\bBASE FAN\b|\bPERCENT WIDTH\b|\bRUN TEST\b|\bINSPECTION\b|\bDRAWINGS?\b|\bTRANSMITTAL\b|\bNAMEPLATE\b|\bLABEL\b|\bMARK\b|\bSHIP(?:PING)?\b|\bFREIGHT\b|\bCRAT(?:E|ING)\b|\bPACKING\b|\bTRUCKING\b|\bSKID\b|\bPAYMODE\b|\bSLOW PAY\b|\bINVOICE\b|\bWARRANTY\b)"
 # fixed values: abbreviations and what they stand for
 ABBREVIATIONS = {
     "W/": "WITH",

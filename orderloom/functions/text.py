@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orderloom.functions.rules import ABBREVIATIONS, TAGS
+from orderloom.functions.rules import ABBREVIATIONS, SECTION_END, SECTION_START, SKIP, TAGS
 
 _FOLDED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1}
 # fixed values: trailing columns of an item line
@@ -67,6 +67,7 @@ def normalize(raw: Column, strip_columns: bool = True, abbreviations: dict[str,
         return let(F.regexp_replace(tok, r"^[.,;:()\[\]]+|[.,;:()\[\]]+$", ""), lambda bare: written_out(tok, bare))
 
     def written_out(tok: Column, bare: Column) -> Column:
+        # fixed values: forms of stainless steel
         steel = F.coalesce(F.nullif(F.regexp_extract(bare, r"^T?(\d{3}L?)(?:SST?|SS)$", 1), F.lit("")), F.nullif(F.regexp_extract(bare, r"^(?:SST?|STAINLESS)(304L?|316L?)$", 1), F.lit("")))
         return (
             F.when(bare == "NAN", F.lit(""))
@@ -117,17 +118,37 @@ def names_in(text: Column, roster: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*(F.when(hit(a), F.lit(n)) for n, a in sorted(roster.items()))))
 
 
+def any_of(text: Column, patterns: list[str]) -> Column:
+    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+
+
+def opens_section(line: Column) -> Column:
+    """A line of at most 48 characters that names a section."""
+    return (F.length(F.trim(line)) <= 48) & any_of(F.trim(line), SECTION_START)
+
+
+def closes_section(line: Column) -> Column:
+    return any_of(F.trim(line), SECTION_END)
+
+
 def line_kind(line: Column, open_section: Column) -> Column:
-    """blank, section_start, section_end, skip, item_priced, item_section or text; open_section: the name of an open one or null."""
-    priced = F.upper(line).rlike(f"(?i){PRICE}") | line.rlike(f"(?i){TYPE_AND_MARK}")
+    """blank, section_start, section_end, skip, item_priced, item_section or text; open_section: the name of an open one or null.
+
+    An item ends in a price or a price type, with letters before it (three of them where a type stands alone). Base fans and what
+    stands in a section are items without either."""
+
+    def unskipped(body: Column, price: Column, kind: Column, mark: Column) -> Column:
+        words = body.rlike("[A-Za-z]") & ~((kind != "") & (price == "") & (mark == "") & ~body.rlike("[A-Za-z]{3}"))
+        plain = F.when(body.rlike(r"(?i)^Base\s+Fan\b"), "item_section").when(open_section.isNotNull(), "item_section").otherwise("text")
+        return F.when((price != "") | (kind != ""), F.when(words, "item_priced").otherwise("text")).otherwise(plain)
+
+    priced = let(split_price(F.trim(line)), lambda p: let(split_type(p["text"]), lambda t: unskipped(t["text"], p["price"], t["type"], t["mark"])))
     return (
         F.when(F.trim(line) == "", "blank")
-        .when(line.rlike(r"(?i)^\s*(accessories|special\s+features|options|additional\s+notes)\s*:?\s*$"), "section_start")
-        .when(line.rlike(r"(?i)^\s*(sub\s*total|total|grand\s+total)\b"), "section_end")
-        .when(line.rlike(r"(?i)^\s*(page\s+\d+|printed\s+on|continued)\b"), "skip")
-        .when(priced, "item_priced")
-        .when(open_section.isNotNull(), "item_section")
-        .otherwise("text")
+        .when(opens_section(line), "section_start")
+        .when(open_section.isNotNull() & closes_section(line), "section_end")
+        .when(any_of(F.trim(line), SKIP), "skip")
+        .otherwise(priced)
     )
 
 

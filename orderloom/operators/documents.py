@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orderloom.functions.text import line_kind, normalize, split_lead, split_price, split_type
+from orderloom.functions.text import closes_section, line_kind, normalize, opens_section, split_lead, split_price, split_type
+
+
+def classified(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
+    """lines with the section that is open after each (null: none), and its kind, which depends on the one open before it."""
+    order = W.partitionBy(doc).orderBy(pos)
+    name = F.regexp_replace(F.trim(line), r"\s*:\s*$", "")
+    event = F.when(opens_section(F.col(line)), F.struct(name.alias("s"))).when(closes_section(F.col(line)), F.struct(F.lit(None).cast("string").alias("s")))
+    rows = lines.withColumn("__event", event)
+    before = F.last("__event", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))["s"]
+    after = F.last("__event", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))["s"]
+    return rows.withColumns({"__before": before, "section": after}).withColumn("kind", line_kind(F.col(line), F.col("__before"))).drop("__event", "__before")
 
 
 def extract_items(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
@@ -16,9 +27,7 @@ def extract_items(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
     The section holds from its heading to a total. A priced line is an item, any line within a section too. Text lines belong
     to the last item before them, unless a heading or a total stands between: an item or a reset, whichever came last."""
     own = W.partitionBy(doc).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    first = lines.withColumn("__kind", line_kind(F.col(line), F.lit(None).cast("string")))
-    heading = F.when(F.col("__kind") == "section_start", F.struct(F.regexp_replace(F.trim(line), r"\s*:\s*$", "").alias("s"))).when(F.col("__kind") == "section_end", F.struct(F.lit(None).cast("string").alias("s")))
-    marked = first.withColumn("section", F.last(heading, ignorenulls=True).over(own)["s"]).withColumn("kind", F.when((F.col("__kind") == "text") & F.col("section").isNotNull() & F.col(line).rlike(r"^\S"), "item_section").otherwise(F.col("__kind")))
+    marked = classified(lines, doc, pos, line)
     is_item = F.col("kind").isin("item_priced", "item_section")
     event = F.when(is_item, F.struct(F.col(pos).cast("long").alias("at"))).when(F.col("kind").isin("section_start", "section_end"), F.struct(F.lit(None).cast("long").alias("at")))
     open_item = marked.withColumn("item", F.last(event, ignorenulls=True).over(own)["at"]).filter("item is not null and kind in ('item_priced', 'item_section', 'text')")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orderloom.operators.sequences import placed
+
 
 def filled(col: Column) -> Column:
     """Null where the text is empty."""
@@ -89,7 +91,7 @@ def added_notes(notes: DataFrame, more: DataFrame, identity: list[str], id_col:
     """Notes with those that they do not hold; new ids follow the highest one, by identity."""
     fresh = more.dropDuplicates(identity).join(notes.select(*identity), identity, "left_anti")
     top = notes.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
-    numbered = fresh.withColumn(id_col, F.row_number().over(W.orderBy(*identity)))  # what one save adds, a few rows
+    numbered = placed(fresh, identity, id_col)
     return notes.unionByName(numbered.crossJoin(F.broadcast(top)).withColumn(id_col, F.col(id_col) + F.col("top")).drop("top"), allowMissingColumns=True)
 
 

@@ -7,6 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def placed(rows: DataFrame, order: list[str], into: str, ranges: int = 64) -> DataFrame:
+    """rows with their place (from 1) by the order columns, ascending. Rows are dealt into ranges of the first column, whose
+    bounds come from a sample of 1,024 values; a range is numbered on its own and the ranges before it are counted."""
+    first = F.col(order[0])
+    sample = sorted(r[0] for r in rows.select(first).filter(first.isNotNull()).orderBy(F.xxhash64(first)).limit(1024).collect())
+    bounds = sample[:: max(1, len(sample) // ranges)][1:]
+    kind = rows.select(first).schema[0].dataType
+    part = F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in bounds)), lambda b: b <= first)) if bounds else F.lit(0)
+    dealt = rows.withColumn("__part", F.when(first.isNull(), -1).otherwise(part))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    offsets = counts.withColumn("__offset", F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).drop("__n")  # a row for each range
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(offsets), "__part").withColumn(into, (F.col("__own") + F.col("__offset")).cast("long")).drop("__part", "__own", "__offset")
+
+
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
@@ -40,9 +55,10 @@ def in_out(presence: DataFrame, key: str, bucket: str, first: int, last: int) ->
 def recent_duplicates(rows: DataFrame, order: str, digest: str, within: int = 25) -> DataFrame:
     """Rows whose digest occurs among the `within` rows before; earlier: the nearest of them.
 
-    Places come from the order; a row is compared with the row before it that has its digest, so nothing is gathered."""
-    before = F.lag(order).over(W.partitionBy(digest).orderBy(order))
-    return rows.withColumn("earlier", before).filter(F.col(order) - F.col("earlier") <= within)
+    Rows get their places first; a row is compared with the row before it that has its digest, so nothing is gathered."""
+    w = W.partitionBy(digest).orderBy("__place")
+    near = placed(rows, [order], "__place").withColumns({"earlier": F.lag(order).over(w), "__before": F.lag("__place").over(w)})
+    return near.filter(F.col("__place") - F.col("__before") <= within).drop("__place", "__before")
 
 
 def row_keys(rows: DataFrame, by: str, base: str, order: list[Column], name: str = "row_key") -> DataFrame:

@@ -10,7 +10,10 @@ from orderloom.plans.labels import EXTRAS, LINES, extras, lines_of_orders
 from orderloom.sources.tables import table
 
 B0, B1, B2 = map(board_sql, (D0, D1, D2))
-K = F.col("o_orderkey")
+
+
+def key():
+    return F.col("o_orderkey")
 
 
 def orders(spark, sf):
@@ -18,7 +21,7 @@ def orders(spark, sf):
 
 
 def attached_drawings(spark, sf):
-    scan = extras(spark, sf).withColumnRenamed("l_orderkey", "o_orderkey").withColumn("folder", F.concat(F.lit("/dwg/"), K.cast("string")))
+    scan = extras(spark, sf).withColumnRenamed("l_orderkey", "o_orderkey").withColumn("folder", F.concat(F.lit("/dwg/"), key().cast("string")))
     return records.with_drawings(orders(spark, sf).select("o_orderkey"), scan, "o_orderkey").select("o_orderkey", F.size("extras").alias("drawings"), "folder", "scanned")
 
 
@@ -35,8 +38,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN p_size > 10 THEN p_type EL
 
 
 def handled_marks(spark, sf):
-    notes = orders(spark, sf).select("o_orderkey", F.when(K % 4 == 0, "handled").otherwise("open").alias("status"), F.when(K % 4 == 0, "before").otherwise("").alias("resolution"), F.when(K % 4 == 0, "d0").alias("handled_at"))
-    marks = orders(spark, sf).filter("o_orderstatus = 'F'").select("o_orderkey", F.when(K % 3 > 0, F.col("o_orderpriority")).alias("resolution"), F.when(K % 5 > 0, "d1").alias("handled_at"))
+    notes = orders(spark, sf).select("o_orderkey", F.when(key() % 4 == 0, "handled").otherwise("open").alias("status"), F.when(key() % 4 == 0, "before").otherwise("").alias("resolution"), F.when(key() % 4 == 0, "d0").alias("handled_at"))
+    marks = orders(spark, sf).filter("o_orderstatus = 'F'").select("o_orderkey", F.when(key() % 3 > 0, F.col("o_orderpriority")).alias("resolution"), F.when(key() % 5 > 0, "d1").alias("handled_at"))
     return records.with_marks(notes, marks, "o_orderkey", F.lit("now"))
 
 
@@ -49,7 +52,7 @@ SELECT o_orderkey, o_orderstatus = 'F' AND o_orderkey % 4 > 0 AS closed, CASE WH
 def explorer_records(spark, sf):
     """The line-item store, the queue and the master of all orders before a day, joined by order."""
     store = lines_of_orders(spark, sf).groupBy(F.col("l_orderkey").alias("job")).agg(F.min("flag").alias("status"), F.max("part").cast("string").alias("customer"))
-    master = orders(spark, sf).filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).select(K.alias("job"), F.when(K % 3 > 0, F.col("o_orderstatus")).otherwise(" ").alias("status"), F.when(K % 2 == 0, F.col("o_custkey").cast("string")).alias("customer"))
+    master = orders(spark, sf).filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).select(key().alias("job"), F.when(key() % 3 > 0, F.col("o_orderstatus")).otherwise(" ").alias("status"), F.when(key() % 2 == 0, F.col("o_custkey").cast("string")).alias("customer"))
     queue = board(spark, sf, D2).select("job", "status", F.lit("").alias("customer"))
     return records.explorer_records(store, queue, master, "job", ["status", "customer"])
 
@@ -62,7 +65,7 @@ SELECT job, coalesce(q.status, m.status, s.status) AS status, coalesce(m.custome
 
 def order_log(spark, sf):
     master = board(spark, sf, D1).select("job", F.lit(True).alias("on_queue"), F.lit(D0).alias("added"), F.lit(None).cast("string").alias("left"))
-    store = orders(spark, sf).select(K.alias("job"), F.col("o_orderdate").cast("date").cast("string").alias("scanned_at"))
+    store = orders(spark, sf).select(key().alias("job"), F.col("o_orderdate").cast("date").cast("string").alias("scanned_at"))
     return records.master_or_store(master, store, "job")
 
 
@@ -79,9 +82,9 @@ SELECT a.job, coalesce(CASE WHEN b.job % 3 > 0 THEN lower(b.status) END, a.statu
 
 def folded_sources(spark, sf):
     """Drawings, then items, then a backfill that leaves alone what is on the board or was verified later."""
-    master = orders(spark, sf).select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(K % 5 == 0, F.col("o_orderpriority")).otherwise("").alias("note"), (K % 4 == 0).alias("on_queue"), F.when(K % 3 > 0, "1997-01-01").alias("verified_at"))
+    master = orders(spark, sf).select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(key() % 5 == 0, F.col("o_orderpriority")).otherwise("").alias("note"), (key() % 4 == 0).alias("on_queue"), F.when(key() % 3 > 0, "1997-01-01").alias("verified_at"))
     drawn = extras(spark, sf).select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("drawn "), F.size("extras").cast("string")).alias("note"))
-    back = orders(spark, sf).select("o_orderkey", F.when(K % 7 > 0, F.lower("o_orderstatus")).otherwise(" ").alias("status"), F.col("o_orderdate").cast("date").cast("string").alias("scanned_at"))
+    back = orders(spark, sf).select("o_orderkey", F.when(key() % 7 > 0, F.lower("o_orderstatus")).otherwise(" ").alias("status"), F.col("o_orderdate").cast("date").cast("string").alias("scanned_at"))
     guard = ~F.col("on_queue") & ~F.coalesce(F.col("verified_at") >= F.col("__scanned_at"), F.lit(False))
     out = records.folded(master, [("drawings", drawn, None), ("backfill", back, guard)], "o_orderkey", ["status", "note"])
     return out.select("o_orderkey", "status", "note", "n_drawings", "n_backfill")
@@ -99,7 +102,7 @@ def merge_counts(spark, sf):
 
 
 def recorded_parses(spark, sf):
-    store = orders(spark, sf).select(K.alias("job"), F.col("o_orderpriority").alias("customer"), F.when(K % 2 == 0, "a.pdf").otherwise("").alias("pdf"), F.lit("old").alias("items"), F.lit("v1").alias("parser"))
+    store = orders(spark, sf).select(key().alias("job"), F.col("o_orderpriority").alias("customer"), F.when(key() % 2 == 0, "a.pdf").otherwise("").alias("pdf"), F.lit("old").alias("items"), F.lit("v1").alias("parser"))
     parsed = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job")).agg(F.min(F.when(F.col("l_returnflag") != "A", "b.pdf").otherwise("")).alias("pdf"), F.count("*").cast("string").alias("items")).filter("items > 3").withColumns({"customer": F.when(F.col("job") % 3 == 0, "known"), "parser": F.lit("v2")})
     return records.recorded(store, parsed, "job", ["customer", "pdf"], ["items", "parser"])
 
@@ -133,8 +136,8 @@ SELECT r.l_orderkey, path, none, rev, s.second FROM r LEFT JOIN s USING (l_order
 
 
 def guarded_state(spark, sf):
-    mine = orders(spark, sf).select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(K % 6 == 0, "1996-05-05").alias("invalidated_at"), F.when(K % 2 == 0, F.col("o_orderdate").cast("date").cast("string")).alias("verified_at"))
-    disk = orders(spark, sf).filter("o_orderkey % 3 > 0").select("o_orderkey", F.when(K % 5 == 0, "1998-01-01").alias("invalidated_at"))
+    mine = orders(spark, sf).select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(key() % 6 == 0, "1996-05-05").alias("invalidated_at"), F.when(key() % 2 == 0, F.col("o_orderdate").cast("date").cast("string")).alias("verified_at"))
+    disk = orders(spark, sf).filter("o_orderkey % 3 > 0").select("o_orderkey", F.when(key() % 5 == 0, "1998-01-01").alias("invalidated_at"))
     return records.guarded_state(mine, disk, "o_orderkey", "invalidated_at", ["status"])
 
 

@@ -190,7 +190,7 @@ QUERIES = {
     "rank_runs": (rank_runs, f"SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY p_size DESC, l_quantity DESC, l_shipdate DESC, l_extendedprice DESC, l_linenumber) AS rank FROM {LINES}"),
     "dedupe_runs": (dedupe_runs, f"SELECT l_orderkey, p_type, l_linenumber FROM {LINES} QUALIFY row_number() OVER (PARTITION BY l_orderkey, p_type ORDER BY p_size DESC, l_quantity DESC, l_shipdate DESC, l_linenumber) = 1"),
     "row_keys": (row_keys, f"SELECT l_orderkey, l_linenumber, p_type, CASE WHEN n = 1 THEN p_type ELSE p_type || '|' || n END AS row_key FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, p_type ORDER BY l_linenumber) AS n FROM {LINES})"),
-    "recent_duplicate": (recent_duplicate, "SELECT doc_id, earlier FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY md5(text) ORDER BY doc_id) AS earlier FROM documents) WHERE doc_id - earlier <= 25"),
+    "recent_duplicate": (recent_duplicate, "WITH p AS (SELECT doc_id, md5(text) AS m, row_number() OVER (ORDER BY doc_id) AS n FROM documents) SELECT doc_id, earlier FROM (SELECT doc_id, n, lag(doc_id) OVER w AS earlier, lag(n) OVER w AS before FROM p WINDOW w AS (PARTITION BY m ORDER BY n)) WHERE n - before <= 25"),
     "miss_streak": (miss_streak, MISS),
     "section_carry": (section_carry, SECTION),
     "orders_changed": (orders_changed, "SELECT user_id, event_type, arg_min(value, event_id) AS first_old, arg_max(value, event_id) AS last_new, count(*) AS steps FROM events GROUP BY 1, 2"),

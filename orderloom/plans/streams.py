@@ -11,27 +11,29 @@ from orderloom.sources.tables import table
 from orderloom.streaming import live
 
 
-#: A batch takes all files of a day's folder.
+#: A batch takes all files.
 ALL = (1 << 31) - 1
 
 
 def folder(spark) -> str:
+    """A new folder in spark.checkpoint.dir; on a local master, where that is unset, in a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{path or tempfile.mkdtemp(prefix='orderloom-')}/stream-{uuid.uuid4().hex}"
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="orderloom-")
+    return f"{path}/stream-{uuid.uuid4().hex}"
 
 
 def stream_fold(spark, sf):
-    """Each day's poll of the events' users as a folder of files, folded one by one; the changes that were announced."""
+    """Each day's poll of the events' users as a folder of files, folded one after another; the changes that were announced."""
     root = folder(spark)
     e = table(spark, sf, "events").select(F.col("user_id").alias("job"), F.col("event_type").alias("status"), F.col("ts").cast("date").cast("string").alias("poll"), "event_id")
     rows = e.filter("poll is not null").groupBy("job", "poll").agg(F.max_by("status", "event_id").alias("status"))
     rows.withColumn("day", F.col("poll")).write.partitionBy("day").json(f"{root}/in")
-    days = [r.poll for r in e.filter("poll is not null").select("poll").distinct().orderBy("poll").collect()]
     schema = "job long, status string, poll string"
-    for k in range(len(days)):
-        polls = live.poll_stream(spark, f"{root}/in/day={{{','.join(days[: k + 1])}}}", schema, max_files=ALL)
-        query = live.watch(polls, f"{root}/out", "job", ["status"], "poll", schema)
-        query.awaitTermination()
+    query = live.watch(live.poll_stream(spark, f"{root}/in", schema, max_files=ALL), f"{root}/out", "job", ["status"], "poll", schema)
+    query.awaitTermination()
     return spark.read.parquet(f"{root}/out/changes").select("job", "delta", "time")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions import scalars, text
 from orderloom.functions.rules import TAGS
-from orderloom.operators import search
+from orderloom.operators import documents, likeness, search
 from orderloom.plans.board import D2, board, board_sql
 from orderloom.sources.tables import table
 
@@ -179,6 +179,30 @@ def order_similarity(spark, sf):
     return search.collection_likeness(both, "parts", "others").select("job", F.round("likeness", 6).alias("likeness"))
 
 
+COMPONENTS = ["Inlet Damper", "Actuator", "Motor", "Shaft Seal", "Wheel", "Epoxy coating", "Nameplate", "Rain Hood", "motor", "Coupling guard"]
+
+
+def whole_orders(spark, sf):
+    """Orders with specs, and a component for each line: named by its part, with attributes of line and part."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey"), F.min("l_quantity").cast("int").alias("q")).join(p, "p_partkey")
+    name = F.element_at(F.array(*map(F.lit, COMPONENTS)), (F.col("p_partkey") % len(COMPONENTS) + 1).cast("int"))
+    attrs = F.map_filter(F.create_map(F.lit("quantity"), F.concat((F.col("q") % 3).cast("string"), F.lit(" ea")), F.lit("material"), F.concat_ws(" | ", "p_brand", "p_type"), F.lit("note_text"), F.col("p_type"), F.lit("damper_size"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string"))), lambda k, v: v.isNotNull())
+    parts = l.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.struct(name.alias("name"), F.map_entries(attrs).alias("attrs")).alias("c")))), lambda x: F.struct(x["c"]["name"].alias("name"), F.map_from_entries(x["c"]["attrs"]).alias("attrs"))).alias("components"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.create_map(F.lit("Design"), F.col("o_orderstatus"), F.lit("Size"), F.col("o_orderpriority"), F.lit("Class"), F.when(F.col("o_custkey") % 4 > 0, (F.col("o_custkey") % 3).cast("string"))).alias("specs"))
+    rows = o.join(parts, "l_orderkey", "left").withColumn("components", F.coalesce("components", F.array().cast("array<struct<name:string,attrs:map<string,string>>>")))
+    return rows.select(F.col("l_orderkey").alias("job"), F.struct("specs", "components", (F.size("components") > 0).alias("observed")).alias("o"))
+
+
+def order_likeness(spark, sf):
+    """Each order with the next; in focus its first component, which should be of that component's first material."""
+    o = whole_orders(spark, sf)
+    both = o.join(o.select((F.col("job") - 1).alias("job"), F.col("o").alias("other")), "job").withColumn("r", likeness.order_likeness(F.col("o"), F.col("other")))
+    focus = text.let(likeness.prepared(F.col("o.components")), lambda a: text.let(likeness.prepared(F.col("other.components")), lambda b: likeness.focused(F.col("r.score"), F.get(a, 0), b, {"material": "PROMO"})))
+    rounded = [F.round(f"r.{c}", 6).alias(c) for c in ("score", "raw", "coverage")]
+    return both.select("job", *rounded, "r.shared", F.round(focus["score"], 6).alias("focused"), focus["matched"].alias("pins"))
+
+
 ROSTER = {"Ana Holt": ["Ana Holt", "A. Holt"], "Ben": ["Ben"], "The One": ["the"]}
 
 
@@ -231,18 +255,27 @@ SPLIT = """
 SELECT p_partkey, (['A/4V', 'A/9', 'A/10X', ''])[p_partkey % 4 + 1] AS code, p_name AS note, p_size || (['', ' 1/2', '.5', '-3/4'])[p_partkey % 4 + 1] AS size, p_brand AS rest, ([p_brand, CAST(p_size AS VARCHAR), p_name, 'x'])[p_partkey % 4 + 1] AS design FROM part"""
 
 
+# lines and what they are: without an open section, and within one
+KINDS = [
+    ("Accessories:", "section_start", "section_start"), ("  Additional Features", "section_start", "section_start"), ("Additional features that a heading has no room for at all", "text", "item_section"),
+    ("Notes", "text", "section_end"), ("Total 12.00", "skip", "section_end"), ("FREIGHT ALLOWED", "skip", "skip"), ("www.example.com", "skip", "skip"), ("do not stack", "skip", "skip"), ("drawings: do not stack", "text", "item_section"),
+    ("Inlet screen L 45.00", "item_priced", "item_priced"), ("Shaft seal N/C", "item_priced", "item_priced"), ("1200 1750 45.00", "text", "text"), ("AB L", "text", "text"), ("Drain L", "item_priced", "item_priced"), ("Rain hood L STD", "item_priced", "item_priced"),
+    ("Base Fan size 27", "item_section", "item_section"), ("plain words", "text", "item_section"), ("   ", "blank", "blank"), ("co#2 changed", "skip", "skip"), ("SCOPE OF SUPPLY", "section_start", "section_start"),
+]
+
+
 def classify_lines(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    marked = d.withColumn("line", F.when(F.col("pos") % 7 == 2, "Accessories:").when(F.col("pos") % 11 == 5, "Sub total 12.00").when(F.col("pos") % 13 == 6, F.concat(F.substring("line", 1, 9), F.lit(" L 45.00"))).otherwise(F.col("line")))
-    return marked.groupBy("doc_id", text.line_kind(F.col("line"), F.lit(None).cast("string")).alias("kind")).agg(F.count("*").alias("n"))
+    """Events of a user as lines of a document."""
+    line = F.element_at(F.array(*(F.lit(k[0]) for k in KINDS)), ((F.col("event_id") * 7 + F.col("user_id")) % len(KINDS) + 1).cast("int"))
+    rows = documents.classified(table(spark, sf, "events").select("user_id", "event_id", line.alias("line")), "user_id", "event_id", "line")
+    return rows.select("event_id", "kind", F.coalesce("section", F.lit("")).alias("section"))
 
 
-CLASSIFY = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents),
-m AS (SELECT doc_id, CASE WHEN pos % 7 = 2 THEN 'Accessories:' WHEN pos % 11 = 5 THEN 'Sub total 12.00' WHEN pos % 13 = 6 THEN substr(line, 1, 9) || ' L 45.00' ELSE line END AS line FROM l)
-SELECT doc_id, CASE WHEN trim(line) = '' THEN 'blank' WHEN line = 'Accessories:' THEN 'section_start' WHEN line = 'Sub total 12.00' OR regexp_matches(line, '^\s*(sub\s*total|total|grand\s+total)\b', 'i') THEN 'section_end'
-  WHEN regexp_matches(line, '^\s*(page\s+\d+|printed\s+on|continued)\b', 'i') THEN 'skip'
-  WHEN regexp_matches(line, '(?:^|\s)(\$\s*\d[\d,]*(?:\.\d{2})?|\d{1,3}(?:,\d{3})+(?:\.\d{2})?|\d+\.\d{2}|N/?C\b|NO\s+CHARGE|INCLUDED)\s*$', 'i') OR regexp_matches(line, '\s+([LCN])\s+(STD|INC|INCL|INCLUDED|N/?C|N/?A)\.?\s*$', 'i') THEN 'item_priced' ELSE 'text' END AS kind, count(*) AS n FROM m GROUP BY 1, 2"""
+CLASSIFY = f"""
+WITH k AS (SELECT unnest([{", ".join(f"{{'i': {i}, 'line': '{a}', 'out': '{b}', 'ins': '{c}'}}" for i, (a, b, c) in enumerate(KINDS))}]) AS k), e AS (SELECT event_id, user_id, k.k AS k FROM events JOIN k ON k.k.i = (event_id * 7 + user_id) % {len(KINDS)}),
+s AS (SELECT *, CASE WHEN k.out = 'section_start' THEN event_id WHEN k.ins = 'section_end' THEN -event_id END AS ev FROM e),
+w AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, last_value(ev IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS after FROM s)
+SELECT w.event_id, CASE WHEN before > 0 THEN w.k.ins ELSE w.k.out END AS kind, CASE WHEN after > 0 THEN rtrim(trim(o.k.line), ':') ELSE '' END AS section FROM w LEFT JOIN e o ON o.event_id = w.after"""
 
 
 def validate_orders(spark, sf):
@@ -270,6 +303,7 @@ QUERIES = {
     "base_fan_match": (base_fan_match, f"SELECT o_orderkey, CASE WHEN s <> s2 OR p <> p2 OR coalesce(c <> c2, false) THEN 0.0 WHEN c IS NULL OR c2 IS NULL THEN 0.995 ELSE 1.0 END::DOUBLE AS score FROM {TWO}"),
     "core_similarity": (core_similarity, CORE),
     "order_similarity": (order_similarity, None),
+    "order_likeness": (order_likeness, None),
     "engineer_detect": (engineer_detect, ENGINEERS),
     "scalar_columns": (scalar_columns, SCALARS),
     "split_columns": (split_columns, SPLIT),

@@ -22,8 +22,16 @@ def latest_day(days: DataFrame, today: str, lookback: int = 14, day_col: str = "
     return days.filter((day < now) & (day >= F.date_sub(now, lookback))).agg(F.max(day).alias(day_col)).filter(F.col(day_col).isNotNull())
 
 
-def json_store(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A JSON-lines store; malformed lines are left out, absent keys are null."""
+def json_store(spark: SparkSession, path: str, schema: str, malformed: str | None = None) -> DataFrame:
+    """A JSON-lines store; absent keys are null, a store that is not there yet is empty. Malformed lines are left out, or kept
+    whole in the column named `malformed`."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if malformed:
+        schema = f"{schema}, `{malformed}` string"
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    if malformed:
+        return spark.read.schema(schema).option("columnNameOfCorruptRecord", malformed).json(path)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 

@@ -1,7 +1,8 @@
 """The poll loop as Structured Streaming: files of polls in, queue state and change events out.
 
 The state is a keyed table in the shared folder, a version for each batch: a batch reads the version before it and writes its
-own, so a batch that is run again after a failure gives the same rows. An empty poll is a failed scrape and changes nothing.
+own, so a batch that is run again after a failure gives the same rows. Polls of one batch are folded by their stamps, one after
+another. An empty poll is a failed scrape and changes nothing.
 The first batch is the baseline and announces nothing.
 """
 
@@ -37,20 +38,26 @@ def fold(spark: SparkSession, root: str, key: str, fields: list[str], stamp: str
         return None
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        now = batch.agg(F.max(stamp)).first()[0]
-        if now is None:
-            return
-        state = state_before(batch_id)
-        baseline = state is None
-        if state is None:
-            state = spark.createDataFrame([], schema).select(key, *fields).withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in STATE.split(", ")})
-        rows = batch.dropDuplicates([key]).select(key, *fields)
-        after = record_poll(state, rows, key, fields, F.lit(now), baseline).persist()
+        batch = batch.persist()
         try:
-            after.drop("delta").write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
-            after.filter("delta is not null").select(key, "delta", F.lit(now).alias("time")).write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
+            stamps = [r[0] for r in batch.select(stamp).filter(F.col(stamp).isNotNull()).distinct().orderBy(stamp).collect()]  # one of each poll
+            state = state_before(batch_id) if stamps else None
+            for k, now in enumerate(stamps):
+                baseline = state is None
+                if state is None:
+                    state = spark.createDataFrame([], schema).select(key, *fields).withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in STATE.split(", ")})
+                # the latest row of a key, by all fields on ties
+                rows = batch.filter(F.col(stamp) == now).groupBy(key).agg(F.max(F.struct(*fields)).alias("r")).select(key, "r.*")
+                after = record_poll(state, rows, key, fields, F.lit(now), baseline).persist()
+                try:
+                    path = f"{root}/state/batch={batch_id}" if k == len(stamps) - 1 else f"{root}/state/part={batch_id}-{k}"
+                    after.drop("delta").write.mode("overwrite").parquet(path)
+                    after.filter("delta is not null").select(key, "delta", F.lit(now).alias("time")).write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}-{k}")
+                    state = spark.read.parquet(path)
+                finally:
+                    after.unpersist()
         finally:
-            after.unpersist()
+            batch.unpersist()
 
     return run
 
