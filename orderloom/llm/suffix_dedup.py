@@ -12,8 +12,8 @@ interval of each order, at depths d and n - d. Orders change at few depths, so f
 LENGTH is what is removed. The same orders settle strings of SHORT bytes, about forty words: passages that repeat but are too
 short to be removed are counted.
 
-Groups of more than GROUP different members (one gram in very many contexts) are not brought into one task: their strings are
-counted by hash, with partial sums.
+Groups of more than GROUP different members (one gram in very many contexts; so many bodies take about 13 MB) are not brought
+into one task: their strings are counted by hash, with partial sums.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from orderloom.llm.common import map_arrow, stored, table, text_bytes
 LENGTH, SHORT, GRAM = 400, 256, 65
 SPAN = SHORT - GRAM + 1  # grams in a window
 SHALLOW = 12
-GROUP = 2_000
+GROUP = 20_000
 PIECE = 1 << 20
 ODD, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 KEY = ["id", "tie"]
@@ -330,7 +330,7 @@ def repeated_spans(rows: DataFrame, group: int = 0) -> DataFrame:
     Keys that stand in very many places are never one task's: what is joined has a row for each key, made by partial sums, and
     a large side is dealt anew by the planner."""
     found = stored(anchor_rows(rows), "anchors")
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    often = stored(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated-grams")
     again = stored(found.join(often, "gram"), "repeated-anchors")
     runs = stored(again.groupBy("gram", "run").agg(F.count("*").alias("copies"), F.max(F.struct(*KEY, "p", "lo", "hi", "size")).alias("rep")), "runs")
     first, last = F.col("p") - F.col("lo"), F.col("p") - F.col("hi")
