@@ -82,10 +82,12 @@ def lexical(urls: DataFrame, url: Column, host: Column, path: Column) -> DataFra
     )
 
 
-def with_suffixes(rows: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
-    """suffixes: a row for each suffix of labelled rows; the planner knows its size and broadcasts it where it is small."""
+def with_suffixes(rows: DataFrame, suffixes: DataFrame, rate: float, smooth: float = 10.0, own: tuple[Column, Column] | None = None) -> DataFrame:
+    """suffixes: a row for each suffix of labelled rows (seen, blocked); the planner knows its size and broadcasts it where it is
+    small. own: what a row itself adds to both, which is taken off, so that no row learns from its own label."""
+    seen, blocked = (F.coalesce(c, F.lit(0)) - (o if own else 0) for c, o in zip(("seen", "blocked"), own or (None, None)))
     joined = rows.join(suffixes, "suffix", "left")
-    return joined.withColumns({"f_suffix_rate": F.coalesce("rate", F.lit(rate)), "f_suffix_count": F.log1p(F.coalesce("seen", F.lit(0)).cast("double"))}).drop("rate", "seen", "suffix")
+    return joined.withColumns({"f_suffix_rate": (blocked + smooth * rate) / (seen + smooth), "f_suffix_count": F.log1p(seen.cast("double"))}).drop("seen", "blocked", "suffix")
 
 
 def assemble(rows: DataFrame) -> DataFrame:
@@ -98,16 +100,15 @@ def train(labelled: DataFrame, max_rows: int = 8_192, trees: int = 10, depth: in
     counted = stored(counts, "suffix-counts")
     known = counted.agg(F.sum("seen").alias("n"), F.sum("blocked").alias("b")).first()
     rate = (known.b or 0.0) / (known.n or 1)
-    suffixes = stored(counted.select("suffix", "seen", ((F.col("blocked") + smooth * rate) / (F.col("seen") + smooth)).alias("rate")), "suffixes")
     if rate in (0.0, 1.0):
-        return None, suffixes, rate
-    distinct = labelled.select("url", "host", "path", "verdict").distinct()
+        return None, counted, rate
+    distinct = labelled.groupBy("url", "host", "path", "verdict").agg(F.count("*").alias("copies"))
     parts = [distinct.filter(F.col("verdict") == v).orderBy(F.xxhash64("url"), "url").limit(max_rows) for v in ("block", "allow")]
     chosen = parts[0].unionByName(parts[1]).withColumn("label", (F.col("verdict") == "block").cast("double"))
     sample = stored(lexical(chosen, F.col("url"), F.col("host"), F.col("path")), "labelled-urls")
-    rows = assemble(with_suffixes(sample, suffixes, rate)).select("features", "label").repartition(4)
+    rows = assemble(with_suffixes(sample, counted, rate, smooth, (F.col("copies"), F.col("copies") * F.col("label")))).select("features", "label").repartition(4)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=7, stepSize=0.2).fit(rows)
-    return model, suffixes, rate
+    return model, counted, rate
 
 
 def judged(urls: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", max_rows: int = 8_192) -> DataFrame:

@@ -57,10 +57,17 @@ def test_suffixes_are_counted_over_all_rows_and_fitted_rows_are_distinct(spark,
     _, suffixes, rate = U.train(spark.createDataFrame(rows, "url string, host string, path string, verdict string"), max_rows=3)
     blocked = [verdict[u] == "block" for u in urls]
     assert abs(rate - sum(blocked) / len(urls)) < 1e-12
-    got = {r.suffix: (r.seen, r.rate) for r in suffixes.collect()}
+    got = {r.suffix: (r.seen, r.blocked) for r in suffixes.collect()}
     want = Counter(".".join(u.split("/")[2].split(".")[-2:]) for u in urls)
     assert {k: n for k, (n, _) in got.items()} == want
     hits = Counter(".".join(u.split("/")[2].split(".")[-2:]) for u, b in zip(urls, blocked) if b)
-    assert all(abs(r - (hits[k] + 10 * rate) / (n + 10)) < 1e-12 for k, (n, r) in got.items())
+    assert {k: b for k, (_, b) in got.items()} == {k: hits[k] for k in want}
+    asked = spark.createDataFrame([(k,) for k in [*want, "new.suffix"]], "suffix string")
+    rates = {r.k: (r.f_suffix_rate, r.f_suffix_count) for r in U.with_suffixes(asked.selectExpr("*", "suffix AS k"), suffixes, rate).collect()}
+    assert all(abs(r - (hits[k] + 10 * rate) / (want[k] + 10)) < 1e-12 and abs(n - math.log1p(want[k])) < 1e-12 for k, (r, n) in rates.items()) and len(rates) == len(want) + 1
+    for r in fitted[0].collect():  # no row sees its own label: all its copies are taken off
+        k = ".".join(r.host.split(".")[-2:])
+        left, bad = want[k] - urls.count(r.url), hits[k] - urls.count(r.url) * r.label
+        assert abs(r.f_suffix_rate - (bad + 10 * rate) / (left + 10)) < 1e-12 and abs(r.f_suffix_count - math.log1p(left)) < 1e-12
     sample = [(r.url, r.label) for r in fitted[0].collect()]
     assert len(sample) == len(set(sample)) == 6 and Counter(x for _, x in sample) == {0.0: 3, 1.0: 3}
