@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orderloom.functions.text import compare_form, normalize, tags
+from orderloom.functions.text import compare_form, let, normalize, tags
 
 #: Score of a field that one side does not know.
 UNKNOWN = 0.5
@@ -22,11 +22,11 @@ EXACT, CONTAINS, WORDS, FOUND = 1.0, 0.92, 0.55, 0.90
 
 
 def tagged(items: DataFrame, line: str, rules: dict[str, list[str]] | None = None, strip_columns: bool = True) -> DataFrame:
-    """items with norm and tags. Rules are many and lines repeat: they are normalised once per distinct line and tagged once per
-    distinct normal form, then joined back."""
-    lines = items.select(line).distinct().withColumn("norm", normalize(F.col(line), strip_columns))
-    norms = lines.select("norm").distinct().withColumn("tags", tags(F.col("norm"), rules))
-    return items.join(lines.join(norms, "norm"), line, "left")
+    """items with norm and tags. Rules are many and lines repeat: they are normalised and tagged once per distinct line, then
+    joined back."""
+    both = let(normalize(F.col(line), strip_columns), lambda n: F.struct(n.alias("norm"), tags(n, rules).alias("tags")))
+    lines = items.select(line).distinct().withColumn("__r", both).select(line, "__r.norm", "__r.tags")
+    return items.join(lines, line, "left")
 
 
 def search(items: DataFrame, job: str, text: str, tags: str, terms: list[str], any_term: bool = False, tag: str | None = None) -> DataFrame:
