@@ -95,8 +95,9 @@ def document_of(href: Column) -> Column:
     return F.struct(part("fn").alias("fn"), F.when(kind != "", kind).otherwise(part("pid")).alias("type"), F.regexp_extract(part("pid"), DOCUMENT, 3).try_cast("int").alias("rev"))
 
 
-def plain_type(kind: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(kind, F.lit(""))), "^(?:cbc_|cs_)", "")
+def plain_type(kind: Column, prefixes: list[str]) -> Column:
+    """Lower case, without the prefix of a site."""
+    return F.regexp_replace(F.lower(F.coalesce(kind, F.lit(""))), f"^(?:{'|'.join(prefixes)})", "")
 
 
 def filled_json(fields: dict[str, Column]) -> Column:

@@ -97,9 +97,9 @@ SELECT o_custkey, max(CASE WHEN n = 1 THEN job || ' (' || suffixes || ')' END) |
 
 def document_links(spark, sf):
     k = F.col("p_partkey")
-    pid = F.when(k % 3 > 0, F.concat(F.element_at(F.array(F.lit("CBC_so"), F.lit("cs_"), F.lit("drw")), (k % 3 + 1).cast("int")), F.lower("p_type"), F.lit("-"), k.cast("string"), F.lit("-"), F.col("p_size").cast("string"), F.lit("-A1"))).otherwise(F.lower("p_brand"))
+    pid = F.when(k % 3 > 0, F.concat(F.element_at(F.array(F.lit("SITE_so"), F.lit("cs_"), F.lit("drw")), (k % 3 + 1).cast("int")), F.lower("p_type"), F.lit("-"), k.cast("string"), F.lit("-"), F.col("p_size").cast("string"), F.lit("-A1"))).otherwise(F.lower("p_brand"))
     found = labels.document_of(F.concat(F.lit("https://host.example/doc.aspx?pid="), F.url_encode(pid), F.lit("&fn="), F.url_encode("p_name"), F.lit("#x")))
-    return table(spark, sf, "part").select("p_partkey", found["fn"].alias("fn"), found["type"].alias("type"), found["rev"].alias("rev"), labels.plain_type(found["type"]).alias("plain"))
+    return table(spark, sf, "part").select("p_partkey", found["fn"].alias("fn"), found["type"].alias("type"), found["rev"].alias("rev"), labels.plain_type(found["type"], ["site_", "cs_"]).alias("plain"))
 
 
 DOCUMENTS = """
