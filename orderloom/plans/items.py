@@ -7,50 +7,106 @@ from pyspark.sql import functions as F
 from orderloom.operators import items
 from orderloom.sources.tables import table
 
-# lines of documents with their details, and the tags that they must get; parts stand in for the items that print them
+# lines of documents with their details, the tags and the attributes that they must get; parts stand in for the items that print them
 CASES = [
-    ("Base Fan with motor, mounted", [], "BASE FAN"),
-    ("Motor, 5 HP, explosion proof", ["C-flange"], "MOTOR"),
-    ("Inlet, Flanged, Punched (with IVC)", [], "FLANGE,INLET"),
-    ("Inlet Volume Control, Low Leak", ["Actuator: by others"], "ACTUATOR,DAMPER,INLET VANES,LOW LEAKAGE"),
-    ("Outlet Damper with actuator", [], "ACTUATOR,DAMPER"),
-    ("Housing drain", [], "DRAIN"),
-    ("Weather cover painted yellow", [], "WEATHER COVER"),
-    ("Belt guard, painted, motor end", [], "BELT GUARD"),
-    ("Paint wheel with epoxy", [], "COATING"),
-    ("Assembly of wheel by others", [], "MISC NOTE"),
-    ("Motor 316SS hardware", [], "MOTOR"),
-    ("Housing 304SS", [], "HOUSING,MATERIALS,STAINLESS STEEL"),
-    ("Extended lube lines", [], "BEARINGS,MOTOR"),
-    ("Grease fittings for motor bearings", [], "MOTOR"),
-    ("Fan suitable for operation to 150 F", [], "EXTREME TEMP"),
-    ("Silencer, zinc coated", [], "SILENCER"),
-    ("Split housing, wheel inside", [], "SPLIT HOUSING,WHEEL"),
-    ("Flex connector with flange", ["Flow liner"], "FLEX CONNECTOR"),
-    ("Non-wheel end bearing support", [], "HOUSING"),
-    ("Customer assumes responsibility for the motor", [], "MISC NOTE"),
-    ("Warranty 24 months from shipment, motor", [], "WARRANTY"),
-    ("V-belt drive, motor sheave", [], "DRIVE COMPONENTS"),
-    ("Isolated bearings, rubber in shear", [], ""),
-    ("Mixing box, inlet open", [], "MIXING BOX"),
-    ("Liner on blades and scroll", [], "HOUSING,LINING,WHEEL"),
-    ("Changed ship via UPS ground, damper", [], "SHIPPING"),
-    ("Something else", [], ""),
+    ("Base Fan with motor, mounted", [], "BASE FAN", ""),
+    ("Motor, 5 HP, explosion proof", ["C-flange"], "MOTOR", "component=MOTOR; motor_mounting=C-FLANGE"),
+    ("Inlet, Flanged, Punched (with IVC)", [], "FLANGE,INLET", ""),
+    ("Inlet Volume Control, Low Leak", ["Actuator: by others"], "ACTUATOR,DAMPER,INLET VANES,LOW LEAKAGE", "leakage_class=LOW LEAKAGE; used_on=IVC"),
+    ("Outlet Damper with actuator", [], "ACTUATOR,DAMPER", "used_on=OUTLET DAMPER"),
+    ("Housing drain", [], "DRAIN", "component=HOUSING DRAIN; size=STD"),
+    ("Weather cover painted yellow", [], "WEATHER COVER", "component=WEATHER COVER; weather_cover_type=WEATHER COVER"),
+    ("Belt guard, painted, motor end", [], "BELT GUARD", "component=BELT GUARD; tach_hole_location=MOTOR END"),
+    ("Paint wheel with epoxy", [], "COATING", ""),
+    ("Assembly of wheel by others", [], "MISC NOTE", ""),
+    ("Motor 316SS hardware", [], "MOTOR", "component_material=STAINLESS STEEL"),
+    ("Housing 304SS", [], "HOUSING,MATERIALS,STAINLESS STEEL", "material=STAINLESS STEEL"),
+    ("Extended lube lines", [], "BEARINGS,MOTOR", "component_review=UNCLEAR GREASE TARGET - VERIFY MOTOR/BEARINGS/ARRANGEMENT; extended_grease_fittings=YES"),
+    ("Grease fittings for motor bearings", [], "MOTOR", "component=MOTOR; extended_grease_fittings=YES"),
+    ("Fan suitable for operation to 150 F", [], "EXTREME TEMP", "temperature_rating=150F; temperature_service=HIGH TEMPERATURE"),
+    ("Silencer, zinc coated", [], "SILENCER", ""),
+    ("Split housing, wheel inside", [], "SPLIT HOUSING,WHEEL", "component=SPLIT HOUSING"),
+    ("Flex connector with flange", ["Flow liner"], "FLEX CONNECTOR", "component=FLEX CONNECTOR; feature=FLOW LINER; flex_connector_type=FLEX CONNECTOR"),
+    ("Non-wheel end bearing support", [], "HOUSING", ""),
+    ("Customer assumes responsibility for the motor", [], "MISC NOTE", ""),
+    ("Warranty 24 months from shipment, motor", [], "WARRANTY", ""),
+    ("V-belt drive, motor sheave", [], "DRIVE COMPONENTS", "component=DRIVE COMPONENTS; drive_subcategory=V-BELT DRIVE"),
+    ("Isolated bearings, rubber in shear", [], "", ""),
+    ("Mixing box, inlet open", [], "MIXING BOX", ""),
+    ("Liner on blades and scroll", [], "HOUSING,LINING,WHEEL", "lining_scope=HOUSING SCROLL, WHEEL BLADES"),
+    ("Changed ship via UPS ground, damper", [], "SHIPPING", ""),
+    ("Something else", [], "", ""),
+    ("Wheel with 90% effective diameter", [], "SPECIAL CONSTRUCTION,WHEEL", "component=WHEEL; wheel_effective_diameter_percent=90; wheel_feature=EFFECTIVE DIAMETER"),
+    ("Taperlock bushing, 1 7/8 bore", [], "WHEEL", 'component=WHEEL; wheel_bore=1-7/8"; wheel_feature=TAPER LOCK BUSHING; wheel_hub_construction=TAPER LOCK BUSHING'),
+    ("6 inch channel base", [], "UNITARY BASE", 'component=UNITARY BASE; unitary_base_size=6"; unitary_base_type=CHANNEL BASE'),
+    ("Shipping label required", [], "LABEL,SHIPPING", "label_scope=SHIPPING; label_type=SHIPPING LABEL"),
+    ("Vibration base, spring isolators, 1 inch deflection", [], "VIBRATION ISOLATION", 'component=VIBRATION ISOLATION; isolation_deflection=1"; vibration_isolation_type=VIBRATION BASE, SPRING ISOLATOR'),
+    ("Flexible coupling, Rexnord Thomas series 52, size 202", [], "COUPLING", "component=COUPLING; coupling_subcategory=FLEXIBLE COUPLING; coupling_type=REXNORD THOMAS SERIES 52; manufacturer=REXNORD; size=202"),
+    ("Low temperature fan to -40 F", [], "EXTREME TEMP", "temperature_rating=-40F; temperature_service=LOW TEMPERATURE"),
+    ("Discharge evase, flanged, with drain", [], "DRAIN,EVASE,FLANGE", "component=EVASE; evase_feature=DRAIN, FLANGED; size=STD"),
+    ("Motor, VFD by others, inverter duty", [], "MOTOR,VFD", "component=MOTOR; motor_vfd_suitability=INVERTER DUTY; vfd_context=MOTOR; vfd_supplied_by=OTHERS"),
 ]
 
 
 def part_items(spark, sf):
     """An item for each part: the line, with number, type and price, and its details."""
-    cases = F.array(*(F.struct(F.lit(line).alias("line"), F.array(*map(F.lit, d)).cast("array<string>").alias("details")) for line, d, _ in CASES))
+    cases = F.array(*(F.struct(F.lit(line).alias("line"), F.array(*map(F.lit, d)).cast("array<string>").alias("details")) for line, d, _, _ in CASES))
     p = table(spark, sf, "part").withColumn("case", F.get(cases, (F.col("p_partkey") % len(CASES)).cast("int")))
     return p.select("p_partkey", "p_size", F.concat_ws("", F.col("p_size").cast("string"), F.lit(". "), F.col("case.line"), F.lit(" L 1,250.00")).alias("raw"), "case.details")
 
 
 def corrected_tags(spark, sf):
-    return items.corrected_tags(part_items(spark, sf), "raw", "details").select("p_partkey", F.array_join("tags", ",").alias("tags"))
+    return items.read_items(part_items(spark, sf), "raw", "details").select("p_partkey", F.array_join("tags", ",").alias("tags"))
+
+
+def item_attributes(spark, sf):
+    return items.read_items(part_items(spark, sf), "raw", "details").select("p_partkey", items.said(F.col("attributes")).alias("attributes"))
+
+
+def item_review(spark, sf):
+    given = part_items(spark, sf).withColumn("details", F.array_append("details", F.lit("see sheet")))
+    return items.review_flags(given, "p_partkey", "raw", "details").select("p_partkey", F.array_join("flags", "|").alias("flags"))
+
+
+def item_hierarchy(spark, sf):
+    """Lines of orders as items: motors, dampers on a control, actuators with two owners, and others."""
+    l = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("place"))
+    l = l.agg(F.min("l_partkey").alias("k"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price"), F.min("l_returnflag").alias("colour"), F.min("l_linestatus").alias("feature"))
+    kind = (F.col("k") % 4).cast("int")
+    own = F.get(F.array(*(F.create_map(*map(F.lit, m)).cast("map<string,string>") for m in (["component", "Motor"], ["component", "damper", "used_on", "ivc"], ["component", "actuator", "used_on", "IVC, Damper"], ["x_review", "unknown"]))), kind)
+    said = F.map_concat(own, F.create_map(F.lit("colour"), F.col("colour"), F.lit("x_feature"), F.col("feature")))
+    got = items.hierarchy(l.select("job", "place", "price", F.concat(F.lit("part "), F.col("k").cast("string")).alias("text"), said.alias("said")), "job", "place", "text", "price", "said")
+    return got.withColumn("attributes", items.said(F.col("attributes"))).withColumn("conflicts", F.array_join("conflicts", ","))
+
+
+HIERARCHY = """
+WITH r AS (SELECT l_orderkey AS job, l_linenumber AS place, min(l_partkey) AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS price, min(l_returnflag) AS colour, min(l_linestatus) AS feature FROM lineitem GROUP BY 1, 2),
+v AS (SELECT job, place, 'part ' || k AS t, colour, feature, '' AS parent, CASE k % 4 WHEN 0 THEN 'MOTOR' WHEN 1 THEN 'IVC' ELSE 'part ' || k END AS name, k % 4 <> 3 AS keyed, price AS cost FROM r WHERE k % 4 <> 2
+  UNION ALL SELECT job, place, 'part ' || k, colour, feature, p, 'ACTUATOR', true, CASE WHEN p = 'IVC' THEN price ELSE 0 END FROM r, (VALUES ('IVC'), ('DAMPER')) o(p) WHERE k % 4 = 2),
+x AS (SELECT *, CASE WHEN keyed THEN -1 ELSE place END AS thing FROM v),
+y AS (SELECT *, row_number() OVER (PARTITION BY job, parent, name, keyed, thing ORDER BY cost DESC, place) AS n FROM x),
+z AS (SELECT *, CASE WHEN n = 1 THEN -1 ELSE place END AS turn FROM y),
+c AS (SELECT job, parent, name, keyed, thing, string_agg(colour, ' | ' ORDER BY turn) AS colours, count(*) AS n FROM (SELECT job, parent, name, keyed, thing, colour, min(turn) AS turn FROM z GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT job, parent, name, keyed, thing, string_agg(feature, ', ' ORDER BY turn) AS features FROM (SELECT job, parent, name, keyed, thing, feature, min(turn) AS turn FROM z GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT job, parent, name, keyed, thing, min(place) AS place, CAST(sum(cost) AS DOUBLE) AS price, max(t) FILTER (n = 1) AS "primary", count(*) AS members FROM z GROUP BY ALL)
+SELECT g.job, g.parent, g.name, g.keyed, g.place, g.price, g."primary", g.members, 'colour=' || colours || '; x_feature=' || features AS attributes, CASE WHEN c.n > 1 THEN 'colour' ELSE '' END AS conflicts
+FROM g JOIN c USING (job, parent, name, keyed, thing) JOIN f USING (job, parent, name, keyed, thing)"""
+
+
+def by_case(values: list[str], name: str) -> str:
+    """SQL: the value of each part's case."""
+    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"SELECT p_partkey, ([{listed}])[CAST(p_partkey % {len(values)} + 1 AS INT)] AS {name} FROM part"
+
+
+def flags(tags: str, said: str) -> str:
+    doubt = [f"COMPONENT REVIEW: {v.split('=')[1]}" for v in said.split("; ") if v.startswith("component_review=")]
+    return "|".join(["UNTAGGED"] * (tags == "") + doubt + ["UNCLASSIFIED DETAIL: see sheet"])
 
 
-_EXPECTED = ", ".join(f"'{tags}'" for _, _, tags in CASES)
 QUERIES = {
-    "corrected_tags": (corrected_tags, f"SELECT p_partkey, ([{_EXPECTED}])[CAST(p_partkey % {len(CASES)} + 1 AS INT)] AS tags FROM part"),
+    "corrected_tags": (corrected_tags, by_case([c[2] for c in CASES], "tags")),
+    "item_attributes": (item_attributes, by_case([c[3] for c in CASES], "attributes")),
+    "item_review": (item_review, by_case([flags(c[2], c[3]) for c in CASES], "flags")),
+    "item_hierarchy": (item_hierarchy, HIERARCHY),
 }
