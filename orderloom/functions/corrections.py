@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.text import normalize, split_lead, split_price, split_type
@@ -71,19 +71,14 @@ class Rule:
     alone: bool = False
 
 
-def item_texts(raw: Column, details: Column) -> dict[str, Column]:
-    """primary, blob: normal forms of the line, and of it with its details; sought: the same, in which tags are looked for; said: all
-    as it stands, upper case; wording: as it stands, without columns. Null is empty."""
-    raw, details = F.coalesce(raw, F.lit("")), F.filter(F.coalesce(details, F.array().cast("array<string>")), lambda d: d.isNotNull())
-    plain = F.transform(details, lambda d: normalize(d, strip_columns=False))
+def with_texts(items: DataFrame, raw: str, details: str) -> DataFrame:
+    """items with __primary, __blob: normal forms of the line, and of it with its details; __sought: the same, in which tags are
+    looked for; __said: all as it stands, upper case; __wording: as it stands, without columns. raw and details have no nulls."""
     squeezed = lambda parts: F.array_join(F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""), " ")
-    return {
-        "primary": normalize(raw),
-        "blob": F.array_join(F.filter(F.concat(F.array(normalize(raw)), plain), lambda x: x != ""), " "),
-        "sought": F.array_join(F.filter(F.concat(F.array(normalize(raw)), plain), lambda x: x != ""), " ; "),
-        "said": F.upper(squeezed(F.concat(F.array(raw), details))),
-        "wording": squeezed(F.concat(F.array(split_type(split_price(split_lead(raw)["text"])["text"])["text"]), details)),
-    }
+    bare = split_type(split_price(split_lead(F.col(raw))["text"])["text"])["text"]
+    rows = items.withColumns({"__primary": normalize(F.col(raw)), "__plain": F.transform(details, lambda d: normalize(d, strip_columns=False)), "__said": F.upper(squeezed(F.concat(F.array(raw), F.col(details)))), "__wording": squeezed(F.concat(F.array(bare), F.col(details)))})
+    all_forms = F.filter(F.concat(F.array("__primary"), F.col("__plain")), lambda x: x != "")
+    return rows.withColumns({"__blob": F.array_join(all_forms, " "), "__sought": F.array_join(all_forms, " ; ")}).drop("__plain")
 
 
 def owners(blob: Column) -> Column:

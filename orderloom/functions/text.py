@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -77,7 +78,10 @@ def normalize(raw: Column, strip_columns: bool = True, abbreviations: dict[str,
             .otherwise(tok)
         )
 
-    joined = F.array_join(F.transform(F.split(text, r"\s+"), token), " ")
+    # most texts have no token to write out: one search tells, and the tokens are then not taken apart
+    forms = "|".join([*map(re.escape, sorted(ABBREVIATIONS if abbreviations is None else abbreviations)), "NAN", r"T?\d{3}L?(?:SST?|SS)", "(?:SST?|STAINLESS)(?:304L?|316L?)", r"W/\S+"])
+    within = rf"(?:^|\s)[.,;:()\[\]]*(?:{forms})[.,;:()\[\]]*(?:\s|$)"
+    joined = let(text, lambda t: F.when(t.rlike(within), F.array_join(F.transform(F.split(t, r"\s+"), token), " ")).otherwise(F.regexp_replace(t, r"\s+", " ")))
     return F.trim(F.regexp_replace(F.regexp_replace(joined, r"(?<!\d)\.|\.(?!\d)", " "), "[^A-Z0-9.%#]+", " "))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderloom.functions.attributes import attributes, without_own
-from orderloom.functions.corrections import corrected, item_texts, rules
+from orderloom.functions.corrections import corrected, rules, with_texts
 from orderloom.functions.text import tags
 
 # fixed values: attributes whose values of several lines add up; those that are no attributes of a component
@@ -29,8 +29,8 @@ def read_items(items: DataFrame, raw: str, details: str, section: str | None = N
         "__item",
         F.struct(text(raw).alias("raw"), _given(details).alias("details"), text(section).alias("section"), text(arrangement).alias("arrangement"), (F.coalesce(F.col(parts_only), F.lit(False)) if parts_only else F.lit(False)).alias("parts_only")),
     )
-    distinct = keyed.select("__item").distinct()
-    read = distinct.select("__item", *(c.alias(f"__{n}") for n, c in item_texts(F.col("__item.raw"), F.col("__item.details")).items())).withColumn("__found", tags(F.col("__sought")))
+    distinct = keyed.select("__item").distinct().withColumns({"__raw": F.col("__item.raw"), "__details": F.col("__item.details")})
+    read = with_texts(distinct, "__raw", "__details").withColumn("__found", tags(F.col("__sought")))
     texts = {n: F.col(f"__{n}") for n in ("primary", "blob", "said", "wording")}
     product = F.upper(F.regexp_extract(F.get(F.filter(F.concat(F.array("__item.raw"), F.col("__item.details")), lambda x: x.rlike(r"(?i)^\s*Product\s*:\s*\S")), F.lit(0)), r"(?i)^\s*Product\s*:\s*(.*?)[ ,;]*$", 1))
     table = rules(texts, F.col("__found"), F.col("__item.section"), product, F.col("__item.arrangement"), F.col("__item.parts_only"))

@@ -65,23 +65,30 @@ def fuzzy(items: DataFrame, text: str, term: str, least: float = 0.84) -> DataFr
     return items.filter(near(F.upper(text)))
 
 
+#: a target of more features than this is joined without broadcast
+MOST_WANTED = 10_000
+
+
 def frequencies(features: DataFrame) -> DataFrame:
     """In how many jobs each feature (kind, feature) occurs. features: job, kind, feature, distinct."""
     return features.groupBy("kind", "feature").agg(F.count("*").alias("df"))
 
 
 def similar(features: DataFrame, target: DataFrame, only: DataFrame | None = None, top: int = 15) -> DataFrame:
-    """job, score, shared: jobs by the weighted rarity of what they share with the target's features (kind, feature).
+    """job, score, shared: jobs by the weighted rarity of what they share with the target's features (kind, feature). Rows of
+    features may repeat.
 
-    Features of the target are few: they are counted and joined by broadcast if the optimiser finds them small."""
-    rows = features if only is None else features.join(only, "job", "left_semi")
+    The target's features are sifted out before anything is shuffled: a target of at most MOST_WANTED features is broadcast, a
+    larger one is joined as the optimiser chooses. Frequencies come from the same sifted rows."""
+    rows = features.select("job", "kind", "feature") if only is None else features.select("job", "kind", "feature").join(only, "job", "left_semi")
     wanted = target.select("kind", "feature").distinct()
-    df = frequencies(features.join(wanted, ["kind", "feature"], "left_semi"))
+    few = F.broadcast if wanted.limit(MOST_WANTED + 1).count() <= MOST_WANTED else lambda frame: frame
+    hits = rows.join(few(wanted), ["kind", "feature"], "left_semi").distinct()
     weight = F.lit(0.0)
     for kind, w in WEIGHTS.items():
         weight = F.when(F.col("kind") == kind, w).otherwise(weight)
-    hits = rows.join(df, ["kind", "feature"])
-    scored = hits.groupBy("job").agg(F.sum((weight / F.col("df")).cast("decimal(20,12)")).cast("double").alias("score"), F.count("*").alias("shared"))
+    scored = hits.join(few(frequencies(hits)), ["kind", "feature"])
+    scored = scored.groupBy("job").agg(F.sum((weight / F.col("df")).cast("decimal(20,12)")).cast("double").alias("score"), F.count("*").alias("shared"))
     return scored.orderBy(F.desc("score"), F.desc("job")).limit(top) if top else scored
 
 
