@@ -105,6 +105,10 @@ FACTS = [
     facts("LOW LEAKAGE", "leakage_class", ("", "LOW LEAKAGE")),
     facts("HEAVY DUTY", "heavy_duty", ("", "YES")),
     facts("HEAVY DUTY", "component", (r"\bWHEEL\b", "WHEEL"), (r"\bHOUSING\b", "HOUSING")),
+    facts("INSPECTION", "component", ("", "INSPECTION")),
+    facts("INSPECTION", "inspection_subcategory", (r"\bISPM\b.*\b(?:STAMP|STAMPING|INSPECTION)\b", "ISPM WOOD STAMP"), (r"\bISPM\b", "ISPM REQUIREMENTS"), (r"\bORDER\s+IS\s+SHIPPING\s+OVERSEAS\b", "OVERSEAS CRATE REPORT"), (r"\bCUSTOMER\s+FINAL\s+INSPECTION\b", "CUSTOMER FINAL INSPECTION"), (r"\bUNWITNESSED\s+DIMENSIONAL\s+INSPECTION\b", "DIMENSIONAL INSPECTION"), (r"\bFINAL\s+INSPECTION\s+REPORT\b", "FINAL INSPECTION REPORT")),
+    facts("INSPECTION", "inspection_scope", (r"^(?!.*\bISPM\b).*\bORDER\s+IS\s+SHIPPING\s+OVERSEAS\b", "PACKAGING")),
+    facts("INSPECTION+PACKAGING", "inspection_scope", (r"\bISPM\b", "PACKAGING")),
     facts("CERTIFICATION", "component", ("", "CERTIFICATION")),
     facts("CERTIFICATION", "certification_type", (r"\bGENERAL\s+MILL\s+CERTIFICATIONS?\b", "GENERAL MILL CERTIFICATIONS")),
     facts("LABEL", "label_type", (r"\bSHIPPING\s+BAR\s*CODE\s+LABEL\b", "SHIPPING BARCODE LABEL"), (r"\bFEI\s+LABEL\b", "FEI LABEL"), (r"\bWARNING\s+LABEL\b", "WARNING LABEL"), (r"\bRETIE\s+LABEL\b", "RETIE LABEL"), (r"\bLABEL\s+REQUIRED\s+ON\s+EACH\s+ITEM\b", "ITEM LABEL"), (r"\bMARK\s+ALL\s+ITEMS\b|\bMARKED\s+WITH\s+THIS\s+INFORMATION\b", "ITEM MARKING"), (r"\bSHIPPING\s+LABEL\b", "SHIPPING LABEL")),
@@ -141,6 +145,27 @@ FACTS = [
     facts("LINING", "lining_type", ("FIRMEX", "FIRMEX"), (r"\bRUBBER\s+LIN", "RUBBER")),
     facts("LINING", "lining_service", ("ABRASION", "ABRASION")),
     facts("LINING", "lining_scope", (r"\bINLET\s+BOX\b", "INLET BOX"), (r"\bSCROLL\b", "HOUSING SCROLL"), (r"\bSIDE\s+SHEET\b", "SIDE SHEET"), (r"\bBLADES?\b", "WHEEL BLADES"), every=True),
+    facts("HOUSING", "housing_subcategory", (r"\bSQUARE\s+HOUSING\b|\bHOUSING\s+SQUARE\b", "SQUARE"), (r"\bUNIVERSAL\s+HOUSING\b|\bHOUSING\s+UNIVERSAL\b", "UNIVERSAL"), (r"\b(?:FIRMEX|LINERS?|LINING)\b.*\bHOUSING\b", "LINING"), (r"\b(?:FLANGE\s+THICKNESS|BOLT\s+PATTERN|REINFORCING\s+GUSSETS?)\b", "MODIFIED FLANGE"), (r"^(?=.*\bFLANGE\s+TO\s+FLANGE\b).*\bHOUSING\s+LENGTH\b", "DIMENSION NOTE"), (r"\bHOUSING\s+THICKNESS\b", "THICKNESS"), (r"\bHOUSING\s+STIFF(?:E|NE)R\s+PLATES?\b", "STIFFENER PLATES"), ("CASING EXTENSION", "CASING EXTENSION"), (r"\b(?:TAP\s+DRIVE\s+SIDE\s+HOUSING|TAP\s+.*HOUSING\s+HALF)\b", "TAPPED HOUSING"), (r"\b(?:MOUNT\s+HOUSING|HOUSING\s+MOUNTING|HOUSING\s+TO\s+DRIVE\s+COVER)\b", "MOUNTING/SUPPORT"), (r"\bNAMEPLATE\b.*\bHOUSING\b|\bRIVETED\s+TO\s+HOUSING\b", "NAMEPLATE LOCATION"), every=True),
+    facts("HOUSING", "housing_feature", ("FLANGE THICKNESS", "FLANGE THICKNESS"), ("BOLT PATTERN", "BOLT PATTERN"), (r"\bREINFORCING\s+GUSSETS?\b", "REINFORCING GUSSETS"), every=True),
+    facts("HOUSING", "housing_dimension", (r"^(?=.*\bFLANGE\s+TO\s+FLANGE\b).*\bHOUSING\s+LENGTH\b", "FLANGE-TO-FLANGE LENGTH")),
+    facts("HOUSING", "housing_thickness", (r"\b(\d+\s*GA)\s+HOUSING\s+THICKNESS\b", "$1")),
+    facts("HOUSING", "mount_location", (r"\bNAMEPLATE\b.*\bHOUSING\b|\bRIVETED\s+TO\s+HOUSING\b", "HOUSING")),
+    facts("WARRANTY", "note_type", ("", "WARRANTY")),
+    facts("WARRANTY", "warranty_type", ("EXTENDED WARRANTY", "EXTENDED WARRANTY"), ("EXCLUSIVE", "EXCLUSIVE WARRANTY"), ("STANDARD", "STANDARD WARRANTY")),
+    facts("WARRANTY", "warranty_duration", (r"\b1\s*[- ]?\s*YEARS?\b.{0,40}\bWARRANTY\b|\bWARRANTY\b.{0,80}\b1\s*[- ]?\s*YEARS?\b", "1 YEAR"), (r"\b(?!1\D)(\d+)\s*[- ]?\s*YEARS?\b.{0,40}\bWARRANTY\b", "$1 YEARS"), (r"\bWARRANTY\b.{0,80}\b(?!1\D)(\d+)\s*[- ]?\s*YEARS?\b", "$1 YEARS"), (r"\b1\s*[- ]?\s*MONTHS?\b.{0,40}\bWARRANTY\b|\bWARRANTY\b.{0,80}\b1\s*[- ]?\s*MONTHS?\b", "1 MONTH"), (r"\b(?!1\D)(\d+)\s*[- ]?\s*MONTHS?\b.{0,40}\bWARRANTY\b", "$1 MONTHS"), (r"\bWARRANTY\b.{0,80}\b(?!1\D)(\d+)\s*[- ]?\s*MONTHS?\b", "$1 MONTHS"), every=True),
+    facts("WARRANTY", "warranty_scope", ("BUYOUT ITEMS", "BUYOUT ITEMS"), ("MOTOR", "MOTOR"), (r"\bISOLATORS?\b", "VIBRATION ISOLATION"), ("DRIVE SET", "DRIVE COMPONENTS"), every=True),
+    facts("WARRANTY", "warranty_start", (r"\b(?:DATE\s+OF\s+SHIPMENT|SHIP\s+DATE)\b", "SHIP DATE")),
+    facts("WARRANTY", "warranty_source", ("COMPONENT MANUFACTURER", "COMPONENT MANUFACTURER"), ("VENDOR", "VENDOR")),
+    facts("SHIPPING", "shipping_state", (r"\bSHIP(?:PED)?\s+LOOSE\b", "SHIPPED LOOSE")),
+    facts("SHIPPING", "shipping_method", (r"\bDIRECT\s+SHIP\b|\bSHIP\b(?:\s+\S+){0,8}\s+DIRECT\b", "SHIP DIRECT"), (r"\bFREIGHT\s+INCLUDED\b", "FREIGHT INCLUDED"), (r"\bUPS\s+GROUND\b", "UPS GROUND"), (r"\bDOMESTIC\s+FREIGHT\b", "DOMESTIC FREIGHT"), every=True),
+    facts("SHIPPING", "shipping_instruction", (r"\bSHIP\s+VIA\b", "SHIP VIA"), (r"\bUPDATED\s+SHIP\s+VIA\b", "UPDATED SHIP VIA"), (r"\bSHIP\s+WITH\s+FANS?\b", "SHIP WITH REFERENCED FANS"), (r"\bALL\s+AUXILIARY\s+ITEMS\s+EXCEPT\s+MOTOR\b", "SHIP AUXILIARY ITEMS LOOSE"), (r"\bPICTURES?\b.*\bPRIOR\s+TO\s+SHIPPING\b", "PICTURES PRIOR TO SHIPPING"), (r"\b(?:SHIPPING\s+(?:PAPERS|DOCUMENTS|BOXES)|PACKING\s+LIST|BOL)\b", "SHIPPING DOCUMENTS/MARKING"), (r"\b(?:SHIPPING\s+INSTRUCTIONS?|SHIPPING\s+INFORMATION|INVOICE\s+INSTRUCTIONS)\b", "SHIPPING/INVOICE INSTRUCTIONS"), (r"\bSHIPPING\s+PAPERS\b", "MARK SHIPPING PAPERS"), (r"\bSHIPMENT\s+ONLINE\b", "ENTER SHIPMENT ONLINE"), (r"\bSET\s+UP\s+SHIPMENT\b", "SHIPMENT SETUP DIMENSIONS"), (r"\bSEND\b.{0,80}\bCUSTOMS?\s+DOCUMENTS?\b.{0,80}\bSHIPMENT\b", "SEND CUSTOMS DOCUMENTS"), (r"\bNOT\s+SHIP\s+EARLY\b", "DO NOT SHIP EARLY"), (r"\bSHIP\s+COMPLETE\b|\bNO\s+PARTIAL\b", "SHIP COMPLETE"), (r"\bWEIGHT\b.*\bDIMS?\b|\bDIMS?\b.*\bWEIGHT\b", "PROVIDE WEIGHT/DIMS"), (r"\bMOTOR\s+BASE\b.*\bSHIPPING\s+PURPOSES\b", "MOTOR BASE FOR SHIPPING ONLY"), every=True),
+    facts("SHIPPING", "component", (r"\bSHIPPING\s+COVERS?\b", "SHIPPING COVER")),
+    facts("TESTING", "component", (r"\bRUN\s+TEST\b", "MECHANICAL RUN TEST"), of="primary"),
+    facts("TESTING", "testing_type", (r"\bSOAP\s+BUBBLE\s+PRESSURE\s+TEST\b", "SOAP BUBBLE PRESSURE TEST"), (r"\bOVERSPEED\s+TEST\b", "OVERSPEED TEST"), (r"\bDIMENSIONAL\s+INSPECTION\b", "DIMENSIONAL INSPECTION"), (r"\b(?:IEEE\s*112|ROUTINE\s+TEST)\b", "MOTOR ROUTINE TEST"), (r"\bAMP\s+DRAW\b", "AMP DRAW MEASUREMENT"), (r"\bTEST\s+REPORTS?\b", "TEST REPORT"), every=True),
+    facts("TESTING", "testing_status", (r"\bNOT\s+AVAILABLE\b", "NOT AVAILABLE"), (r"\bN\s*/?\s*A\b", "N/A"), every=True),
+    facts("TESTING", "witnessed", (r"\bCUSTOMER\s+WITNESS\b", "CUSTOMER"), (r"\bUNWITNESSED\b", "NO")),
+    facts("TESTING", "testing_duration", (r"\b(\d+)\s+HOUR\b", "$1 HOUR")),
+    facts("TESTING", "testing_measurements", (r"\bAMP\s+DRAW\b", "AMP DRAW"), (r"\bVIBRATION\s+READINGS?\b", "VIBRATION READINGS"), every=True),
     facts("SPARK RESISTANT", "spark_resistant", ("", "YES")),
     facts("SPARK RESISTANT", "spark_resistant_type", (r"\bAMCA\s+(?:TYPE\s+)?([ABC])\b", "AMCA $1"), (r"\bSPARK\s+RESISTANT\s+CONSTRUCTION\s+([ABC])\b", "AMCA $1")),
     facts("", "component", (r"\bBELT\s+GUARD\b", "BELT GUARD"), (_GUARD, "SHAFT/BEARING/COUPLING GUARD"), of="primary"),

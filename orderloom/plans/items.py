@@ -29,13 +29,16 @@ CASES = [
     ("Flex connector with flange", ["Flow liner"], "FLEX CONNECTOR", "component=FLEX CONNECTOR; feature=FLOW LINER; flex_connector_type=FLEX CONNECTOR"),
     ("Non-wheel end bearing support", [], "HOUSING", ""),
     ("Customer assumes responsibility for the motor", [], "MISC NOTE", ""),
-    ("Warranty 24 months from shipment, motor", [], "WARRANTY", ""),
+    ("Warranty 24 months from shipment, motor", [], "WARRANTY", "note_type=WARRANTY; warranty_duration=24 MONTHS; warranty_scope=MOTOR"),
     ("V-belt drive, motor sheave", [], "DRIVE COMPONENTS", "component=DRIVE COMPONENTS; drive_subcategory=V-BELT DRIVE"),
     ("Isolated bearings, rubber in shear", [], "", ""),
     ("Mixing box, inlet open", [], "MIXING BOX", ""),
     ("Liner on blades and scroll", [], "HOUSING,LINING,WHEEL", "lining_scope=HOUSING SCROLL, WHEEL BLADES"),
-    ("Changed ship via UPS ground, damper", [], "SHIPPING", ""),
+    ("Changed ship via UPS ground, damper", [], "SHIPPING", "shipping_instruction=SHIP VIA; shipping_method=UPS GROUND"),
     ("Something else", [], "", ""),
+    ("Mechanical run test, customer witness, 4 hour", [], "TESTING", "component=MECHANICAL RUN TEST; testing_duration=4 HOUR; witnessed=CUSTOMER"),
+    ("Square housing, flange thickness", [], "FLANGE,HOUSING", "housing_feature=FLANGE THICKNESS; housing_subcategory=SQUARE, MODIFIED FLANGE"),
+    ("Final inspection report", [], "INSPECTION", "component=INSPECTION; inspection_subcategory=FINAL INSPECTION REPORT"),
     ("Wheel with 90% effective diameter", [], "SPECIAL CONSTRUCTION,WHEEL", "component=WHEEL; wheel_effective_diameter_percent=90; wheel_feature=EFFECTIVE DIAMETER"),
     ("Taperlock bushing, 1 7/8 bore", [], "WHEEL", 'component=WHEEL; wheel_bore=1-7/8"; wheel_feature=TAPER LOCK BUSHING; wheel_hub_construction=TAPER LOCK BUSHING'),
     ("6 inch channel base", [], "UNITARY BASE", 'component=UNITARY BASE; unitary_base_size=6"; unitary_base_type=CHANNEL BASE'),
