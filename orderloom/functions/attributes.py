@@ -44,10 +44,14 @@ _INCH = r"(?:\"|INCH(?:ES)?)"
 _GUARD = r"\bSHAFT\b.*\bBEARING\b.*\bGUARD\b|\bGUARD\b.*\bSHAFT\b.*\bBEARING\b"
 _SEAL = "SHAFT SEAL"
 _OWN_EVASE = r"^(?!.*\b(?:FOR|ON|TO|OF)\s+(?:THE\s+)?(?:(?:FAN|DISCHARGE|OUTLET)\s+)*EVASEE?\b)"
+_METAL = r"\bALUMINUM\b|\bSTAINLESS\s+STEEL\b|\bPASSIVAT"
+_GRADES = tuple((rf"\bT?{grade}\s+STAINLESS\s+STEEL\b", f"{grade} SS") for grade in ("304", "304L", "316", "316L"))
 _OWNER = r"ACTUATOR|^MOTOR\b(?!\s+MOUNTING\b)"
 _NO_OWNER = r"^(?!.*ACTUATOR)(?!MOTOR\b(?!\s+MOUNTING\b))"
 # fixed values: names, patterns and values of facts, by component
 FACTS = [
+    facts("", "component", (_METAL, "MOTOR"), needs=r"^MOTOR\b(?!\s+MOUNTING\b)"),
+    facts("", "component", (_METAL, "ACTUATOR"), needs="ACTUATOR"),
     facts("DRIVE COMPONENTS", "component", ("", "DRIVE COMPONENTS")),
     facts("SPLIT HOUSING", "component", ("", "SPLIT HOUSING")),
     facts("SPLIT HOUSING", "split_type", (r"\bHORIZONTAL\s+SPLIT\s+HOUSINGS?\b", "HORIZONTAL"), (r"\bPIE\s+WEDGE\s+SPLIT\s+HOUSINGS?\b", "PIE WEDGE"), (r"\b(?:SHIPPING|SHIPMENT)\s+SPLITS?\b|\bSPLIT\s+(?:HOUSINGS?\s+)?(?:FOR\s+)?(?:SHIPPING|SHIPMENT)\b|\bSPLIT\s+(?:HOUSINGS?\s+)?TO\s+SHIP\b|\bHOUSINGS?\s+SPLIT\s+(?:FOR\s+)?(?:SHIPPING|SHIPMENT)\b", "SHIPPING"), every=True),
@@ -181,6 +185,8 @@ FACTS = [
     facts("", "extended_grease_fittings", (LUBE, "YES")),
     facts("", "material", (r"\bALUMINUM\b", "ALUMINUM"), (r"\bSTAINLESS\s+STEEL\b|\bPASSIVAT", "STAINLESS STEEL"), every=True, needs=_NO_OWNER),
     facts("", "component_material", (r"\bALUMINUM\b", "ALUMINUM"), (r"\bSTAINLESS\s+STEEL\b|\bPASSIVAT", "STAINLESS STEEL"), every=True, needs=_OWNER),
+    facts("", "material_grade", *_GRADES, every=True, needs=_NO_OWNER),
+    facts("", "component_material_grade", *_GRADES, every=True, needs=_OWNER),
     facts("", "material_treatment", (r"^(?=.*WELDS).*\bPASSIVAT", "PASSIVATION OF WELDS"), (r"\bPASSIVAT", "PASSIVATION")),
     facts("", "balance_grade", (r"\bG\s*(\d+(?:\.\d+)?)\s+BALANCE\b", "G$1")),
     facts("", "balance_type", (r"\bWELDED\s+BALANCE\s+WEIGHTS?\b", "WELDED BALANCE WEIGHTS")),

@@ -19,8 +19,8 @@ CASES = [
     ("Belt guard, painted, motor end", [], "BELT GUARD", "component=BELT GUARD; tach_hole_location=MOTOR END"),
     ("Paint wheel with epoxy", [], "COATING", ""),
     ("Assembly of wheel by others", [], "MISC NOTE", ""),
-    ("Motor 316SS hardware", [], "MOTOR", "component_material=STAINLESS STEEL"),
-    ("Housing 304SS", [], "HOUSING,MATERIALS,STAINLESS STEEL", "material=STAINLESS STEEL"),
+    ("Motor 316SS hardware", [], "MOTOR", "component=MOTOR; component_material=STAINLESS STEEL; component_material_grade=316 SS"),
+    ("Housing 304SS", [], "HOUSING,MATERIALS,STAINLESS STEEL", "material=STAINLESS STEEL; material_grade=304 SS"),
     ("Extended lube lines", [], "BEARINGS,MOTOR", "component_review=UNCLEAR GREASE TARGET - VERIFY MOTOR/BEARINGS/ARRANGEMENT; extended_grease_fittings=YES"),
     ("Grease fittings for motor bearings", [], "MOTOR", "component=MOTOR; extended_grease_fittings=YES"),
     ("Fan suitable for operation to 150 F", [], "EXTREME TEMP", "temperature_rating=150F; temperature_service=HIGH TEMPERATURE"),
