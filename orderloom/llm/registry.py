@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import decontaminate, line_dedup, minhash
+from orderloom.llm import conversations, decontaminate, line_dedup, minhash, mixing, vector_codes
 from orderloom.llm.byte_bpe import op10_byte_bpe
 from orderloom.llm.fingerprint import op9_fingerprint
 from orderloom.llm.lattice_lm import op1_lattice_lm
@@ -28,6 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_fingerprint": op9_fingerprint,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
+        "op12_mixing": mixing.op12_mixing,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -36,4 +39,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.ORACLE,
         "op6_minhash": minhash.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
+        "op11_conversation_repair": conversations.ORACLE,
+        "op12_mixing": mixing.ORACLE,
+        "op13_vector_codes": vector_codes.ORACLE,
     }
