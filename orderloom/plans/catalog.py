@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.plans import diffs, documents, items, labels, records, sequences, streams, texts
+from orderloom.plans import alike, diffs, documents, items, labels, records, sequences, streams, texts
 
-GROUPS = [diffs, sequences, texts, documents, items, labels, records, streams]
+GROUPS = [alike, diffs, sequences, texts, documents, items, labels, records, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from orderloom.sources.steps import folder
 from orderloom.sources.tables import table
 from orderloom.streaming import live
 
-
 #: A batch takes all files.
 ALL = (1 << 31) - 1
 
 
-def folder(spark) -> str:
-    """A new folder in spark.checkpoint.dir; on a local master, where that is unset, in a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="orderloom-")
-    return f"{path}/stream-{uuid.uuid4().hex}"
-
-
 def stream_fold(spark, sf):
     """Each day's poll of the events' users as a folder of files, folded one after another; the changes that were announced."""
-    root = folder(spark)
+    root = folder(spark, "stream")
     e = table(spark, sf, "events").select(F.col("user_id").alias("job"), F.col("event_type").alias("status"), F.col("ts").cast("date").cast("string").alias("poll"), "event_id")
     rows = e.filter("poll is not null").groupBy("job", "poll").agg(F.max_by("status", "event_id").alias("status"))
     rows.withColumn("day", F.col("poll")).write.partitionBy("day").json(f"{root}/in")
