@@ -328,7 +328,8 @@ def decoded(codes: DataFrame, books: np.ndarray, scale: int = SCALE, code_col: s
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = compressed(table(spark, sf_dir, "embeddings"))
-    rows = with_totals(found.withColumnRenamed("id", "vec_id"), "label", "error", "label_error", F.col("vec_id"))
+    found = stored(found.withColumnRenamed("id", "vec_id"), "vector-codes")  # read for the rows, the groups and their sums
+    rows = with_totals(found, "label", "error", "label_error", F.col("vec_id"))
     return rows.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
 
 
