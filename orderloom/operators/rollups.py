@@ -23,6 +23,13 @@ def audit(items: DataFrame, by: list[str], job: str, most: int | None = None) ->
     return each.groupBy(*by).agg(F.sum("n").alias("items")).join(first, by)
 
 
+def mentions(items: DataFrame, by: list[str], job: str) -> DataFrame:
+    """by, job, n: how often each job has each value, and a row of level "total" with the value's sum, its job null. Jobs are rows,
+    so a value that all jobs have is no larger than another."""
+    each = items.groupBy(*by, job).agg(F.count("*").alias("n"))
+    return each.select(*by, F.lit("job").alias("level"), job, "n").unionByName(each.groupBy(*by).agg(F.sum("n").alias("n")).select(*by, F.lit("total").alias("level"), F.lit(None).cast(items.schema[job].dataType).alias(job), "n"))
+
+
 def rates(rows: DataFrame, by: str, flags: dict[str, Column]) -> DataFrame:
     """Rows, and for each flag how many have it and at what rate (four places)."""
     n = F.count("*")
@@ -81,11 +88,15 @@ def append_only(previous: list[str], present: DataFrame, feature: str) -> list[s
     return [*previous, *new]
 
 
-def numbered_columns(rows: DataFrame, by: list[str], order: str, value: str, prefix: str) -> DataFrame:
-    """All values of each group side by side, in as many columns as the fullest group needs (one at least), which a pass finds."""
-    most = max(1, rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
-    place = rows.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(order)))
-    return place.groupBy(*by).agg(*(F.max(F.when(F.col("__n") == k, F.col(value))).alias(f"{prefix}{k}") for k in range(1, most + 1)))
+def numbered_values(rows: DataFrame, by: list[str], order: str, value: str, number: str = "field") -> DataFrame:
+    """All values of each group, numbered from 1: a row for each, however many a group has."""
+    return rows.select(*by, F.row_number().over(W.partitionBy(*by).orderBy(order)).alias(number), value)
+
+
+def numbered_columns(rows: DataFrame, by: list[str], order: str, value: str, prefix: str, columns: int) -> DataFrame:
+    """The first `columns` values of each group side by side, for groups that are known to have no more (see numbered_values)."""
+    place = numbered_values(rows, by, order, value, "__n")
+    return place.groupBy(*by).agg(*(F.max(F.when(F.col("__n") == k, F.col(value))).alias(f"{prefix}{k}") for k in range(1, columns + 1)))
 
 
 def full_outer_flags(a: DataFrame, b: DataFrame, key: str, in_a: str, in_b: str) -> DataFrame:

@@ -105,7 +105,7 @@ def audit_untagged(spark, sf):
 
 def inquiry_counts(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").alias("inquiry")).filter("inquiry is not null")
-    return rollups.audit(e, ["inquiry"], "user_id").select("inquiry", F.col("items").alias("n"), "jobs")
+    return rollups.mentions(e, ["inquiry"], "user_id")
 
 
 def corpus_quality(spark, sf):
@@ -162,9 +162,9 @@ FEATURES = "SELECT l_orderkey AS job, " + ", ".join(f"max(CASE WHEN p_type = '{t
 
 
 def change_columns(spark, sf):
-    """A row for each user and day, with all that happened then as columns."""
+    """All that happened to each user on each day, numbered."""
     e = table(spark, sf, "events").select("user_id", F.col("ts").cast("date").alias("day"), "event_id", "event_type")
-    return rollups.numbered_columns(e, ["user_id", "day"], "event_id", "event_type", "field_")
+    return rollups.numbered_values(e, ["user_id", "day"], "event_id", "event_type")
 
 
 def shard_manifest(spark, sf):
@@ -198,7 +198,7 @@ QUERIES = {
     "co_note": (co_note, "SELECT l_orderkey, coalesce(arg_max(l_returnflag, (l_linenumber, l_returnflag)) FILTER (l_linenumber * 2 <= 3), arg_min(l_returnflag, (l_linenumber, l_returnflag)) FILTER (l_linenumber * 2 > 3)) AS note FROM lineitem GROUP BY 1"),
     "tag_counts": (tag_counts, "SELECT tag, count(DISTINCT l_orderkey) AS jobs, count(*) AS items FROM (SELECT l_orderkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS tag FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1"),
     "audit_untagged": (audit_untagged, f"SELECT norm, count(*) AS items, array_to_string(list_sort(list(DISTINCT job))[1:5], ',') AS jobs FROM (SELECT l_orderkey AS job, upper(p_brand) AS norm FROM {LINES} WHERE p_size < 5) GROUP BY 1"),
-    "inquiry_counts": (inquiry_counts, "SELECT inquiry, count(*) AS n, array_to_string(list_sort(list(DISTINCT user_id)), ',') AS jobs FROM (SELECT user_id, json_extract_string(props, '$.k') AS inquiry FROM events) WHERE inquiry IS NOT NULL GROUP BY 1"),
+    "inquiry_counts": (inquiry_counts, "WITH e AS (SELECT user_id, json_extract_string(props, '$.k') AS inquiry FROM events) SELECT inquiry, 'job' AS level, user_id, count(*) AS n FROM e WHERE inquiry IS NOT NULL GROUP BY inquiry, user_id UNION ALL SELECT inquiry, 'total', NULL, count(*) FROM e WHERE inquiry IS NOT NULL GROUP BY inquiry"),
     "corpus_quality": (corpus_quality, QUALITY),
     "corpus_audit": (corpus_audit, "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS finding FROM documents a FULL JOIN (SELECT doc_id FROM labels WHERE doc_id % 10 > 0) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL"),
     "queue_total": (queue_total, f"SELECT status, count(*) AS n, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS total FROM {B2} GROUP BY ROLLUP (status)"),
@@ -208,7 +208,7 @@ QUERIES = {
     "metrics_delta": (metrics_delta, "SELECT lang, coalesce(a.n, 0) - coalesce(b.n, 0) AS n, CAST(coalesce(a.chars, 0) - coalesce(b.chars, 0) AS BIGINT) AS chars FROM (SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents WHERE doc_id % 5 > 0 GROUP BY 1) a FULL JOIN (SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) b USING (lang)"),
     "next_transmittal": (next_transmittal, "SELECT l_orderkey, lpad(CAST(max(l_linenumber) + 1 AS VARCHAR), 2, '0') AS next FROM lineitem GROUP BY 1"),
     "feature_matrix": (feature_matrix, FEATURES),
-    "change_columns": (change_columns, "PIVOT (SELECT user_id, CAST(ts AS DATE) AS day, event_type, 'field_' || row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS f FROM events) ON f USING max(event_type) GROUP BY user_id, day"),
+    "change_columns": (change_columns, "SELECT user_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS field, event_type FROM events"),
     "shard_manifest": (shard_manifest, "SELECT o_orderkey // 1000 * 1000 AS low, count(*) AS rows, min(o_orderkey) AS first, max(o_orderkey) AS last, o_orderkey // 1000 * 1000 + 999 AS high FROM orders GROUP BY 1, 5"),
     "archive_sweep": (archive_sweep, "SELECT event_id, CAST(ts AS DATE) < DATE '2024-03-10' - 60 AS archived FROM events"),
     "obsolete_files": (obsolete_files, "SELECT l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_shipdate DESC, l_linenumber) AS rank FROM lineitem) WHERE rank > 1"),

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from test_catalog import SF, duck  # noqa: F401
 
+from orderloom.operators import rollups
 from orderloom.plans import catalog
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -36,12 +37,17 @@ def test_events_of_a_hot_inquiry_and_a_full_day(spark, tmp_path):
     """More than 1,000 users of one inquiry, more than 4 events of a user, and users with several days."""
     rows = [(i, dt.datetime(2024, 1, 1 + i % 3, i % 24), i % 1200 if i < 2400 else 7, f"e{i % 5}", '{"k": "%s"}' % ("hot" if i < 2400 else "cold")) for i in range(2430)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.inquiry: (r.n, r.jobs) for r in catalog.queries()["inquiry_counts"](spark, str(tmp_path)).collect()}
-    assert got == {"hot": (2400, ",".join(map(str, range(1200)))), "cold": (30, "7")}
+    got = {(r.inquiry, r.level, r.user_id): r.n for r in catalog.queries()["inquiry_counts"](spark, str(tmp_path)).collect()}
+    assert got == {("hot", "job", u): 2 for u in range(1200)} | {("hot", "total", None): 2400, ("cold", "job", 7): 30, ("cold", "total", None): 30}
     want = defaultdict(list)
     for _, ts, user, kind, _ in rows:
         want[user, ts.date()].append(kind)
-    frame = catalog.queries()["change_columns"](spark, str(tmp_path))
+    found = defaultdict(list)
+    for r in catalog.queries()["change_columns"](spark, str(tmp_path)).orderBy("field").collect():
+        found[r.user_id, r.day].append(r.event_type)
+        assert r.field == len(found[r.user_id, r.day])
+    assert found == want and max(map(len, want.values())) > 4
+    events = spark.read.parquet(f"{tmp_path}/events.parquet").selectExpr("user_id", "date(ts) AS day", "event_id", "event_type")
     n = max(map(len, want.values()))
-    assert frame.columns == ["user_id", "day", *(f"field_{k}" for k in range(1, n + 1))] and n > 4
-    assert {(r.user_id, r.day): list(r[2:]) for r in frame.collect()} == {k: v + [None] * (n - len(v)) for k, v in want.items()}
+    wide = rollups.numbered_columns(events, ["user_id", "day"], "event_id", "event_type", "field_", n)
+    assert {(r.user_id, r.day): list(r[2:]) for r in wide.collect()} == {k: v + [None] * (n - len(v)) for k, v in want.items()}
