@@ -97,6 +97,21 @@ def compare_form(value: Column) -> Column:
     return F.when(text.isin("N/A", "NA", "NONE", "UNKNOWN"), "").otherwise(text)
 
 
+def respaced(value: Column, text: Column) -> Column:
+    """value with the blanks that its words have in text, for words that were joined: each word is looked for in text whatever blanks
+    stand between its letters, and its first place is taken with these, as one blank each. Words that are not found stay; so does
+    every letter. Null texts have no words."""
+    blank = r"[\s\p{Z}]"
+
+    def place(word: Column) -> Column:
+        letters = F.transform(F.regexp_extract_all(word, F.lit("(?s)."), 0), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E")))
+        found = F.regexp_substr(F.coalesce(text, F.lit("")), F.array_join(letters, f"{blank}*"))
+        return F.coalesce(F.regexp_replace(found, f"{blank}+", " "), word)
+
+    words = F.filter(F.split(value, f"{blank}+"), lambda w: w != "")
+    return F.array_join(F.transform(words, place), " ")
+
+
 def order_number(text: Column) -> Column:
     return F.regexp_replace(F.upper(text), "[^0-9A-Z]", "")
 
