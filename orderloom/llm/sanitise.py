@@ -2,10 +2,13 @@
 
 Base spans (e-mail, IP, card, phone) are found by pattern. A term's disclosure of a protected value e is measured on the
 corpus: PMI(t, e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)), with counts of documents; n(t,e) counts documents in
-which t stands within `window` words of e. 1 means that t occurs with e alone. A pair counts only if its k different contexts
-(copies of one passage are one) are more than chance: n(t) documents hit those of e at least k times with a probability below
-(e n(t) n(e) / (k N))^k, which must be at most `chance`. Terms at or over `generalise_at` become a class label, at or over
-`remove_at` they are removed, wherever they occur.
+which t stands within `window` words of e. 1 means that t occurs with e alone, which any word does that stands once; so a pair
+counts only with support. It must have k >= `support` contexts that differ in all their quarters (an edited copy of a passage still
+shares one), and these must be more than chance: n(t) documents hit those of e at least k times with a probability below
+(e n(t) n(e) / (k N))^k. As very many pairs are tried, the greatest probability that is let through is the one below which at most a
+share `level` of the pairs let through is expected to be chance (Benjamini and Hochberg, over all M pairs that meet), so the rule
+is as strict for a large corpus as for a small one. Terms at or over `generalise_at` become a class label, at or over `remove_at`
+they are removed, wherever they occur. A name that stands beside a value in one context alone is left alone.
 
 Terms are never gathered: candidates and flagged terms meet the documents' words in joins. Before these, words are sifted by a
 bitmap of BITS bits of the terms' hashes, the one thing that is sent to every task; its size does not depend on the terms, and
@@ -15,6 +18,7 @@ what it lets through by chance the joins drop.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -88,28 +92,35 @@ def value_of(kind: str, text: str) -> str:
     return f"{kind}:{text.lower() if kind == 'email' else digits_of(text) if kind != 'ip' else text}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> dict[tuple[str, str], int]:
-    """(value, term) of one document, with a hash of the first context in which they meet."""
+def quarters(left: list[str], right: list[str], window: int) -> list[int]:
+    """A hash of each quarter of a context (words from the value outwards); a quarter without words has the whole's."""
+    half = -(-window // 2)
+    parts = [p or left + right for p in (left[half:], left[:half], right[:half], right[half:])]
+    return [int.from_bytes(hashlib.blake2b("\n".join(p).encode(), digest_size=8).digest(), "big", signed=True) for p in parts]
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> dict[tuple[str, str], list[int]]:
+    """(value, term) of one document, with hashes of the quarters of the first context in which they meet."""
     words = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
     starts = np.array([w[0] for w in words], np.int64)
     covered = sorted((a, b) for _, a, b in spans)
     cover_starts = np.array([a for a, _ in covered], np.int64)
     cover_ends = np.maximum.accumulate([b for _, b in covered])
-    met: dict[tuple[str, str], int] = {}
+    met: dict[tuple[str, str], list[int]] = {}
     for kind, a, b in spans:
         value = value_of(kind, text[a:b])
         left, right = np.searchsorted(starts, a), np.searchsorted(starts, b)
-        near = []
+        sides = []
         for step, k in ((-1, left - 1), (1, right)):
-            n = 0
-            while 0 <= k < len(words) and n < window:
+            near = []
+            while 0 <= k < len(words) and len(near) < window:
                 c = np.searchsorted(cover_starts, words[k][0], "right") - 1
                 if c < 0 or cover_ends[c] <= words[k][0]:
                     near.append(words[k][2])
-                    n += 1
                 k += step
-        seen = int.from_bytes(hashlib.blake2b("\n".join(near).encode(), digest_size=8).digest(), "big", signed=True)
-        for term in near:
+            sides.append(near)
+        seen = quarters(*sides, window)
+        for term in sides[0] + sides[1]:
             met.setdefault((value, term), seen)
         met.setdefault((value, ""), seen)
     return met
@@ -117,7 +128,7 @@ def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> dict[
 
 def pairs(docs: DataFrame, text_col: str, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("value", pa.string()), ("term", pa.string()), ("context", pa.int64())])
+        schema = pa.schema([("value", pa.string()), ("term", pa.string()), *((f"q{i}", pa.int64()) for i in range(4))])
         for batch in batches:
             data, starts = text_bytes(batch.column(0))
             for i in np.flatnonzero(may_hold(data, starts)):
@@ -125,9 +136,9 @@ def pairs(docs: DataFrame, text_col: str, window: int) -> DataFrame:
                 spans = base_spans(text)
                 if spans:
                     met = contexts(text, spans, window)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([v for v, _ in met], [t for _, t in met])] + [pa.array(list(met.values()), pa.int64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([v for v, _ in met], [t for _, t in met])] + [pa.array(q, pa.int64()) for q in zip(*met.values())], schema=schema)
 
-    return map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "value string, term string, context long")
+    return map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "value string, term string, q0 long, q1 long, q2 long, q3 long")
 
 
 class Sieve:
@@ -179,26 +190,52 @@ def document_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFra
     return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", window: int = 8, chance: float = 0.001, generalise_at: float = 0.9) -> DataFrame:
-    """term, value, disclosure of pairs at or over generalise_at."""
+#: Steps of log probability in which pairs are counted, and the least that is told apart.
+STEP, FLOOR = 0.05, -500.0
+
+
+def bar(by_chance: DataFrame, tried: int, level: float) -> float:
+    """The greatest log probability at which, of the pairs at or below it, at most a share `level` is expected to be chance.
+    by_chance: by_chance of the pairs that have support; tried: all pairs. At most FLOOR / STEP counts come to the driver."""
+    most = math.log(level) if level > 0 else FLOOR
+    step = F.ceil(F.greatest(F.col("by_chance"), F.lit(FLOOR)) / STEP)
+    counts = sorted(by_chance.filter(F.col("by_chance") <= most).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect())
+    best, total = -math.inf, 0
+    for r in counts:
+        total += r.n
+        if r.step * STEP <= most + math.log(total / tried):
+            best = r.step * STEP
+    return best
+
+
+def disclosures(docs: DataFrame, text_col: str = "text", window: int = 8, level: float = 0.01, support: int = 2, generalise_at: float = 0.9) -> DataFrame:
+    """term, value, disclosure of pairs at or over generalise_at. level: 1 or more lets all pairs with support pass."""
     n_docs = docs.count()
-    met = stored(pairs(docs, text_col, window).groupBy("value", "term").agg(F.count("*").alias("n_both"), F.count_distinct("context").alias("k")), "met")
+    rows = stored(pairs(docs, text_col, window), "met")
+    names = [f"q{i}" for i in range(4)]
+    differ = [F.min(q) != F.max(q) for q in names]
+    met = stored(rows.groupBy("value", "term").agg(F.count("*").alias("n_both"), F.least(*differ).alias("differ")), "met-pairs")
     values = met.filter("term = ''").select("value", F.col("n_both").alias("n_value"))
-    both = met.filter("term <> ''").join(values, "value").filter(F.col("n_value") < n_docs)
+    both = met.filter("term <> '' and differ").drop("differ").join(values, "value").filter(F.col("n_value") < n_docs)
+    k = rows.join(both.select("value", "term"), ["value", "term"], "left_semi").groupBy("value", "term").agg(F.least(*map(F.count_distinct, names)).alias("k"))
+    both = stored(both.join(k, ["value", "term"]).filter(F.col("k") >= support), "met-often")
     counts = document_counts(docs, text_col, both.select("term").distinct())
     n = F.lit(float(n_docs))
     share = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_value"))) / F.log(n / F.col("n_value"))
     by_chance = F.col("k") * F.log(F.lit(np.e) * F.col("n_term") * F.col("n_value") / (F.col("k") * n))
-    scored = both.join(counts, "term").select("term", "value", share.alias("disclosure"), by_chance.alias("by_chance"))
-    return scored.filter((F.col("disclosure") >= generalise_at) & (F.col("by_chance") <= float(np.log(chance)))).drop("by_chance")
+    scored = stored(both.join(counts, "term").select("term", "value", share.alias("disclosure"), by_chance.alias("by_chance")), "disclosures")
+    found = scored.filter(F.col("disclosure") >= generalise_at)
+    if level < 1:
+        found = found.filter(F.col("by_chance") <= bar(scored, max(1, met.filter("term <> ''").count()), level))
+    return found.drop("by_chance")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, chance: float = 0.001, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, level: float = 0.01, support: int = 2, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
     """id_col, spans (kind, start, end in code points; by kind, then start) and sanitised text of every row.
 
     Null and empty texts have no spans and an empty sanitised text. Repeated rows give a row each. Ties in a kind keep the
     leftmost match. An empty table gives an empty one. Other columns are left out, whatever their names."""
-    flagged = stored(disclosures(docs, text_col, window, chance, generalise_at).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "flagged")
+    flagged = stored(disclosures(docs, text_col, window, level, support, generalise_at).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "flagged")
     sieve = Sieve(flagged)
     sent = docs.sparkSession.sparkContext.broadcast(sieve)
     out = T.StructType([docs.select(id_col).schema[0], T.StructField("spans", SPANS), T.StructField("sanitised", T.StringType())])

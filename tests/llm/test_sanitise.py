@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -46,7 +48,7 @@ def table(spark):
 
 
 def test_terms_that_reveal_are_found(spark):
-    got = {r.term: r.disclosure for r in S.disclosures(table(spark), chance=1e9, generalise_at=0.0).collect() if r.value.startswith("email:kim")}
+    got = {r.term: r.disclosure for r in S.disclosures(table(spark), level=1.0, generalise_at=0.0).collect() if r.value.startswith("email:kim")}
     n, n_e = len(ROWS), 6
     from math import isclose, log
 
@@ -55,7 +57,7 @@ def test_terms_that_reveal_are_found(spark):
 
 
 def test_rows(spark):
-    out = S.sanitise(table(spark), chance=1.0, generalise_at=0.8, remove_at=0.99)
+    out = S.sanitise(table(spark), level=1.0, generalise_at=0.8, remove_at=0.99)
     rows = {r.doc_id: r for r in out.collect()}
     assert out.count() == len(ROWS)
     assert any(s.kind == "term" and ROWS[0][1][s.start : s.end] == "zorblat" for s in rows[0].spans)
@@ -67,28 +69,54 @@ def test_rows(spark):
 
 
 def test_a_full_sieve_changes_nothing(spark, monkeypatch):
-    ways = {"chance": 10.0, "generalise_at": 0.2, "remove_at": 0.9}
+    ways = {"level": 1.0, "generalise_at": 0.2, "remove_at": 0.9}
     whole = sorted(map(repr, S.sanitise(table(spark), **ways).collect()))
     monkeypatch.setattr(S, "BITS", 3)
     assert sorted(map(repr, S.sanitise(table(spark), **ways).collect())) == whole
 
 
-def test_planted_names_among_filler(spark):
-    """Names that stand beside one address in all their documents, in a corpus of closed vocabulary: each is found, nothing else."""
+def tailed(r, n):
+    """Words by Zipf's law over a vocabulary without end: a fifth stand once or twice in a corpus."""
+    return " ".join(f"w{''.join(chr(97 + int(d)) for d in str(int(r.paretovariate(0.7) * 3)))}" for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [2_000, 30_000])
+def test_planted_names_among_filler_with_rare_words(spark, n):
+    """Names that stand beside one address in two contexts or more are found, those met once are left alone, and no word of the
+    filler is flagged, with copies and edited copies of passages among it, at either size."""
     r = random.Random(9)
-    filler = [f"word{c}{d}" for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst"]
     names = [f"surname{c}{d}" for c in "abcde" for d in "uvwxyz"]
-    docs = [(i, " ".join(r.choices(filler, k=60))) for i in range(4000)]
+    docs = [(i, tailed(r, 40)) for i in range(n)]
     for k, name in enumerate(names):
-        for j in range(1 + k % 3):
-            words = r.choices(filler, k=40)
-            words[20:20] = [name.capitalize(), f"n{k}@mail.example.org"]
-            docs.append((10_000 + 10 * k + j, " ".join(words)))
+        for j in range(1 + k % 4):
+            docs.append((n + 10 * k + j, f"{tailed(r, 20)} {name.capitalize()} n{k}@mail.example.org {tailed(r, 20)}"))
+    for k in range(n // 20):  # addresses in filler; every other in a copy too, with one word changed
+        words = f"{tailed(r, 15)} x{k}@mail.example.org {tailed(r, 15)}".split()
+        docs.append((n + 1000 + 2 * k, " ".join(words)))
+        if k % 2:
+            words[r.randrange(15)] = "changed"
+            docs.append((n + 1001 + 2 * k, " ".join(words)))
+    often = {x for k, x in enumerate(names) if k % 4}
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {x.term for x in S.disclosures(frame).collect()} == set(names)
-    out = {x.doc_id: x for x in S.sanitise(frame).collect()}
-    assert len(out) == len(docs) and all(("term" in {s.kind for s in out[i].spans}) == (i >= 10_000) for i in out)
-    assert not any("surname" in x.sanitised.lower() for x in out.values())
+    assert {x.term for x in S.disclosures(frame).collect()} == often
+    if n < 10_000:
+        out = {x.doc_id: x for x in S.sanitise(frame).collect()}
+        assert len(out) == len(docs)
+        for i, text in docs:
+            flagged = any(x in text.lower().split() for x in often)
+            assert ("term" in {s.kind for s in out[i].spans}) == flagged and not any(x in out[i].sanitised.lower().split() for x in often)
+
+
+def test_bar_is_by_the_number_of_pairs(spark):
+    """With plain Benjamini and Hochberg up to a step."""
+    r = random.Random(3)
+    logs = [-r.expovariate(0.2) for _ in range(500)]
+    frame = spark.createDataFrame([(x,) for x in logs], "by_chance double")
+    for tried in (500, 50_000):
+        best = max((x for i, x in enumerate(sorted(logs), 1) if x <= math.log(0.01 * i / tried)), default=-math.inf)
+        got = S.bar(frame, tried, 0.01)
+        assert got <= best + S.STEP and sum(x <= best for x in logs) - sum(x <= got for x in logs) <= 20
+    assert S.bar(frame.limit(0), 1, 0.01) == -math.inf
 
 
 def test_copies_are_no_evidence(spark):
