@@ -1,12 +1,17 @@
-"""Line dedup by hashes of whole runs at every line, with DataFrame operations only.
+"""Line dedup by winnowing over line hashes, with DataFrame operations only.
 
 The lines of a document that hold words are numbered. A run at a line is the fewest lines from there with `run_words` words; a
-run up to a line, the fewest lines that end there. Each is hashed, and a run that has an earlier place, by (doc_id, line), is
-deleted; what comes first stays. A longer passage that stands earlier is made up of such runs: of its lines, each lies in the
-run at it, in the run up to it, or in the one at the passage's start. So a line is deleted if, and only if, it is in
-`run_words` words or more that stand earlier as well, whatever their context is there.
-
-The join is on hashes, with one row per hash on one side; no pairs within a group are made.
+run up to a line, the fewest lines that end there. Winnowing: of every run the line of the least hash is selected, the first of
+equal ones, so that equal runs, wherever they stand, have the same line selected. Selected positions are fingerprints, far fewer
+than lines. They are joined on their hashes: a fingerprint that stands at one position only belongs to no repeated run, and its
+runs go. From the others the match is extended both ways, over every run that holds the fingerprint, as far as it is needed to
+reach `run_words` words before it, after it or around it; these runs are compared as a whole, by 128 bits, with the first place of
+the same run, whatever other places the fingerprint has. A run that has an earlier place, by (doc_id, line), is deleted; what
+comes first stays. A longer passage that stands earlier is made up of such runs: of its lines, each lies in the run at it, in the
+run up to it, or in the one at the passage's start. So a line is deleted if, and only if, it is in `run_words` words or more that
+stand earlier as well, whatever their context is there.
+
+Joins have one row per hash or run on one side; no pairs within a group are made.
 """
 
 from __future__ import annotations
@@ -23,42 +28,44 @@ RUN_WORDS = 40
 KEY = ["id", "tie"]
 
 
-def hash60(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
-
-
 def lines_of(rows: DataFrame) -> DataFrame:
-    """id, tie, pos (of all lines), hash, words, before (words before it) of lines with words; identical documents once. rows: id,
-    tie, body."""
+    """id, tie, pos (of all lines), digest (hex of 128 bits), words, before (words before it) of lines with words; identical documents
+    once. rows: id, tie, body."""
     exploded = rows.select(*KEY, F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
-    lines = exploded.select(*KEY, "pos", F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"), hash60(F.col("line")).alias("hash")).filter("words > 0")
+    lines = exploded.select(*KEY, "pos", F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"), F.md5(F.col("line").cast("binary")).alias("digest")).filter("words > 0")
     own = W.partitionBy(*KEY).orderBy("pos")
     lines = lines.withColumn("previous", F.lag("pos").over(own)).filter("previous is null or previous <> pos")
-    return lines.select(*KEY, "pos", "hash", "words", (F.sum("words").over(own) - F.col("words")).alias("before"))
+    return lines.select(*KEY, "pos", "digest", "words", (F.sum("words").over(own) - F.col("words")).alias("before"))
 
 
 def runs_of(lines: DataFrame, run_words: int) -> DataFrame:
-    """id, tie, pos, last (of its first and last line) and run (hash) of the runs at lines, and of those up to lines that are not
-    among these."""
+    """id, tie, pos, last (of its first and last line), run (128 bits of it), mark (hash of the line selected in it) and mark_pos of
+    the runs at lines, and of those up to lines that are not among these."""
     doc = W.partitionBy(*KEY)
     ahead = doc.orderBy("before").rangeBetween(0, run_words - 1)
     back = doc.orderBy("end").rangeBetween(1 - run_words, 0)
-    ends = lines.withColumn("end", F.col("before") + F.col("words"))
-    both = ends.select(
-        *KEY, "words",
-        *(F.struct(F.min("pos").over(w).alias("pos"), F.max("pos").over(w).alias("last"), F.sum("words").over(w).alias("total"), F.collect_list("hash").over(w).alias("hashes")).alias(name) for name, w in (("ahead", ahead), ("back", back))),
-    )
+    ends = lines.withColumns({"end": F.col("before") + F.col("words"), "hash": F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")})
+
+    def of(w) -> list[Column]:  # noqa: ANN001
+        least = F.min(F.struct("hash", F.col("pos").alias("at"))).over(w)
+        return [F.min("pos").over(w).alias("pos"), F.max("pos").over(w).alias("last"), F.sum("words").over(w).alias("total"), F.collect_list("digest").over(w).alias("digests"), least.alias("least")]
+
+    both = ends.select(*KEY, "words", F.struct(*of(ahead)).alias("ahead"), F.struct(*of(back)).alias("back"))
     # A run up to a line that still has run_words words without that line is not the run at its first line.
     found = F.filter(F.array(F.when(F.col("ahead.total") >= run_words, F.col("ahead")), F.when(F.col("back.total") - F.col("words") >= run_words, F.col("back"))), F.isnotnull)
-    return both.select(*KEY, F.explode(found).alias("r")).select(*KEY, "r.pos", "r.last", F.xxhash64("r.hashes").alias("run"))
+    each = both.select(*KEY, F.explode(found).alias("r"))
+    return each.select(*KEY, "r.pos", "r.last", F.md5(F.array_join("r.digests", "").cast("binary")).alias("run"), F.col("r.least.hash").alias("mark"), F.col("r.least.at").alias("mark_pos"))
 
 
 def repeated(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """id, tie, pos, last of every run that has an earlier place; its lines with words are to be deleted."""
     runs = stored(runs_of(lines, run_words), "line-runs")
+    place = F.struct(*KEY, "mark_pos")
+    marks = runs.groupBy("mark").agg(F.min(place).alias("first"), F.max(place).alias("final")).filter("first <> final").select("mark")
+    held = runs.join(marks, "mark", "left_semi").select(*KEY, "pos", "last", "run")
     place = F.struct(*KEY, "pos")
-    firsts = runs.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    return runs.join(firsts, "run").filter(place > F.col("first")).select(*KEY, "pos", "last")
+    firsts = held.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    return held.join(firsts, "run").filter(place > F.col("first")).select(*KEY, "pos", "last")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, removed_col: str = "removed_lines") -> DataFrame:

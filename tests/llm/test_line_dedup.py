@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from orderloom.llm import line_dedup as L
@@ -100,3 +101,31 @@ def test_any_earlier_equal_run_goes(spark):
     docs = [(i, "\n".join(R.choices(pool, k=R.randint(1, 9)))) for i in range(80)]
     got, _ = removed(spark, rows(docs))
     assert got == brute(docs) and sum(map(len, got.values())) > 50
+
+
+def test_fingerprints_are_few_and_meet_in_every_repeat(spark):
+    """Selected positions are window minima, fewer than lines; every repeated run shares one with its earlier place."""
+    passage = [line(R.randint(3, 12)) for _ in range(40)]
+    texts = [(i, "\n".join([line(R.randint(3, 12)) for _ in range(30)] + passage[i : i + 25] + [line(8) for _ in range(20)])) for i in range(8)]
+    rows_ = spark.createDataFrame([(i, i, t) for i, t in texts], "id long, tie long, body string")
+    lines = L.lines_of(rows_)
+    runs = L.runs_of(lines, L.RUN_WORDS).collect()
+    marks = {(r.id, r.mark_pos) for r in runs}
+    assert len(marks) < 0.5 * lines.count()
+    hashes = {}
+    for r in runs:
+        hashes.setdefault(r.run, set()).add(r.mark)
+        assert r.pos <= r.mark_pos <= r.last
+    assert all(len(m) == 1 for m in hashes.values())
+    got, _ = removed(spark, rows(texts))
+    assert got == brute(texts)
+
+
+def test_a_frequent_line_is_every_window_s_minimum(spark):
+    """One line that all documents share, in other company each time: its fingerprint meets all of them, runs tell them apart."""
+    often = min((line(20) for _ in range(200)), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    copied = line(15)
+    docs = [(i, "\n".join([line(15), often, line(15)])) for i in range(30)] + [(50, "\n".join([copied, often, line(3)])), (51, "\n".join([line(9), copied, often, copied]))]
+    docs += [(60, "\n".join([line(30), copied, often])), (61, "\n".join([copied, copied, often, line(2), copied]))]
+    got, _ = removed(spark, rows(docs))
+    assert got == brute(docs)
