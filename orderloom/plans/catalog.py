@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.plans import alike, diffs, documents, items, labels, records, sequences, stores, streams, texts
+from orderloom.plans import alike, diffs, documents, items, labels, records, sequences, sheets, stores, streams, texts
 
-GROUPS = [alike, diffs, sequences, texts, documents, items, labels, records, stores, streams]
+GROUPS = [alike, diffs, sequences, texts, documents, items, labels, records, sheets, stores, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orderloom.functions.text import let
+
 
 def write_snapshot(rows: DataFrame, root: str, day: str, once: bool = False) -> None:
     """The rows as that day's partition; other days stay. once: an existing day is kept as it is."""
@@ -40,6 +42,32 @@ def shard_manifest(rows: DataFrame, key: str, width: int = 1000) -> DataFrame:
     return rows.groupBy(low.alias("low")).agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last")).withColumn("high", F.col("low") + width - 1)
 
 
+def byte_shards(rows: DataFrame, key: str, size: Column, most: int, width: int = 1000) -> DataFrame:
+    """low, high, rows, bytes of shards: ranges of `width` keys, each halved until it has at most `most` bytes or one key. size: the
+    bytes of a row. Keys are long, from 0.
+
+    Sums of all halvings are found at once from the sums of keys, one row for each key and level before they are added up; rows are
+    not moved, and each key takes the widest range that fits."""
+    levels = width.bit_length()
+    keys = rows.groupBy(F.col(key).cast("long").alias("k")).agg(F.count("*").alias("rows"), F.sum(size.cast("long")).alias("bytes"))
+    base, at = F.floor(F.col("k") / width) * width, F.pmod(F.col("k"), F.lit(width))
+    whole = F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("low"), F.lit(width - 1).cast("long").alias("high"))
+
+    def halved(acc: Column, i: Column) -> Column:
+        def half(r: Column) -> Column:
+            mid = F.floor((r["low"] + r["high"]) / 2)
+            return F.struct(i.alias("level"), F.when(at <= mid, r["low"]).otherwise(mid + 1).alias("low"), F.when(at <= mid, mid).otherwise(r["high"]).alias("high"))
+
+        return F.array_append(acc, let(F.element_at(acc, -1), half))
+
+    spans = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.array(whole), halved)
+    each = keys.select("k", "rows", "bytes", base.cast("long").alias("base"), F.explode(spans).alias("r")).select("k", "rows", "bytes", (F.col("base") + F.col("r.low")).alias("low"), (F.col("base") + F.col("r.high")).alias("high"), "r.level")
+    sums = each.groupBy("level", "low", "high").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    fits = sums.filter((F.col("bytes") <= most) | (F.col("low") == F.col("high")))
+    widest = each.select("k", "level", "low", "high").join(fits, ["level", "low", "high"]).groupBy("k").agg(F.min(F.struct("level", "low", "high", F.col("rows"), F.col("bytes"))).alias("s"))
+    return widest.select("s.low", "s.high", "s.rows", "s.bytes").distinct()
+
+
 def write_shards(rows: DataFrame, key: str, root: str, width: int = 1000, max_rows: int = 1_000_000) -> DataFrame:
     """JSON files by range of keys, split where a range has more than max_rows; the manifest is returned."""
     sharded = rows.withColumn("shard", (F.floor(F.col(key) / width) * width).cast("long"))
