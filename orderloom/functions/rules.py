@@ -3,7 +3,6 @@
 # fixed values: lines that are never items
 SKIP = [
     r"^\s*c\s*/?\s*o\s*#?\s*\d",
-    r"\bcorporation\b.*\bsales\s+order\b",
     r"^v\d+\.\d+",
     r"^(sub\s*)?total\b",
     r"total\s+(billing|price|order|commission)",
@@ -223,7 +222,7 @@ TAGS = {
     "PACKAGING": [r"\bcrate\b", r"\bcrating\b", r"shrink\s*wrap", r"\bskid\b", r"\bISPM\b", r"do\s*not\s*stack", r"metal\s*banding"],
     "SHIPPING": [r"\bship(?:ped|ping|ments?)?\b", r"freight", r"\bBOL\b", r"\bUPS\s+ground\b"],
     "WARRANTY": [r"warranty"],
-    "MOUNTING": [r"\bmounting\b", r"\bmounted\b", r"\b[a-z]{3}\s*mount\b"],
+    "MOUNTING": [r"\bmounting\b", r"\bmounted\b"],
     "SPECIAL CONSTRUCTION": [r"set\s*screws?", r"loc\s*tite", r"\bcaulk(?:ing)?\b", r"\bweld(?:ing)?\b", r"tie\s*rod\s*support", r"buffer\s*tube", r"cast\s*hub", r"plug\s*panel", r"pressure\s*tap", r"\bconduit\b", r"\boverhang\b", r"effective\s*diameter", r"threaded\s*plug", r"hole\s*diameters?", r"panel\s+mounting\s+holes?", r"blade\s*side\s+guard", r"piezometer\s+rings?", r"earthing\s*boss"],
     "INSPECTION": [r"\binspection\b", r"\bISPM\b"],
     "CERTIFICATION": [r"\bgeneral\s+mill\s+certifications?\b"],

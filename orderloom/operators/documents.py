@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orderloom.functions.sheets import order_context
 from orderloom.functions.text import closes_section, line_kind, normalize, opens_section, split_lead, split_price, split_type
+from orderloom.operators.items import read_items
 
 
 def classified(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
@@ -20,9 +22,9 @@ def classified(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
     return rows.withColumns({"__before": before, "section": after}).withColumn("kind", line_kind(F.col(line), F.col("__before"))).drop("__event", "__before")
 
 
-def extract_items(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
+def extract_items(lines: DataFrame, doc: str, pos: str, line: str, raw_line: bool = False) -> DataFrame:
     """doc, item, norm, qty, price, type, section, details: items of each document, equal ones once (the first), with the text
-    lines that follow them.
+    lines that follow them. raw_line: the item's line as it stands comes as `raw`.
 
     The section holds from its heading to a total. A priced line is an item, any line within a section too. Text lines belong
     to the last item before them, unless a heading or a total stands between: an item or a reset, whichever came last."""
@@ -36,7 +38,19 @@ def extract_items(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
     grouped = open_item.groupBy(doc, "item").agg(raw.alias("raw"), F.max(F.when(F.col(pos) == F.col("item"), F.col("section"))).alias("section"), details.alias("details"))
     parts = grouped.withColumn("__lead", split_lead(F.col("raw"))).withColumn("__priced", split_price(F.col("__lead.text"))).withColumn("__typed", split_type(F.col("__priced.text")))
     items = parts.select(doc, "item", "raw", "section", "details", normalize(F.col("raw")).alias("norm"), F.col("__lead.qty").alias("qty"), F.coalesce(F.nullif(F.col("__priced.price"), F.lit("")), F.col("__typed.mark")).alias("price"), F.col("__typed.type").alias("type"))
-    return items.withColumn("__n", F.row_number().over(W.partitionBy(doc, "norm").orderBy("item"))).filter("__n = 1").drop("__n", "raw")
+    return items.withColumn("__n", F.row_number().over(W.partitionBy(doc, "norm").orderBy("item"))).filter("__n = 1").drop("__n", *([] if raw_line else ["raw"]))
+
+
+def order_items(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
+    """Items of each document with tags and attributes that depend on the whole order, as extract_items and arrangement, parts_only,
+    tags, attributes.
+
+    Documents are read twice: what holds for the order is gathered from all its lines, one row for each, and joined to the items
+    before their tags are corrected. The first line by pos that names an arrangement counts."""
+    said = lines.select(doc, pos, order_context(F.array(F.coalesce(F.col(line), F.lit("")))).alias("c"))
+    context = said.groupBy(doc).agg(F.coalesce(F.min_by("c.arrangement", F.when(F.col("c.arrangement") != "", F.col(pos))), F.lit("")).alias("arrangement"), F.bool_or("c.parts_only").alias("parts_only"))
+    items = extract_items(lines, doc, pos, line, raw_line=True).join(context, doc)
+    return read_items(items, "raw", "details", "section", "arrangement", "parts_only")
 
 
 def labelled_values(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:

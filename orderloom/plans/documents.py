@@ -41,6 +41,27 @@ SELECT doc, CAST(item AS BIGINT) AS item, norm, CAST(n AS VARCHAR) AS qty, CASE
 FROM a WHERE n < 3 OR inside QUALIFY row_number() OVER (PARTITION BY doc, norm ORDER BY item) = 1"""
 
 
+def order_items(spark, sf):
+    """Orders as documents: what their heads say of arrangement and parts decides on the tags of lines below."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), "o_custkey", "o_orderpriority", F.col("o_orderstatus").alias("s"))
+    k = F.col("doc")
+    rows = F.array(
+        F.when(k % 5 > 0, F.lit("Sales Order")).otherwise("SALES ORDER FOR REPAIR PARTS"),
+        F.when(k % 4 == 0, F.lit("Arrangement 9, class 2")).when(k % 4 == 1, F.lit("Arrangement: A/4V")).when(k % 4 == 2, F.lit("Class 2")).otherwise("arrangement 3"),
+        F.concat(F.lit("1. Extended lube lines "), F.col("s"), F.lit(" L 12.00")), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("  on the motor "), (F.col("o_custkey") % 9).cast("string"))),
+        F.concat(F.lit("2. Construction, aluminum "), (F.col("o_custkey") % 9).cast("string"), F.lit(" L 45.00")), F.when(F.col("o_custkey") % 3 == 0, F.lit("Arrangement 1")),
+    )
+    lines = o.select("doc", F.posexplode(rows).alias("pos", "line")).filter("line is not null")
+    return documents.order_items(lines, "doc", "pos", "line").select("doc", "item", "norm", "arrangement", "parts_only", F.array_join("tags", ", ").alias("tags"))
+
+
+ORDER_ITEMS = """
+WITH o AS (SELECT o_orderkey AS doc, o_custkey AS c, o_orderstatus AS s, o_orderkey % 5 = 0 AS parts_only,
+  CASE o_orderkey % 4 WHEN 0 THEN '9' WHEN 1 THEN 'A/4V' WHEN 3 THEN '3' ELSE CASE WHEN o_custkey % 3 = 0 THEN '1' ELSE '' END END AS arrangement FROM orders)
+SELECT doc, 2 AS item, 'EXTENDED LUBE LINES ' || s AS norm, arrangement, parts_only, CASE WHEN c % 2 = 0 THEN 'MOTOR' WHEN arrangement = '' THEN 'BEARINGS, MOTOR' WHEN arrangement = 'A/4V' THEN 'MOTOR' ELSE 'BEARINGS' END AS tags FROM o
+UNION ALL SELECT doc, 4, 'CONSTRUCTION ALUMINUM ' || c % 9, arrangement, parts_only, 'ALUMINUM, MATERIALS' || CASE WHEN parts_only THEN ', PARTS-ONLY ORDER' ELSE '' END FROM o"""
+
+
 def labelled_values(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", F.concat(F.lit(" "), F.initcap("event_type"), F.lit(" : "), F.col("event_id").cast("string"), F.lit(" ")).alias("line"))
     return documents.labelled_values(e, "user_id", "event_id", "line")
@@ -112,6 +133,7 @@ def template_choice(spark, sf):
 
 QUERIES = {
     "extract_items": (extract_items, EXTRACT),
+    "order_items": (order_items, ORDER_ITEMS),
     "labelled_values": (labelled_values, "SELECT user_id, upper(event_type) AS label, CAST(min(event_id) AS VARCHAR) AS value FROM events GROUP BY 1, 2"),
     "stale_recheck": (stale_recheck, f"SELECT CAST(job AS VARCHAR) AS job, CASE WHEN job % 5 > 0 THEN CAST(first_ship AS DATE) END AS verified FROM {B2} WHERE due_lines > 1 AND job % 3 <> 0 AND (job % 5 = 0 OR CAST(first_ship AS TIMESTAMP) < TIMESTAMP '1998-06-30 23:15:00') ORDER BY verified NULLS FIRST, CAST(job AS VARCHAR) LIMIT 5"),
     "repriced": (repriced, f"SELECT a.job, a.due_value, b.due_value AS before FROM {B2} a JOIN {B1} b USING (job) WHERE a.due_value <> b.due_value"),

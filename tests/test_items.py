@@ -4,7 +4,7 @@ import pytest
 
 from orderloom.functions.corrections import Rule, corrected, extreme_values, owners
 from orderloom.functions.text import normalize
-from orderloom.operators import items
+from orderloom.operators import documents, items
 from pyspark.sql import functions as F
 
 
@@ -95,3 +95,10 @@ def test_hierarchy(spark):
     assert not got[1, "", "same text", 4].keyed and got[1, "", "same text", 5].price == 0.0
     assert got[2, "", "MOTOR", 1].attributes == {}
     assert items.hierarchy(frame.limit(0), "job", "place", "text", "price", "said").count() == 0
+
+
+def test_context_of_the_whole_order(spark):
+    """A head below the item counts as well; an order's context does not reach another's; documents without items give none."""
+    lines = [(1, 0, "Sales Order"), (1, 1, "1. Extended lube lines L 12.00"), (1, 2, "Arrangement A/4"), (2, 0, "ARRANGEMENT: 8"), (2, 1, "1. Extended lube lines L 12.00"), (2, 2, "arrangement 4"), (3, 0, "1. Extended lube lines L 12.00"), (3, 1, None), (4, 0, "arrangement 9")]
+    got = {r.doc: (r.arrangement, r.parts_only, list(r.tags)) for r in documents.order_items(spark.createDataFrame(lines, "doc int, pos int, line string"), "doc", "pos", "line").collect()}
+    assert got == {1: ("A/4", False, ["MOTOR"]), 2: ("8", False, ["BEARINGS"]), 3: ("", False, ["BEARINGS", "MOTOR"])}
