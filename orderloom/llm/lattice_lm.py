@@ -11,11 +11,13 @@ texts), whose own counts are discounted towards P in the same way; a text's prob
 
 Documents are cut into blocks where they are read: a block keeps its distinct words once, and for each document their places and
 counts. Words meet their totals by word, then go back by block; whole texts are never shuffled. A word of more than BLOCKS_A_ROW
-blocks is dealt into several rows, so none grows with the corpus.
+blocks is dealt into several rows, so none grows with the corpus. A long word (a text without blanks) is taken in windows of bytes;
+its sums take time in proportion to its length and, in training, eight bytes a byte.
 """
 
 from __future__ import annotations
 
+import math
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ BLOCK_BYTES = 8 << 20
 WORDS_AT_ONCE = 65_536
 ENTRIES_AT_ONCE = 1 << 20
 BLOCKS_A_ROW = 4096
+#: A word of more bytes (a text without blanks) is taken alone, in windows of so many starts.
+LONG, WINDOW = 4096, 1 << 16
 
 
 class Vocabulary:
@@ -69,6 +73,7 @@ class Vocabulary:
         for node, i in ends.items():
             self.piece[node] = i
         self.opens = np.array([*self.opens, False])
+        self.longest = max(len(piece) for piece, _ in known)
         self.weights = self.normal(np.array([*weights, 0.1 * sum(w for w, o in zip(weights, self.opens) if not o)]))
 
     def normal(self, counts: np.ndarray) -> np.ndarray:
@@ -100,6 +105,71 @@ class Vocabulary:
         return out
 
 
+    def window(self, data: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and pieces of the arcs from a to b - 1 of one long word, by start. All starts walk the tries at once."""
+        starts, found = np.arange(a, min(b, len(data))), []
+        node, step = np.where(starts == 0, 0, 1), 0
+        while len(starts):
+            inside = starts + step < len(data)
+            starts, node = starts[inside], node[inside]
+            key = node << 8 | data[starts + step]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            starts, node, step = starts[hit], self.to[at[hit]], step + 1
+            done = self.piece[node] >= 0
+            found.append((starts[done], starts[done] + step, self.piece[node[done]]))
+        s, e, p = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(s, kind="stable")
+        return s[order], e[order], p[order]
+
+
+def logadd(x: float, y: float) -> float:
+    if x < y:
+        x, y = y, x
+    return x + math.log1p(math.exp(y - x)) if y > -math.inf else x
+
+
+def long_forward(word: bytes, vocabulary: Vocabulary, weights: np.ndarray, keep: bool) -> tuple[float, np.ndarray | None]:
+    """Natural logarithm of P_sub of one long word, and with keep the sums of all its places. Besides these a window's arcs are
+    held, and the sums that arcs out of it reach."""
+    data, every = np.frombuffer(word, np.uint8).astype(np.int64), np.full(len(word) + 1 if keep else 0, -np.inf)
+    ahead = [0.0]
+    for a in range(0, len(word), WINDOW):
+        s, e, p = vocabulary.window(data, a, a + WINDOW)
+        alpha = ahead + [-math.inf] * (int(e.max()) - a + 1 - len(ahead))  # every byte is a piece, so there are arcs
+        for i, j, w in zip((s - a).tolist(), (e - a).tolist(), weights[p].tolist()):
+            alpha[j] = logadd(alpha[j], alpha[i] + w)
+        done = min(WINDOW, len(word) - a)
+        if keep:
+            every[a : a + done] = alpha[:done]
+        ahead = alpha[done:]
+    if keep:
+        every[len(word)] = ahead[0]
+    return ahead[0] + weights[-1], every
+
+
+def long_counts(word: bytes, vocabulary: Vocabulary, weights: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece over all segmentations of one long word."""
+    total, alpha = long_forward(word, vocabulary, weights, True)
+    data, out = np.frombuffer(word, np.uint8).astype(np.int64), np.zeros(len(weights))
+    after: list[float] = [float(weights[-1])]  # of the places from the window's end on
+    for a in reversed(range(0, len(word), WINDOW)):
+        done = min(WINDOW, len(word) - a)
+        s, e, p = vocabulary.window(data, a, a + done)
+        beta = [-math.inf] * done + after
+        for i, j, w in zip((s - a)[::-1].tolist(), (e - a)[::-1].tolist(), weights[p][::-1].tolist()):
+            beta[i] = logadd(beta[i], w + beta[j])
+        out += np.bincount(p, np.exp(alpha[s] + weights[p] + np.array(beta)[e - a] - total), len(out))
+        after = beta[: vocabulary.longest]
+    return out
+
+
+def apart(words: list[bytes]) -> tuple[list[int], list[int]]:
+    """Places of the words of usual length, and of long ones."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    return np.flatnonzero(sizes <= LONG).tolist(), np.flatnonzero(sizes > LONG).tolist()
+
+
 def grids(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of like lengths: their places among words, lengths, and bytes."""
     sizes = np.array([len(w) for w in words], np.int64)
@@ -126,7 +196,12 @@ def forward(arcs: list, n_rows: int, weights: np.ndarray) -> np.ndarray:
 def word_scores(words: list[bytes], vocabulary: Vocabulary, weights: np.ndarray) -> np.ndarray:
     """Natural logarithm of P_sub of each word."""
     out = np.zeros(len(words))
-    for at, sizes, grid in grids(words):
+    usual, long = apart(words)
+    for i in long:
+        out[i] = long_forward(words[i], vocabulary, weights, False)[0]
+    usual = np.array(usual, np.int64)
+    for own, sizes, grid in grids([words[i] for i in usual]):
+        at = usual[own]
         alpha = forward(vocabulary.arcs(grid), len(at), weights)
         out[at] = alpha[np.arange(len(at)), sizes] + weights[-1]
     return out
@@ -135,8 +210,13 @@ def word_scores(words: list[bytes], vocabulary: Vocabulary, weights: np.ndarray)
 def expected_counts(words: list[bytes], vocabulary: Vocabulary, weights: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words, each so many times, and of the stop."""
     out = np.zeros(len(weights))
-    for at, sizes, grid in grids(words):
-        arcs = vocabulary.arcs(grid)
+    usual, long = apart(words)
+    for i in long:
+        out += times[i] * long_counts(words[i], vocabulary, weights)
+        out[-1] += times[i]
+    usual = np.array(usual, np.int64)
+    for own, sizes, grid in grids([words[i] for i in usual]):
+        at, arcs = usual[own], vocabulary.arcs(grid)
         row = np.arange(len(at))
         alpha = forward(arcs, len(at), weights)
         beta = np.full(alpha.shape, -np.inf)

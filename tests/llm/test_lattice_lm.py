@@ -143,3 +143,28 @@ def test_held_out_texts_against_a_law_of_bytes(spark):
     n, ends = got[held[0]].train_tokens, sum(not r.held_out for r in got.values())
     bytes_law = sum(math.log10((counts[b] + 1) / total) for i in held for w in words[i] for b in w) + tokens * math.log10((n - ends) / n) + len(held) * math.log10(ends / n)
     assert sum(got[i].mixed_score for i in held) > sum(got[i].score for i in held) > bytes_law + 0.3 * tokens
+
+
+def test_long_words_in_windows(monkeypatch):
+    """Words taken alone, in windows shorter than their pieces, have the sums and counts of the same words in grids."""
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.choice(list(b"abc"), n)) for n in (1, 2, 4, 5, 6, 9, 17, 40)]
+    scores, counts = L.word_scores(words, V, V.weights), L.expected_counts(words, V, V.weights, np.arange(1.0, 9.0))
+    for window in (1, 3, 5, 64):
+        monkeypatch.setattr(L, "LONG", 3)
+        monkeypatch.setattr(L, "WINDOW", window)
+        assert np.allclose(L.word_scores(words, V, V.weights), scores) and np.allclose(L.expected_counts(words, V, V.weights, np.arange(1.0, 9.0)), counts)
+
+
+def test_a_text_of_two_megabytes_without_blanks():
+    import time
+    import tracemalloc
+
+    word = b"abcab" * 400_000
+    began = time.process_time()
+    score = L.word_scores([word], V, V.weights)[0]
+    assert time.process_time() - began < 20 and np.isfinite(score)
+    tracemalloc.start()
+    L.word_scores([word[:500_000]], V, V.weights)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
