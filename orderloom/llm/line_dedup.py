@@ -62,7 +62,6 @@ def repeated(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     runs = stored(runs_of(lines, run_words), "line-runs")
     place = F.struct(*KEY, "mark_pos")
     marks = runs.groupBy("mark").agg(F.min(place).alias("first"), F.max(place).alias("final")).filter("first <> final").select("mark")
-    marks = stored(marks, "line-marks")  # read from a table, the side of the runs may be split at a frequent line, or met by broadcast
     held = runs.join(marks, "mark", "left_semi").select(*KEY, "pos", "last", "run")
     place = F.struct(*KEY, "pos")
     firsts = held.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
