@@ -132,6 +132,10 @@ def reuse_shortlist(spark, sf):
     return search.reuse(ranked, least=0.001, top=3)
 
 
+DRAWN = "SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40"
+REUSE = "SELECT job, score, shared FROM (" + SIMILAR.replace(f"WHERE job <> {TARGET}", f"WHERE job <> {TARGET} AND job IN ({DRAWN})") + ") WHERE score >= 0.001 ORDER BY score DESC, job DESC LIMIT 3"
+
+
 def value_similarity(spark, sf):
     p = table(spark, sf, "part")
     a = F.concat_ws(" | ", "p_type", "p_brand")
@@ -298,7 +302,7 @@ QUERIES = {
     "fuzzy_search": (fuzzy_search, None),
     "explorer_search": (explorer_search, EXPLORER),
     "similar_orders": (similar_orders, SIMILAR),
-    "reuse_shortlist": (reuse_shortlist, None),
+    "reuse_shortlist": (reuse_shortlist, REUSE),
     "value_similarity": (value_similarity, VALUE),
     "base_fan_match": (base_fan_match, f"SELECT o_orderkey, CASE WHEN s <> s2 OR p <> p2 OR coalesce(c <> c2, false) THEN 0.0 WHEN c IS NULL OR c2 IS NULL THEN 0.995 ELSE 1.0 END::DOUBLE AS score FROM {TWO}"),
     "core_similarity": (core_similarity, CORE),
