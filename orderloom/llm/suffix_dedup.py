@@ -12,8 +12,12 @@ interval of each order, at depths d and n - d. Orders change at few depths, so f
 LENGTH is what is removed. The same orders settle strings of SHORT bytes, about forty words: passages that repeat but are too
 short to be removed are counted.
 
-Groups of more than GROUP different members (one gram in very many contexts; so many bodies take about 13 MB) are not brought
-into one task: their strings are counted by hash, with partial sums.
+Groups of more than GROUP different members (one gram in very many contexts; so many bodies take about 13 MB) are split before
+they are brought into tasks, as multikey quicksort splits, by the bytes that come next on either side. A string of n bytes that
+starts between x and y bytes before its anchor is shared only by members that agree in x bytes before the anchor and in n - y from
+it on: these are one part. A part that is still too large is halved by distance, x to the middle and the rest, each with the bytes
+that its members must agree in as well, and loses those bytes; parts of one member are done. A part of one distance holds one
+string, so all of it is repeated.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ SPAN = SHORT - GRAM + 1  # grams in a window
 SHALLOW = 12
 GROUP = 20_000
 PIECE = 1 << 20
-ODD, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+ODD = 0x9E3779B97F4A7C15
 KEY = ["id", "tie"]
 
 
@@ -219,10 +223,6 @@ def suffix_order(texts: list[bytes], start: int) -> tuple[np.ndarray, np.ndarray
     return np.array(order), np.array(common)
 
 
-def orders(right: list[bytes], left: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    return suffix_order(right, min(GRAM, *map(len, right))), suffix_order(left, 0)
-
-
 def repeated_windows(both: tuple, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
     """For each member of a group, the ranges (d1, d2) of distances of its strings of that length that another member has too.
     both: the orders; size: bytes from the anchor on."""
@@ -249,7 +249,7 @@ def repeated_windows(both: tuple, size: np.ndarray, lo: np.ndarray, hi: np.ndarr
     return found
 
 
-MEMBERS = "gram long, size long, id long, tie long, p int, lo short, hi short, copies long, body binary"
+MEMBERS = "gram long, members long, id long, tie long, p int, lo short, hi short, copies long, body binary"
 SPANS = "id long, tie long, length short, a int, b int"
 PA_SPANS = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("length", pa.int16()), ("a", pa.int32()), ("b", pa.int32())])
 
@@ -273,55 +273,69 @@ def bodies(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select(*KEY, "text", "members"), run, MEMBERS)
 
 
-def spans_of_groups(members: DataFrame) -> DataFrame:
-    """Repeated spans of members, group by group; a partition's rows come sorted by gram."""
-
-    def settled(group: list[dict]) -> Iterator[tuple]:
-        cut = [x["lo"] for x in group]
-        right = [x["body"][k:] for x, k in zip(group, cut)]
-        left = [x["body"][:k][::-1] for x, k in zip(group, cut)]
-        both, size = orders(right, left), np.array(list(map(len, right)))
-        for length in (LENGTH, SHORT):
-            found = repeated_windows(both, size, np.array(cut), np.array([x["hi"] for x in group]), length)
-            for x, ranges in zip(group, found):
-                if x["copies"] == 1:
-                    yield from ((x["id"], x["tie"], length, x["p"] - d2, x["p"] - d1 + length) for d1, d2 in ranges)
+def split(members: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Parts of at most `most` members, to be sorted, and the spans that the splitting itself settles.
+
+    part, id, tie, p, lo, hi, copies, length (0: all lengths), x, y, left, right: left are the bytes before the anchor, but for the x
+    next to it, right those from it on, but for the first length - y (none, where length is 0); a part's members agree in those left out."""
+    byte, lo = lambda c, start, n: F.substring(F.col(c), start, n), F.col("lo")
+    size = F.octet_length("body") - lo
+    number = lambda n: F.lit(n).cast("int")
+    columns = ["part", *KEY, "p", "lo", "hi", "copies", "length", "x", "y", "left", "right"]
+    fitting = members.filter(F.col("members") <= most).select(F.hex("gram").alias("part"), *KEY, "p", "lo", "hi", "copies", number(0).alias("length"), number(0).alias("x"), number(SPAN - 1).alias("y"), byte("body", F.lit(1), lo).alias("left"), byte("body", lo + 1, size).alias("right"))
+    large = members.filter(F.col("members") > most)
+    settled = fitting.select(*KEY, F.col("length").cast("short"), "p", "p").toDF(*(x.split()[0] for x in SPANS.split(", "))).limit(0)
+    if large.isEmpty():
+        return fitting, settled
+    n, end = F.col("length"), number(SPAN - 1)
+    rows = large.withColumn("length", F.explode(F.array(*map(number, (LENGTH, SHORT))))).withColumn("hi", F.greatest(F.col("hi").cast("int"), n - size)).filter("hi <= lo")
+    first = F.md5(F.concat(F.encode(n.cast("string"), "utf-8"), byte("body", lo + 1, n - end)))
+    rows = rows.select(first.alias("part"), *KEY, "p", "lo", "hi", "copies", "length", number(0).alias("x"), end.alias("y"), byte("body", F.lit(1), lo).alias("left"), byte("body", lo + 1 + n - end, end).alias("right"))
+    while True:
+        met = stored(rows.join(rows.groupBy("part").agg(F.count("*").alias("members")).filter("members > 1"), "part"), "parts")
+        fitting = fitting.unionByName(met.filter((F.col("members") <= most) & F.expr("x < y")).select(columns))
+        settled = settled.unionByName(met.filter("x = y and copies = 1").select(*KEY, n.cast("short").alias("length"), (F.col("p") - F.col("x")).alias("a"), (F.col("p") - F.col("x") + n).alias("b")))
+        large = met.filter((F.col("members") > most) & F.expr("x < y"))
+        if large.isEmpty():
+            return fitting, settled
+        middle, x, y, u, v = F.expr("cast((x + y) div 2 as int)"), *map(F.col, ("x", "y", "h.u", "h.v"))
+        halves = large.withColumn("h", F.explode(F.array(F.struct(x.alias("u"), middle.alias("v")), F.struct((middle + 1).alias("u"), y.alias("v"))))).filter("greatest(hi, h.u) <= least(lo, h.v)")
+        far, length = F.least(lo, v), F.octet_length("left")
+        more = F.md5(F.concat(F.encode(F.concat_ws(":", "part", u, v), "utf-8"), byte("left", length - (u - x) + 1, u - x), byte("right", F.lit(1), y - v)))
+        rows = halves.select(more.alias("part"), *KEY, "p", "lo", "hi", "copies", "length", u.alias("x"), v.alias("y"), byte("left", length - (far - x) + 1, far - u).alias("left"), byte("right", y - v + 1, v - u).alias("right"))
+
+
+def spans_of_parts(parts: DataFrame) -> DataFrame:
+    """Repeated spans of members, part by part."""
+
+    def settled(part: list[dict]) -> Iterator[tuple]:
+        lo, hi = (np.array([x[k] for x in part]) for k in ("lo", "hi"))
+        right, left = [x["right"] for x in part], [x["left"][::-1] for x in part]
+        one, x, y = part[0]["length"], part[0]["x"], part[0]["y"]
+        (by_right, lcp_right), (by_left, lcp_left) = suffix_order(right, 0 if one else min(GRAM, *map(len, right))), suffix_order(left, 0)
+        both = (by_right, lcp_right + (one - y if one else 0)), (by_left, lcp_left + x)
+        for length in (one,) if one else (LENGTH, SHORT):
+            size = np.full(len(part), one) if one else np.array(list(map(len, right)))
+            found = repeated_windows(both, size, np.minimum(lo, y), np.maximum(hi, x), length)
+            for member, ranges in zip(part, found):
+                if member["copies"] == 1:
+                    yield from ((member["id"], member["tie"], length, member["p"] - d2, member["p"] - d1 + length) for d1, d2 in ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
+        part: list[dict] = []
         for batch in batches:
             out: list[tuple] = []
             for x in batch.to_pylist():
-                if group and group[0]["gram"] != x["gram"]:
-                    out += settled(group)
-                    group = []
-                group.append(x)
+                if part and part[0]["part"] != x["part"]:
+                    out += settled(part)
+                    part = []
+                part.append(x)
             if out:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out), PA_SPANS.types)), schema=PA_SPANS)
-        if group and (out := list(settled(group))):
+        if part and (out := list(settled(part))):
             yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out), PA_SPANS.types)), schema=PA_SPANS)
 
-    return map_arrow(members.repartition("gram").sortWithinPartitions("gram"), run, SPANS)
-
-
-def spans_of_windows(members: DataFrame) -> DataFrame:
-    """The same for groups of any size: windows are counted by two 64-bit hashes."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("length", pa.int16()), ("a", pa.int32()), ("copies", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = np.frombuffer(row["body"], np.uint8)
-                both = [Hashes(data, base) for base in (ODD, OTHER)]
-                for length in (LENGTH, SHORT):
-                    n = max(0, min(len(data) - length, row["lo"] - row["hi"]) + 1)
-                    at = np.arange(n)
-                    x, y = (h.of(at, at + length).view(np.int64) for h in both)
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *(pa.array([v] * n, k) for v, k in ((row["id"], pa.int64()), (row["tie"], pa.int64()), (length, pa.int16()))), pa.array((at + row["p"] - row["lo"]).astype(np.int32)), pa.array([row["copies"]] * n, pa.int64())], schema=schema)
-
-    windows = stored(map_arrow(members, run, "x long, y long, id long, tie long, length short, a int, copies long"), "windows")
-    known = windows.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select("x", "y")
-    return windows.filter("copies = 1").join(known, ["x", "y"]).select(*KEY, "length", "a", (F.col("a") + F.col("length")).cast("int").alias("b"))
+    return map_arrow(parts.repartition("part").sortWithinPartitions("part"), run, SPANS)
 
 
 def repeated_spans(rows: DataFrame, group: int = 0) -> DataFrame:
@@ -340,9 +354,8 @@ def repeated_spans(rows: DataFrame, group: int = 0) -> DataFrame:
     reps = runs.join(sizes, "gram").select("rep.id", "rep.tie", "rep.p", "rep.lo", "rep.hi", "gram", sizes["size"], "copies")
     listed = reps.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "size", "p", "lo", "hi", "copies")).alias("members"))
     members = stored(bodies(rows.join(listed, KEY)), "members")
-    few = spans_of_groups(members.filter(F.col("size") <= (group or GROUP)))
-    many = spans_of_windows(members.filter(F.col("size") > (group or GROUP)))
-    return whole.unionByName(few).unionByName(many)
+    parts, settled = split(members, group or GROUP)
+    return whole.unionByName(settled).unionByName(spans_of_parts(parts))
 
 
 def merged(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:

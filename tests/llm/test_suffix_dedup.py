@@ -74,7 +74,7 @@ def test_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, tie string, p int").repartition(3)
     want = brute(rows)
     assert sum(r[2] for r in want) > 10_000
-    for group in (0, 2):
+    for group in (0, 2, 5):
         got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.n_repeated, bytes(r.kept)) for r in S.without_repeats(docs, group=group).collect()]
         assert sorted(got, key=repr) == want
     assert S.without_repeats(docs.limit(0)).count() == 0
