@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orderloom.functions.corrections import LUBE, extreme_values, owners
+from orderloom.functions.corrections import CONDUIT_MOTOR, CONDUIT_PLACE, LUBE, extreme_values, owners
 
 Value = str | Callable[[Column], Column]
 
@@ -16,7 +16,8 @@ Value = str | Callable[[Column], Column]
 @dataclass(frozen=True)
 class Fact:
     """name: the first value whose pattern is found in the text (`every`: all of them, joined by commas). `$1` is the pattern's group.
-    tag: needed (several: joined by +; blank: none). needs: a pattern that the line itself must have. of: primary, blob or said."""
+    tag: needed (several: joined by +; blank: none). needs: a pattern that the line itself must have, given: one that the text must
+    have. of: primary, blob or said."""
 
     name: str
     choices: tuple[tuple[str, Value], ...]
@@ -24,10 +25,35 @@ class Fact:
     every: bool = False
     of: str = "blob"
     needs: str = ""
+    given: str = ""
 
 
-def facts(tag: str, name: str, *choices: tuple[str, Value], every: bool = False, of: str = "blob", needs: str = "") -> Fact:
-    return Fact(name, choices, tag, every, of, needs)
+def facts(tag: str, name: str, *choices: tuple[str, Value], every: bool = False, of: str = "blob", needs: str = "", given: str = "") -> Fact:
+    return Fact(name, choices, tag, every, of, needs, given)
+
+
+def each(text: Column, pattern: str) -> Column:
+    """The pattern's group wherever it is found, each value once, joined by commas."""
+    return F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), ", ")
+
+
+def each_letter(text: Column, pattern: str) -> Column:
+    """The single letters within the pattern's group, likewise."""
+    return each(F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), " "), r"\b([A-Z])\b")
+
+
+#: These read the whole text; any other function gets the pattern's group.
+WHOLE_TEXT = (each, each_letter)
+
+
+def model(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(value), r"\s+", "-"), r"-(?:AND|WITH|INCLUDES?|INLET|OUTLET|DISCHARGE|SILENCER|UNIT|VENDOR|PRODUCT).*$", "")
+
+
+def grouped(value: Column) -> Column:
+    """Digits by thousands; a last group of two digits has lost its zero."""
+    digits = F.when(value.rlike(r",\s*\d{2}$"), F.concat(value, F.lit("0"))).otherwise(value)
+    return F.format_number(F.regexp_replace(digits, r"\D", "").cast("long"), 0)
 
 
 def dashed(value: Column) -> Column:
@@ -48,13 +74,40 @@ _METAL = r"\bALUMINUM\b|\bSTAINLESS\s+STEEL\b|\bPASSIVAT"
 _GRADES = tuple((rf"\bT?{grade}\s+STAINLESS\s+STEEL\b", f"{grade} SS") for grade in ("304", "304L", "316", "316L"))
 _OWNER = r"ACTUATOR|^MOTOR\b(?!\s+MOUNTING\b)"
 _NO_OWNER = r"^(?!.*ACTUATOR)(?!MOTOR\b(?!\s+MOUNTING\b))"
+_EXPLOSIVE = r"\bEXPLOSION[\s;-]*PROOF\b|CLASS\s*I+\b.*DIV"
+_EXPLOSIVE_MOTOR = r"\bMOTOR\b|\bEXPLOSION\s+PROOF\b|\bCLASS\s*[0-9IVX]+\b.*\bDIV(?:ISION)?\b"
+_CONDUIT = rf"^(?=.*\bCONDUIT\s+BOX\b)(?:MOTOR\s+CONDUIT\s+BOX\s+LOCATION\b|.*(?:{CONDUIT_MOTOR})|(?=.*\bHOUSING\b).*(?:{CONDUIT_PLACE}))"
+_SCREEN_RING = r"\bINLET\s+SCREEN\s+MOUNTING\s+RING\b|\bSELF\s+TAPPERS?\b.*\bINLET\s+SCREEN\b"
+_SCREEN_HEAD = r"(?:OUTLET\s+AND\s+INLET\s+SCREEN|(?:INLET|OUTLET)\s+(?:WIRE\s+)?SCREEN|SCREEN)\b|(?:LASER\s*[- ]?\s*CUT|OVERSIZED|STANDARD)\b.*\bSCREEN\b"
+_SCREEN_ITSELF, _SCREEN_PART = rf"^(?:{_SCREEN_HEAD})|{_SCREEN_RING}", rf"^(?!{_SCREEN_HEAD}|.*(?:{_SCREEN_RING}))"
+_RAINHOOD = r"\b(?:RAIN\s*HOOD|WEATHER\s+HOOD|WEATHER\s+COVER)\b"
+_INLET_SILENCER, _OUTLET_SILENCER = r"\b(?:CIRCULAR\s+)?INLET\s+SILENCER\b", r"\b(?:OUTLET|(?:CIRCULAR\s+)?DISCHARGE)\s+SILENCER\b"
+_OTHER_SILENCER = r"\bCIRCULAR\s+DISCHARGE\s+SILENCER\b|\bCIB\b"
+_PACKED = r"\b(?:PLUG PANEL|HOUSING|INLET BOX|SILENCER|DUCT|FAN)\b"
+_THICK = r"[0-9]+(?:\.[0-9]+)?"
+_BORE = r"\b(\d+(?:[-\s]\d+/\d+)?|\d+/\d+)\s*(?:\"|IN(?:CH(?:ES)?)?\.?)?\s*BORE\b"
+_HOURS = r"\b(\d{1,3}\s*,\s*\d{2,3}|\d{4,})\s+HOURS?\b"
+_BEARING_TYPES = ((r"\bBEARINGS?\s+SPLIT\s+PILLOW\s+BLOCK\b", "SPLIT PILLOW BLOCK"), (r"\bBEARINGS?\s+STANDARD\b", "STANDARD"), (r"\bREPAIR\s+BEARINGS?\b", "REPAIR BEARINGS"), (r"\bSPARE\s+BEARINGS?\b", "SPARE BEARINGS"))
+
+
+def _near_screen(side: str) -> str:
+    return rf"^(?=.*SILENCER).*(?:\b{side}\s+SCREEN\b|\bSCREEN\b.{{0,20}}\b{side}\b)|^(?!.*SILENCER).*(?:\b{side}\b.{{0,40}}\bSCREEN\b|\bSCREEN\b.{{0,40}}\b{side}\b)"
+
+
 # fixed values: names, patterns and values of facts, by component
 FACTS = [
+    facts("", "component", (r"\bBEARING\s+ADDER\b", "BEARINGS"), *((p, "BEARINGS") for p, _ in _BEARING_TYPES)),
+    facts("", "component", (rf"{_BORE}|{_HOURS}", "BEARINGS"), of="said"),
     facts("", "component", (_METAL, "MOTOR"), needs=r"^MOTOR\b(?!\s+MOUNTING\b)"),
     facts("", "component", (_METAL, "ACTUATOR"), needs="ACTUATOR"),
     facts("DRIVE COMPONENTS", "component", ("", "DRIVE COMPONENTS")),
     facts("SPLIT HOUSING", "component", ("", "SPLIT HOUSING")),
     facts("SPLIT HOUSING", "split_type", (r"\bHORIZONTAL\s+SPLIT\s+HOUSINGS?\b", "HORIZONTAL"), (r"\bPIE\s+WEDGE\s+SPLIT\s+HOUSINGS?\b", "PIE WEDGE"), (r"\b(?:SHIPPING|SHIPMENT)\s+SPLITS?\b|\bSPLIT\s+(?:HOUSINGS?\s+)?(?:FOR\s+)?(?:SHIPPING|SHIPMENT)\b|\bSPLIT\s+(?:HOUSINGS?\s+)?TO\s+SHIP\b|\bHOUSINGS?\s+SPLIT\s+(?:FOR\s+)?(?:SHIPPING|SHIPMENT)\b", "SHIPPING"), every=True),
+    facts("", "component", ("", "MOTOR"), needs=_EXPLOSIVE_MOTOR, given=_EXPLOSIVE),
+    facts("", "motor_enclosure", ("", "EXPLOSION PROOF"), needs=_EXPLOSIVE_MOTOR, given=_EXPLOSIVE),
+    facts("", "motor_explosion_class", (r"\bCL(?:ASS|S)?\.?\s*([0-9IVX]+)\b", each), needs=_EXPLOSIVE_MOTOR, given=_EXPLOSIVE),
+    facts("", "motor_explosion_groups", (r"\bGR(?:OU)?PS?\.?\s+([A-Z](?:[\s,]+[A-Z])*)(?=\s+CL(?:ASS|S)?\b|\s+DIV(?:ISION)?\b|$)", each_letter), needs=_EXPLOSIVE_MOTOR, given=_EXPLOSIVE),
+    facts("", "motor_explosion_division", (r"\bDIV(?:ISION)?\.?\s*([0-9]+)\b", each), needs=_EXPLOSIVE_MOTOR, given=_EXPLOSIVE),
     facts("WHEEL", "wheel_effective_diameter_percent", (r"\b(\d+(?:\.\d+)?)\s*%\s+EFFECTIVE\s+DIAMETER\b", "$1")),
     facts("WHEEL", "wheel_hub_construction", (r"\bTAPER\s*LOCK\s+BUSHING\b", "TAPER LOCK BUSHING"), (r"\bCAST\s+HUB\b", "CAST HUB")),
     facts("WHEEL", "wheel_hub_bore", (r"^(?=.*\bCAST\s+HUB\b).*STRAIGHT BORE", "STRAIGHT BORE")),
@@ -109,12 +162,29 @@ FACTS = [
     facts("LOW LEAKAGE", "leakage_class", ("", "LOW LEAKAGE")),
     facts("HEAVY DUTY", "heavy_duty", ("", "YES")),
     facts("HEAVY DUTY", "component", (r"\bWHEEL\b", "WHEEL"), (r"\bHOUSING\b", "HOUSING")),
+    facts("MIXING BOX", "component", ("", "MIXING BOX")),
+    facts("MIXING BOX", "fgr_port", (rf"\b({_THICK})\s*(?:\"|IN(?:CH(?:ES)?)?\.?)?\s+FGR\s+PORT\b", '$1"'), ("FGR PORT", "YES"), of="said"),
+    facts("MIXING BOX", "shipping_state", (r"SHIPPED LOOSE|SHIP LOOSE", "SHIPPED LOOSE")),
+    facts("INLET VANES", "used_on", ("", "IVC")),
+    facts("MIXING BOX", "used_on", ("INLET BOX", "INLET BOX")),
+    facts("MIXING BOX", "used_on_size", (r"\bSIZE\s+(\d+)\s+INLET\s+BOX\b|\bINLET\s+BOX\s+SIZE\s+(\d+)\b", "$1$2")),
+    facts("MIXING BOX", "size", (rf"^\s*({_THICK})\s*(?:\"|IN(?:CH(?:ES)?)?\.?)?\s+MIXING\s+BOX\b", '$1"'), of="said"),
+    facts("INLET VANES", "damper_subcategory", (r"INLET VANE DAMPER|\bIVD\b", "INLET VANE DAMPER")),
+    facts("INLET VANES", "operation", (r"\bAUTOMATIC\b", "Automatic"), (r"\bMANUAL\b", "Manual")),
+    facts("INLET VANES", "ivc_feature", (r"\bLOCKING(?:\s+QUADRANT)?\b", "LOCKING QUADRANT"), (r"\bROTATING\s+RING\s+ARM\b", "ROTATING RING ARM"), every=True),
+    facts("INLET VANES", "ivc_size", (r"\bSIZE\s+(\d{3,4})\b|\b(\d{3,4})\s+LOW\s+LEAK\s+IVC\b", "$1$2")),
+    facts("INLET VANES", "ivc_arm_position", (r"(?:@\s*)?([0-9]{1,2})\s+O\s*CLOCK", "$1 O'CLOCK")),
     facts("INSPECTION", "component", ("", "INSPECTION")),
     facts("INSPECTION", "inspection_subcategory", (r"\bISPM\b.*\b(?:STAMP|STAMPING|INSPECTION)\b", "ISPM WOOD STAMP"), (r"\bISPM\b", "ISPM REQUIREMENTS"), (r"\bORDER\s+IS\s+SHIPPING\s+OVERSEAS\b", "OVERSEAS CRATE REPORT"), (r"\bCUSTOMER\s+FINAL\s+INSPECTION\b", "CUSTOMER FINAL INSPECTION"), (r"\bUNWITNESSED\s+DIMENSIONAL\s+INSPECTION\b", "DIMENSIONAL INSPECTION"), (r"\bFINAL\s+INSPECTION\s+REPORT\b", "FINAL INSPECTION REPORT")),
     facts("INSPECTION", "inspection_scope", (r"^(?!.*\bISPM\b).*\bORDER\s+IS\s+SHIPPING\s+OVERSEAS\b", "PACKAGING")),
     facts("INSPECTION+PACKAGING", "inspection_scope", (r"\bISPM\b", "PACKAGING")),
     facts("CERTIFICATION", "component", ("", "CERTIFICATION")),
     facts("CERTIFICATION", "certification_type", (r"\bGENERAL\s+MILL\s+CERTIFICATIONS?\b", "GENERAL MILL CERTIFICATIONS")),
+    facts("INSULATION", "insulation_scope", *((place, place) for place in ("PLUG PANEL", "HOUSING", "INLET BOX", "SILENCER", "DUCT", "FAN"))),
+    facts("INSULATION", "insulation_type", (r"\bACOUSTIC\b|\bSOUND\s+PILLOW\b", "ACOUSTIC"), (r"\bTHERMAL\b", "THERMAL"), (r"\bLAGGING\b", "LAGGING"), (r"\bJACKET(?:ED)?\b", "JACKET")),
+    facts("INSULATION", "insulation_material", (r"\bMINERAL\s+WOOL\b", "MINERAL WOOL"), (r"\bFIBERGLASS\b|\bFIBRE\s*GLASS\b", "FIBERGLASS"), given=r"^(?!.*\b(?:ACOUSTIC|SOUND\s+PILLOW|THERMAL|LAGGING|JACKET(?:ED)?)\b)"),
+    facts("INSULATION", "insulation_thickness", (rf"^(?=.*{_PACKED}).*?(?:\b(?:INSULATION|LAGGING)\s+({_THICK})|\b({_THICK})\s*\"?\s+(?:INSULATION|LAGGING)\b)", '$1$2"'), (rf"\b(?:INSULATION|LAGGING)\s+({_THICK})\s*\"|\b({_THICK})\s*\"\s+(?:INSULATION|LAGGING)\b", '$1$2"'), (rf"\b(?:INSULATION|LAGGING)\s+({_THICK})|\b({_THICK})\s+(?:INSULATION|LAGGING)\b", "$1$2"), of="said"),
+    facts("INSULATION", "insulated_by", (r"\bINSULATED\s+BY\s*:\s*(.*?)(?=\s+(?:VENDOR|PRODUCT|QUOTE NUM(?:BER)?|QUOTE NO|OPERATION)\s*:|$)", "$1"), of="said"),
     facts("LABEL", "label_type", (r"\bSHIPPING\s+BAR\s*CODE\s+LABEL\b", "SHIPPING BARCODE LABEL"), (r"\bFEI\s+LABEL\b", "FEI LABEL"), (r"\bWARNING\s+LABEL\b", "WARNING LABEL"), (r"\bRETIE\s+LABEL\b", "RETIE LABEL"), (r"\bLABEL\s+REQUIRED\s+ON\s+EACH\s+ITEM\b", "ITEM LABEL"), (r"\bMARK\s+ALL\s+ITEMS\b|\bMARKED\s+WITH\s+THIS\s+INFORMATION\b", "ITEM MARKING"), (r"\bSHIPPING\s+LABEL\b", "SHIPPING LABEL")),
     facts("LABEL", "label_scope", (r"\bSHIPPING\s+BAR\s*CODE\s+LABEL\b", "SHIPPING"), (r"\bFEI\s+LABEL\b", ""), (r"^(?=.*FAN).*\bWARNING\s+LABEL\b", "FAN"), (r"\bWARNING\s+LABEL\b", "WARNING"), (r"\bRETIE\s+LABEL\b", "MOTOR"), (r"\bLABEL\s+REQUIRED\s+ON\s+EACH\s+ITEM\b|\bMARK\s+ALL\s+ITEMS\b|\bMARKED\s+WITH\s+THIS\s+INFORMATION\b", "EACH ITEM"), (r"\bSHIPPING\s+LABEL\b", "SHIPPING")),
     facts("LABEL", "label_handling", (r"\bSTICKERS?\s*/?\s*LABELS?.*\bNAMEPLATE\b.*\bBAG\b", "OTHER LABELS/NAMEPLATE BAGGED")),
@@ -129,6 +199,16 @@ FACTS = [
     facts("NAMEPLATE+MOTOR", "motor_nameplate_action", (r"\bREPLACE\s+NAMEPLATE\b", "REPLACE NAMEPLATE"), (r"\bREPLAT(?:E|ED|ING)\b", "REPLATE"), (r"\bNAMEPLATE\s+RR\b", "REPLACE NAMEPLATE")),
     facts("LIFTING LUGS", "component", ("", "HOUSING")),
     facts("LIFTING LUGS", "lifting_lugs", ("", "YES")),
+    facts("SCREEN", "component", (rf"^OUTLET\s+(?:WIRE\s+)?SCREEN\b(?=.*(?:{_SCREEN_RING}))", "SCREEN"), (rf"^INLET\s+(?:WIRE\s+)?SCREEN\b|{_SCREEN_RING}", "INLET SCREEN"), (r"^OUTLET\s+(?:WIRE\s+)?SCREEN\b", "OUTLET SCREEN"), ("", "SCREEN"), of="primary", needs=_SCREEN_ITSELF),
+    facts("SCREEN", "screen_subcategory", ("", "SCREEN"), needs=_SCREEN_PART),
+    facts("SCREEN", "screen_subcategory", (r"\bTRASH\s+SCREEN\b", "TRASH SCREEN"), (r"\bWIRE\s+SCREEN\b", "WIRE SCREEN GUARD"), (r"\bSCREEN\s+MOUNTING\s+RING\b", "MOUNTING RING"), (r"\bSELF\s+TAPPERS?\b.*\bSCREEN\b|\bSCREEN\b.{0,40}\bHARDWARE\b|\bHARDWARE\b.{0,40}\bSCREEN\b", "HARDWARE"), (_RAINHOOD, "RAINHOOD SCREEN"), every=True),
+    facts("SCREEN", "screen_feature", (r"\bOVERSIZED\b", "OVERSIZED"), (r"\bSTANDARD\b", "STANDARD"), (r"\bLASER\s*[- ]?\s*CUT\b", "LASER-CUT"), (r"\bBOLT\s*[- ]?\s*ON\b", "BOLT-ON"), every=True),
+    facts("SCREEN", "shipping_state", (r"\bSHIP(?:PED)?\s+LOOSE\b", "SHIPPED LOOSE")),
+    facts("SCREEN", "used_on", (_RAINHOOD, "WEATHER COVER"), ("SILENCER", "SILENCER"), every=True, needs=_SCREEN_ITSELF),
+    facts("SCREEN", "used_on", (_RAINHOOD, "WEATHER COVER"), (_near_screen("INLET"), "INLET"), (_near_screen("(?:OUTLET|DISCHARGE)"), "OUTLET"), ("SILENCER", "SILENCER"), every=True, needs=_SCREEN_PART),
+    facts("SCREEN", "mount_location", (r"\bMOUNTED\s+TO\s+BELL\b", "BELL"), (r"\bMOUNTED\s+TO\s+FAN\b", "FAN"), (r"\bMOUNTED\s+TO\s+INLET\s+CONE\b", "INLET CONE")),
+    facts("SCREEN", "screen_diameter", (rf"\bINLET\s+DIA\s+({_THICK})\b", "$1")),
+    facts("SCREEN", "screen_size", (r"\bSIZE\s+([0-9]{2,4})\b", "$1"), of="primary"),
     facts("WEATHER COVER", "weather_cover_type", (r"\bDRIP\s*COVER|DRIPCOVER\b", "DRIP COVER"), (r"\bRAIN\s*HOOD|RAINHOOD\b", "RAINHOOD"), ("INLET HOOD", "INLET HOOD"), ("WEATHER HOOD", "WEATHER HOOD"), ("WEATHER COVER", "WEATHER COVER"), ("WEATHER ?PROOF", "WEATHERPROOF"), every=True),
     facts("WEATHER COVER", "weather_cover_used_on", (r"\bINLET\b", "INLET"), (r"\b(?:OUTLET|DISCHARGE)\b", "OUTLET"), every=True),
     facts("WEATHER COVER", "weather_cover_feature", (r"\bINLET\s+SCREEN\b", "INLET SCREEN"), ("TRASH SCREEN", "TRASH SCREEN"), (r"\bGALVANIZ(?:ED|ING)?\s+SCREEN\b", "GALVANIZED SCREEN"), (r"\bFILTER\b", "FILTER"), every=True),
@@ -154,6 +234,24 @@ FACTS = [
     facts("HOUSING", "housing_dimension", (r"^(?=.*\bFLANGE\s+TO\s+FLANGE\b).*\bHOUSING\s+LENGTH\b", "FLANGE-TO-FLANGE LENGTH")),
     facts("HOUSING", "housing_thickness", (r"\b(\d+\s*GA)\s+HOUSING\s+THICKNESS\b", "$1")),
     facts("HOUSING", "mount_location", (r"\bNAMEPLATE\b.*\bHOUSING\b|\bRIVETED\s+TO\s+HOUSING\b", "HOUSING")),
+    facts("", "component", ("", "MOTOR"), given=_CONDUIT),
+    facts("", "motor_feature", ("", "CONDUIT BOX LOCATION"), given=_CONDUIT),
+    facts("", "motor_conduit_box_location", ("HUGGING", "HUGGING HOUSING"), (r"\bCLOSE\s+TO\b", "CLOSE TO HOUSING"), (r"\b(?:TACK\s+AND\s+WELD|WELD\s+CONDUIT\s+BOX|CONDUIT\s+BOX\s+TO\s+HOUSING)\b", "MOUNTED TO HOUSING"), (r"\b(F[123]|RF)\s+CONDUIT\s+BOX\b", "$1"), given=_CONDUIT),
+    facts("", "motor_conduit_box_position", (r"^(?=.*VIEWED FROM OUTLET).*?(?:@\s*)?\b([0-9]{1,2})\s*:?\s*00\b", "$1:00 VIEWED FROM OUTLET"), given=_CONDUIT),
+    facts("", "motor_conduit_box_orientation", (r"\bKNOCKOUT\s+FACES?.{0,20}\bDOWNWARD\b", "KNOCKOUT FACES DOWNWARD"), given=_CONDUIT),
+    facts("SILENCER", "component", (r"\bINLET\b", "INLET SILENCER"), (r"\b(?:OUTLET|DISCHARGE)\b", "OUTLET SILENCER"), ("", "SILENCER")),
+    facts("SILENCER", "component", (r"\b(?:OUTLET|DISCHARGE)\b", "OUTLET SILENCER"), (r"\bINLET\b", "INLET SILENCER"), of="primary"),
+    facts("SILENCER", "component", (_OTHER_SILENCER, "OUTLET SILENCER")),
+    facts("SILENCER", "component", (_INLET_SILENCER, "INLET SILENCER"), (_OUTLET_SILENCER, "OUTLET SILENCER"), of="primary"),
+    facts("SILENCER", "silencer_type", (_OTHER_SILENCER, "CIRCULAR DISCHARGE SILENCER"), needs=rf"^(?!.*{_INLET_SILENCER})"),
+    facts("SILENCER", "silencer_type", (r"\bCIRCULAR\s+INLET\s+SILENCER\b", "CIRCULAR INLET SILENCER"), (rf"^(?!.*{_INLET_SILENCER}).*{_OUTLET_SILENCER}", "CIRCULAR DISCHARGE SILENCER"), of="primary"),
+    facts("SILENCER", "brand", ("AEROACOUSTIC", "AEROACOUSTIC"), (r"\bVAW\b", "VAW")),
+    facts("SILENCER", "model", (r"\bMODEL\s*:?\s*([A-Z0-9]+(?:[.-][A-Z0-9]+)+)\b", model), (r"\b(?:VAW\s+)?SILENCER\s+([0-9A-Z]+VRSB[-\s][A-Z0-9]+)\b", model), (r"\b([0-9]{2}VCIB[-\s]V99[-\s]SN\d+)\b", model), (r"\b((?:CI|IB|SI)[-\s]\d+[-\s][A-Z0-9.]+|[0-9]+[-\s]TA[-\s][A-Z0-9]+)\b", model), of="said"),
+    facts("SILENCER", "noise_target", (r"\b(\d{2,3})\s*DBA\b", "$1 DBA")),
+    facts("SILENCER", "pressure_drop", (r"\bPRESSURE\s+DROP(?:\s+OF)?\s*:?\s*(\d+(?:\.\d+)?|\.\d+)", "$1"), of="said"),
+    *(facts("SILENCER", name, (pattern, "YES")) for name, pattern in (("piezometer_tube", r"\bPIEZOMETER\s+TUBE\b"), ("velocity_tube", r"\bVELOCITY\s+TUBE\b"), ("thermowell_port", r"\bTHERMOWELL\s+PORT\b"), ("trash_screen", r"\bTRASH\s+SCREEN\b"), ("rain_hood", r"\bRAIN\s*HOOD\b"), ("filter", r"\bFILTER\b"), ("support_legs", r"\b(?:SUPPORT|EXTENDED)\s+LEGS?\b"), ("mounting_lugs", r"\bMOUNTING\s+LUGS?\b"), ("lifting_lugs", r"\bLIFTING\s+LUGS?\b"), ("mounting_hardware", r"\bMOUNTING\s+HARDWARE\b"), ("gasket", r"\b(?:H\s*&\s*G|H\s+G|HARDWARE\s+AND\s+GASKET|GASKET)\b"))),
+    facts("SILENCER", "drawing_requirement", (r"\bDRAWINGS?\s+FOR\s+(?:THE\s+)?RECORD\b", "DRAWING FOR RECORD")),
+    facts("SILENCER", "drawing_requirement", (r"\bPDF\b", "PDF"), (r"\bAUTO\s*CAD\b", "AUTOCAD"), (r"\b3D\b", "3D"), every=True, given=r"\bDRAWINGS?\b"),
     facts("WARRANTY", "note_type", ("", "WARRANTY")),
     facts("WARRANTY", "warranty_type", ("EXTENDED WARRANTY", "EXTENDED WARRANTY"), ("EXCLUSIVE", "EXCLUSIVE WARRANTY"), ("STANDARD", "STANDARD WARRANTY")),
     facts("WARRANTY", "warranty_duration", (r"\b1\s*[- ]?\s*YEARS?\b.{0,40}\bWARRANTY\b|\bWARRANTY\b.{0,80}\b1\s*[- ]?\s*YEARS?\b", "1 YEAR"), (r"\b(?!1\D)(\d+)\s*[- ]?\s*YEARS?\b.{0,40}\bWARRANTY\b", "$1 YEARS"), (r"\bWARRANTY\b.{0,80}\b(?!1\D)(\d+)\s*[- ]?\s*YEARS?\b", "$1 YEARS"), (r"\b1\s*[- ]?\s*MONTHS?\b.{0,40}\bWARRANTY\b|\bWARRANTY\b.{0,80}\b1\s*[- ]?\s*MONTHS?\b", "1 MONTH"), (r"\b(?!1\D)(\d+)\s*[- ]?\s*MONTHS?\b.{0,40}\bWARRANTY\b", "$1 MONTHS"), (r"\bWARRANTY\b.{0,80}\b(?!1\D)(\d+)\s*[- ]?\s*MONTHS?\b", "$1 MONTHS"), every=True),
@@ -191,6 +289,10 @@ FACTS = [
     facts("", "balance_grade", (r"\bG\s*(\d+(?:\.\d+)?)\s+BALANCE\b", "G$1")),
     facts("", "balance_type", (r"\bWELDED\s+BALANCE\s+WEIGHTS?\b", "WELDED BALANCE WEIGHTS")),
     facts("", "component", (r"\bG\s*\d+(?:\.\d+)?\s+BALANCE\b|\bWELDED\s+BALANCE\s+WEIGHTS?\b", "BALANCE")),
+    facts("", "bearing_type", *_BEARING_TYPES),
+    facts("", "bearing_life_adder", (r"\bBEARING\s+ADDER\b", "YES")),
+    facts("", "bearing_bore", (_BORE, dashed), of="said"),
+    facts("", "bearing_life_hours", (_HOURS, grouped), of="said"),
     facts("EVASE", "component", ("", "EVASE"), needs=_OWN_EVASE),
     facts("DRIVE COMPONENTS", "max_rpm", (r"MAX/MIN RPM:\s*(\d+)\s*/\s*\d+", "$1"), of="said"),
     facts("DRIVE COMPONENTS", "min_rpm", (r"MAX/MIN RPM:\s*\d+\s*/\s*(\d+)", "$1"), of="said"),
@@ -200,13 +302,22 @@ FACTS = [
     facts("DRIVE COMPONENTS", "actual_cd", (r"\bACTUAL CD\s*:\s*([0-9.]+)", "$1"), of="said"),
     facts("DRIVE COMPONENTS", "service_factor", (r"SPECIFIED MINIMUM BELT SERVICE FACTOR:\s*([0-9.]+)", "$1"), (r"CONSTANT SPEED,\s*SF:\s*([0-9.]+)", "$1"), of="said"),
     facts("DRIVE COMPONENTS", "drive_subcategory", (r"^CENTER\s+DISTANCE\b", "CENTER DISTANCE"), (r"^(?:SPARE\s+)?V\s*[- ]?\s*BELT\s+DRIVE\b", "V-BELT DRIVE"), (r"^(?:NPO\s+)?(?:REPAIR|REPLACEMENT)\s+DRIVE\s+SET\b", "DRIVE SET"), (r"\b(?:MOTOR|MTR|FAN)\s+SHEAVE\b|\bSHEAVE\s*/?\s+BUSHING\b", "SHEAVE/BUSHING"), (r"\bCENTER\s+DISTANCE\b", "CENTER DISTANCE"), (r"\bDRIVE\s+SET\b", "DRIVE SET"), ("", "V-BELT DRIVE")),
+    facts("", "pct_width_customer", (r"(\d{1,3}(?:\.\d+)?)\s*%", "$1%"), of="said", needs=r"^PERCENT\s+WIDTH\b"),
+    facts("", "door_type", (r"\bQUICK\s+CLAMP\b", "QUICK CLAMP"), (r"\bBOLT[ -]?ON\b|\bBOLTED\b", "BOLT-ON"), (r"\bRAISED\b", "RAISED"), given=r"\bACCESS\s+DOOR\b"),
+    facts("", "door_location", (r"^(?=.*\bACCESS\s+DOOR\b).*?\bDOOR\s+LOCATION\s*:?\s*@?\s*(\d{1,2}(?::\d{2})?)", "$1"), of="said"),
     facts("", "vendor", (r"(?i)\bVENDOR\s*:\s*(.*?)(?=\s+(?:PRODUCT|QUOTE NUM(?:BER)?|QUOTE NO|OPERATION)\s*:|$)", "$1"), of="said"),
     facts("", "product", (r"(?i)\bPRODUCT\s*:\s*(.*?)(?=\s+(?:VENDOR|QUOTE NUM(?:BER)?|QUOTE NO|OPERATION)\s*:|$)", "$1"), of="said"),
     facts("", "quote_number", (r"(?i)\bQUOTE\s+(?:NUM(?:BER)?|NO)\s*:\s*(.*?)(?=\s+(?:VENDOR|PRODUCT|OPERATION)\s*:|$)", "$1"), of="said"),
 ]
 
 
+# fixed values: what a line is of that names no component and belongs to none, by rank
+CLAIMS = (("PERCENT WIDTH", r"^PERCENT\s+WIDTH\b"), ("SHRINK WRAP", r"\bSHRINK\s*WRAP\b"), ("ACCESS DOOR", r"\bACCESS\s+DOOR\b"))
+
+
 def _value(text: Column, pattern: str, value: Value) -> Column:
+    if value in WHOLE_TEXT:
+        return value(text, pattern)
     if callable(value):
         return value(F.regexp_extract(text, pattern, 1))
     if "$" not in value:
@@ -225,7 +336,7 @@ def stated(fact: Fact, texts: dict[str, Column], tags: Column) -> Column:
     else:
         value = F.coalesce(*(F.when(on, v) for on, v in met))
     needed = [F.array_contains(tags, t) for t in fact.tag.split("+") if t] + ([texts["primary"].rlike(fact.needs)] if fact.needs else [])
-    for condition in needed:
+    for condition in needed + ([text.rlike(fact.given)] if fact.given else []):
         value = F.when(condition, value)
     return value
 
@@ -244,13 +355,21 @@ def attributes(texts: dict[str, Column], tags: Column, table: list[Fact] | None
     more = {
         "temperature_rating": F.array_join(beyond, ", "),
         "temperature_service": F.concat_ws(", ", F.when(low, "LOW TEMPERATURE"), F.when(high, "HIGH TEMPERATURE")),
-        "used_on": F.when(F.array_contains(tags, "SHAFT SLEEVE"), F.lit("SHAFT")).otherwise(belongs),
     }
     last = {name: F.coalesce(*reversed(values)) for name, values in named.items()} | more
+    spare = F.array_contains(tags, "SPARE PARTS")
+    owner = F.when(F.array_contains(tags, "SHAFT SLEEVE"), F.lit("SHAFT")).otherwise(F.coalesce(F.nullif(belongs, F.lit("")), F.when(~spare, last.get("used_on", F.lit(None)))))
+    claimed = F.coalesce(*(F.when(texts["blob"].rlike(p), F.lit(name)) for name, p in CLAIMS))
+    last |= {"used_on": owner, "component": F.coalesce(last.get("component", F.lit(None)), F.when(owner.isNull(), claimed))}
     entries = F.array(*(F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in sorted(last.items(), key=lambda x: x[0])))
     return F.map_from_entries(F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
 
 
+SILENCERS = ("INLET SILENCER", "OUTLET SILENCER", "SILENCER")
+JOINTS = ("INLET EXPANSION JOINT", "OUTLET EXPANSION JOINT", "EXPANSION JOINT")
+
+
 def without_own(known: Column) -> Column:
-    """A damper is not used on itself."""
-    return F.when(F.coalesce(F.try_element_at(known, F.lit("component")).isin("FRESH AIR DAMPER", "OUTLET DAMPER", "PRESPIN DAMPER", "INLET VANE DAMPER", "IVC"), F.lit(False)), F.map_filter(known, lambda k, _: k != "used_on")).otherwise(known)
+    """A damper is not used on itself, and a silencer or joint not on what it is named by."""
+    alone = ["FRESH AIR DAMPER", "OUTLET DAMPER", "PRESPIN DAMPER", "INLET VANE DAMPER", "IVC", *SILENCERS, *JOINTS]
+    return F.when(F.coalesce(F.try_element_at(known, F.lit("component")).isin(alone), F.lit(False)), F.map_filter(known, lambda k, _: k != "used_on")).otherwise(known)

@@ -34,6 +34,32 @@ def test_tags_depend_on_context(spark):
     assert got[7][0] == ["FAN DRAWING WEIGHTS"]
 
 
+def test_facts_of_components(spark):
+    rows = [
+        (1, "Explosion proof motor, Class I, Class II, Group C, D, Div. 1, Div 2", [], None, None, None),
+        (2, "Trash screen for discharge of weather hood", None, None, None, None),
+        (3, "Fan, class I div 1", [], None, None, None),
+        (4, "Circular inlet silencer with inlet and outlet transitions", ["Autocad and PDF drawings"], None, None, None),
+        (5, "Silencer", ["for discharge", "99VCIB V99 SN12 unit"], None, None, None),
+        (6, "Weld conduit box to housing, conduit box hugging", [], None, None, None),
+        (7, "Screen", ["for silencer"], None, None, None),
+        (8, "Access door for inlet volume control", [], None, None, None),
+        (9, "Bearing adder", ["12, 345 hours", "1 1/2 in. bore"], None, None, None),
+        (10, "Insulation 3", ["thermal"], None, None, None),
+    ]
+    got = {k: a for k, (_, a) in read(spark, rows).items()}
+    assert got[1]["motor_explosion_class"] == "I, II" and got[1]["motor_explosion_groups"] == "C, D" and got[1]["motor_explosion_division"] == "1, 2"
+    assert got[2]["screen_subcategory"] == "TRASH SCREEN, RAINHOOD SCREEN" and got[2]["used_on"] == "WEATHER COVER, OUTLET"
+    assert got[3]["motor_enclosure"] == "EXPLOSION PROOF" and got[3]["motor_explosion_division"] == "1"
+    assert (got[4]["component"], got[4]["silencer_type"], got[4]["drawing_requirement"]) == ("INLET SILENCER", "CIRCULAR INLET SILENCER", "PDF, AUTOCAD") and "used_on" not in got[4]
+    assert (got[5]["component"], got[5]["model"]) == ("OUTLET SILENCER", "99VCIB-V99-SN12")
+    assert got[6]["motor_conduit_box_location"] == "HUGGING HOUSING" and got[6]["component"] == "MOTOR"
+    assert got[7]["component"] == "SILENCER" and "used_on" not in got[7] and "screen_subcategory" not in got[7]  # a silencer that is named owns the line
+    assert got[8].get("component") is None and got[8]["used_on"] == "IVC"
+    assert (got[9]["bearing_life_hours"], got[9]["bearing_bore"], got[9]["bearing_life_adder"]) == ("12,345", '1-1/2"', "YES")
+    assert (got[10]["insulation_type"], got[10]["insulation_thickness"]) == ("THERMAL", "3")
+
+
 def test_rules_apply_in_order_and_stop(spark):
     table = [Rule(has=("A",), drop=("B",), add=("C",)), Rule(some=("C", "X"), lacks=("B",), add=("D",)), Rule(F.col("n") == 1, add=("ONLY",), alone=True), Rule(add=("LATE",)), Rule(F.lit(None).cast("boolean"), add=("NULL",))]
     frame = spark.createDataFrame([(0, ["A", "B"]), (1, ["A"]), (2, [])], "n int, t array<string>")
