@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orderloom.functions.attributes import attributes, without_own
 from orderloom.functions.corrections import corrected, rules, with_texts
 from orderloom.functions.text import tags
+from orderloom.sources.steps import spread
 
 # fixed values: attributes whose values of several lines add up; those that are no attributes of a component
 ADDING = r"(?:_subcategory|_feature|_scope|_instruction|_state|_method)$"
@@ -22,14 +23,14 @@ def _given(details: str) -> Column:
 def read_items(items: DataFrame, raw: str, details: str, section: str | None = None, arrangement: str | None = None, parts_only: str | None = None) -> DataFrame:
     """items with `tags` (what line and details name, corrected by context) and `attributes` (map of what they say).
 
-    section, arrangement, parts_only: columns; none: unknown. Each distinct text is read once; the join back is the optimiser's
-    to choose. Null texts and details are empty; former columns `tags` and `attributes` are replaced."""
+    section, arrangement, parts_only: columns; none: unknown. Each distinct text is read once, dealt over all tasks (few bytes,
+    but much work); the join back is the optimiser's to choose. Null texts and details are empty; former columns `tags` and `attributes` are replaced."""
     text = lambda name: F.coalesce(F.col(name), F.lit("")) if name else F.lit("")
     keyed = items.withColumn(
         "__item",
         F.struct(text(raw).alias("raw"), _given(details).alias("details"), text(section).alias("section"), text(arrangement).alias("arrangement"), (F.coalesce(F.col(parts_only), F.lit(False)) if parts_only else F.lit(False)).alias("parts_only")),
     )
-    distinct = keyed.select("__item").distinct().withColumns({"__raw": F.col("__item.raw"), "__details": F.col("__item.details")})
+    distinct = spread(keyed.select("__item").distinct(), "__item").withColumns({"__raw": F.col("__item.raw"), "__details": F.col("__item.details")})
     read = with_texts(distinct, "__raw", "__details").withColumn("__found", tags(F.col("__sought")))
     texts = {n: F.col(f"__{n}") for n in ("primary", "blob", "said", "wording")}
     product = F.upper(F.regexp_extract(F.get(F.filter(F.concat(F.array("__item.raw"), F.col("__item.details")), lambda x: x.rlike(r"(?i)^\s*Product\s*:\s*\S")), F.lit(0)), r"(?i)^\s*Product\s*:\s*(.*?)[ ,;]*$", 1))
