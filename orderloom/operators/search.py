@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,8 +46,27 @@ def search(items: DataFrame, job: str, text: str, tags: str, terms: list[str], a
     return marked.join(good.filter(rule).select(job), job, "left_semi").filter(matched).drop("__hits", "__tag")
 
 
+# fixed values: what separates words, as Python has it
+_BLANKS = r"[\s\p{Z}\x0B\x1C-\x1F\x85]+"
+
+
+def may_be_near(text: Column, term: str, least: float) -> Column:
+    """Whether a window of as many words as the term has enough of its characters, in whatever order: without that its ratio, twice
+    the matching characters by both lengths, cannot be `least`. Both are in upper case."""
+    n, counts = max(1, len(term.split())), Counter(term)
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), _BLANKS), lambda w: w != "")
+    last = lambda w: F.greatest(F.size(w) - F.lit(n), F.lit(0))
+    windows = let(words, lambda ws: F.transform(F.sequence(F.lit(1), last(ws) + 1), lambda i: F.array_join(F.slice(ws, i, n), " ")))
+
+    def shared(window: Column) -> Column:
+        return sum((F.least(F.lit(k), F.length(window) - F.length(F.replace(window, F.lit(c), F.lit("")))) for c, k in counts.items()), F.lit(0))
+
+    return F.exists(windows, lambda w: (w != "") & (2 * shared(w) >= F.lit(least - 1e-9) * (F.length(w) + len(term))))
+
+
 def fuzzy(items: DataFrame, text: str, term: str, least: float = 0.84) -> DataFrame:
-    """Items with a window of as many words as the term whose matching-blocks ratio is `least` or more."""
+    """Items with a window of as many words as the term whose matching-blocks ratio is `least` or more. Only texts that can reach
+    it by their characters are compared in Python."""
 
     @F.pandas_udf("boolean")
     def near(values: pd.Series) -> pd.Series:
@@ -62,7 +82,7 @@ def fuzzy(items: DataFrame, text: str, term: str, least: float = 0.84) -> DataFr
         cache: dict = {}
         return pd.Series([cache[v] if v in cache else cache.setdefault(v, hit(v)) for v in values])
 
-    return items.filter(near(F.upper(text)))
+    return items.filter(may_be_near(F.upper(text), term.upper(), least)).filter(near(F.upper(text)))
 
 
 #: a target of more features than this is joined without broadcast

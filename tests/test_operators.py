@@ -101,6 +101,23 @@ def test_fuzzy_is_matching_blocks_not_edit_distance(spark):
     assert got == {"CERMIC FELT", "CERAMIC FELT RING"} and difflib.SequenceMatcher(None, "CERAMIC FELT", "CERMIC FELT").ratio() > 0.84
 
 
+def test_fuzzy_loses_no_window(spark):
+    """Texts made of the term's pieces, against every window's ratio; texts that cannot reach it stay out of Python."""
+    r, term = random.Random(5), "CERAMIC FELT"
+    piece = lambda: "".join(c for c in r.choice(["CERAMIC", "FELT", "STEEL", "RING", "CERMAIC", "FLET", "é"]) if r.random() < 0.93)
+    texts = [r.choice([" ", "\u00a0", "\t ", "\u2003"]).join(piece() for _ in range(r.randint(0, 4))) for _ in range(600)] + ["CERAMIC FELT", "FELTCERAMIC", ""]
+
+    def near(text):
+        words = text.split()
+        windows = [" ".join(words[i : i + 2]) for i in range(max(1, len(words) - 1))]
+        return any(w and difflib.SequenceMatcher(None, term, w).ratio() >= 0.84 for w in windows)
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    want = {k for k, t in enumerate(texts) if near(t.upper())}
+    may = {x.k for x in frame.filter(search.may_be_near(F.upper("t"), term, 0.84)).collect()}
+    assert {x.k for x in search.fuzzy(frame, "t", term).collect()} == want and want <= may and 0 < len(want) < len(may) < len(texts) / 2
+
+
 def test_greedy_pairing_is_symmetric(spark):
     r = random.Random(2)
     sets = [[(r.choice("AB"), "|".join(r.sample("xyz", r.randint(0, 3)))) for _ in range(r.randint(0, 4))] for _ in range(12)]
