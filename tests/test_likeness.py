@@ -99,3 +99,10 @@ def test_whole_orders(spark):
         options = [("PROMO" in values(c.attrs.get("material")), component(a.components[0], c)) for c in named]
         pins, (score, _) = max(options, key=lambda o: (10 * o[0] + o[1][0], o[1][1]))
         assert r.pins == pins and abs(r.focused - (0.25 * want[0] + 0.75 * (0.35 * score + 0.65 * pins))) < 2e-6
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_pairs_read_orders_that_are_ready(spark):
+    """The keys of components are not worked out again for each pair."""
+    plan = catalog.queries()["order_likeness"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "components" in plan and "to_json" not in plan and "structstojson" not in plan
