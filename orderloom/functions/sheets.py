@@ -94,8 +94,8 @@ def spec_cells(cells: Column) -> Column:
     pairs = F.transform(flat, lambda c: F.struct(label(c).alias("l"), F.trim(F.regexp_extract(c, _any_case(CELL), 2)).alias("v")))
     known = F.filter(pairs, lambda p: (p["l"] != "") & (p["v"] != ""))
     names = F.array(*map(F.lit, LABELS))
-    first = lambda n: F.get(F.filter(known, lambda p: p["l"] == F.lower(n)), F.lit(0))
-    return F.map_from_entries(F.filter(F.transform(names, lambda n: F.struct(n.alias("key"), first(n)["v"].alias("value"))), lambda e: e["value"].isNotNull()))
+    first = lambda ps, n: F.get(F.filter(ps, lambda p: p["l"] == F.lower(n)), F.lit(0))
+    return let(known, lambda ps: F.map_from_entries(F.filter(F.transform(names, lambda n: F.struct(n.alias("key"), first(ps, n)["v"].alias("value"))), lambda e: e["value"].isNotNull())))
 
 
 def between(lines: Column, opens: Callable[[Column], Column], closes: Callable[[Column], Column]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions import sheets
 from orderloom.sources import sinks
+from orderloom.sources.steps import spread
 from orderloom.sources.tables import table
 
 
@@ -60,7 +61,7 @@ SELECT p_partkey, CASE WHEN r THEN p_name END AS design_desc, CASE WHEN r THEN C
 
 
 def spec_cells(spark, sf):
-    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    p, k = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_brand", "p_name"), "p_partkey"), F.col("p_partkey")
     cells = F.array(F.lit(None).cast("string"), F.concat(F.lit("size\n"), F.col("p_size").cast("string")), F.concat(F.lit(" WheelType "), F.col("p_type")), chosen(k, F.lit("Design"), F.concat(F.lit("DESIGN "), F.col("p_brand"))), F.lit("Size 99"), F.lit("Design B"), F.lit("Designed by"), F.concat(F.lit("%width "), F.col("p_name")))
     got = p.select("p_partkey", sheets.spec_cells(cells).alias("m"))
     return got.select("p_partkey", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), "; ").alias("cells"))

@@ -1,7 +1,9 @@
 """Documents' readers on cases that the tables do not make, and shards against plain halving."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from orderloom.functions import sheets
@@ -60,3 +62,14 @@ def test_shards_by_halving(spark):
     got = sinks.byte_shards(spark.createDataFrame(rows, "k long, b int"), "k", F.col("b"), 400).collect()
     assert sorted(map(tuple, got)) == [s for base in (0, 1000, 2000) for s in halve(base, base + 999)]
     assert sinks.byte_shards(spark.createDataFrame([], "k long, b int"), "k", F.col("b"), 400).count() == 0
+
+
+def planned(spark, name):
+    from orderloom.plans import catalog
+
+    return catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_costly_rows_of_one_file_are_dealt_over_tasks(spark):
+    assert "RepartitionByExpression" in planned(spark, "spec_cells")
