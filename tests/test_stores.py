@@ -1,5 +1,6 @@
 """Indexes kept up by deltas, gates that count computations, commits of two writers, re-spacing, and folders."""
 
+import os
 import random
 import re
 
@@ -144,3 +145,13 @@ def test_facts_leave_noise_out(spark):
     got = [sorted(r.f) for r in rows.select(facts.item_facts(F.col("s"), F.col("d"), F.col("a")).alias("f")).collect()]
     assert got == [["SIZE=27 IN", "section=WHEEL PARTS"], [], [], []]
     assert all(re.search("|".join(facts.NOISE), w) for w in facts.NOISE)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_days_of_the_queue_are_summed_once_and_only_over_lines_due(spark):
+    from orderloom.plans import catalog
+
+    plan = lambda name: catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan("history_advance")
+    union = plan("master_union")
+    assert "LeftOuter" not in union and all("isnotnull(l_shipdate" in line for line in union.splitlines() if "Filter" in line and "l_shipdate" in line)
