@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orderloom.operators import diff, merge
 from orderloom.plans.board import D0, D1, D2, FIELDS, board, board_sql
 from orderloom.sources import sinks
+from orderloom.sources.steps import stored
 from orderloom.sources.tables import latest_day, table
 
 B0, B1, B2 = map(board_sql, (D0, D1, D2))
@@ -195,7 +196,7 @@ SELECT * FROM o UNION ALL SELECT target, note, row_number() OVER (ORDER BY targe
 
 
 def history_advance(spark, sf):
-    b0, b1, b2 = boards(spark, sf)
+    b0, b1, b2 = (stored(b.select("job"), "history-day") for b in boards(spark, sf))
     start = diff.removed(b1, b0, "job").select("job", F.lit(D1).alias("left"))
     gone = diff.removed(b2, b1, "job").select("job", F.lit(D2).alias("left"))
     once = merge.history_advance(start, diff.added(b2, b1, "job"), gone, "job")
