@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from orderloom.functions.attributes import attributes, without_own
 from orderloom.functions.corrections import corrected, rules, with_texts
 from orderloom.functions.text import tags
-from orderloom.sources.steps import spread
+from orderloom.sources.steps import met, spread, stored
 
 # fixed values: attributes whose values of several lines add up; those that are no attributes of a component
 ADDING = r"(?:_subcategory|_feature|_scope|_instruction|_state|_method)$"
@@ -24,20 +24,20 @@ def read_items(items: DataFrame, raw: str, details: str, section: str | None = N
     """items with `tags` (what line and details name, corrected by context) and `attributes` (map of what they say).
 
     section, arrangement, parts_only: columns; none: unknown. Each distinct text is read once, dealt over all tasks (few bytes,
-    but much work); the join back is the optimiser's to choose. Null texts and details are empty; former columns `tags` and `attributes` are replaced."""
+    but much work), and stored; items are joined to them and never sent to all tasks. Null texts and details are empty; former columns `tags` and `attributes` are replaced."""
     text = lambda name: F.coalesce(F.col(name), F.lit("")) if name else F.lit("")
     keyed = items.withColumn(
         "__item",
         F.struct(text(raw).alias("raw"), _given(details).alias("details"), text(section).alias("section"), text(arrangement).alias("arrangement"), (F.coalesce(F.col(parts_only), F.lit(False)) if parts_only else F.lit(False)).alias("parts_only")),
     )
-    distinct = spread(keyed.select("__item").distinct(), "__item").withColumns({"__raw": F.col("__item.raw"), "__details": F.col("__item.details")})
+    distinct = spread(keyed.select("__item").distinct(), F.xxhash64("__item")).withColumns({"__raw": F.col("__item.raw"), "__details": F.col("__item.details")})
     read = with_texts(distinct, "__raw", "__details").withColumn("__found", tags(F.col("__sought")))
     texts = {n: F.col(f"__{n}") for n in ("primary", "blob", "said", "wording")}
     product = F.upper(F.regexp_extract(F.get(F.filter(F.concat(F.array("__item.raw"), F.col("__item.details")), lambda x: x.rlike(r"(?i)^\s*Product\s*:\s*\S")), F.lit(0)), r"(?i)^\s*Product\s*:\s*(.*?)[ ,;]*$", 1))
     table = rules(texts, F.col("__found"), F.col("__item.section"), product, F.col("__item.arrangement"), F.col("__item.parts_only"))
     tagged = read.withColumn("tags", corrected(F.col("__found"), table)).withColumn("attributes", attributes(texts, F.col("tags")))
     done = tagged.select("__item", "tags", without_own(F.col("attributes")).alias("attributes"))
-    return keyed.drop("tags", "attributes").join(done, "__item").drop("__item")
+    return met(keyed.drop("tags", "attributes"), stored(done, "read-items"), "__item").drop("__item")
 
 
 def said(attributes_of: Column) -> Column:
@@ -50,27 +50,27 @@ def review_flags(items: DataFrame, key: str, raw: str, details: str) -> DataFram
 
     An item is read with the first 0, 1, ... of its details, and with each detail alone. A detail is unclassified if it changes
     nothing where it stands, says nothing alone, and is not the head of a value on the next line (which says nothing alone, but
-    does with it). Every reading is a row, so long lists of details are spread over tasks."""
-    base = items.select(F.col(key).alias("key"), F.col(raw).alias("raw"), _given(details).alias("all"))
+    does with it). Items of equal texts are judged once. Every reading is a row, so long lists of details are spread over tasks."""
+    base = items.select(F.col(key).alias("key"), F.coalesce(F.col(raw), F.lit("")).alias("raw"), _given(details).alias("all"))
+    each = base.select("raw", "all").distinct()
     whole = F.transform(F.sequence(F.lit(0), F.size("all")), lambda k: F.struct(F.lit("whole").alias("kind"), k.alias("k"), F.slice("all", 1, k).alias("details")))
     alone = F.transform("all", lambda d, k: F.struct(F.lit("alone").alias("kind"), k.alias("k"), F.array(d).alias("details")))
-    readings = base.select("key", "raw", F.explode(F.concat(whole, alone)).alias("r")).select("key", "raw", "r.*")
+    readings = each.select("raw", "all", F.explode(F.concat(whole, alone)).alias("r")).select("raw", "all", "r.*")
     read = read_items(readings, "raw", "details").withColumn("sign", F.concat_ws("|", F.array_join("tags", ","), said(F.col("attributes"))))
     by = F.array_sort(F.collect_list(F.when(F.col("kind") == "whole", F.struct("k", "sign"))))
     one = F.array_sort(F.collect_list(F.when(F.col("kind") == "alone", F.struct("k", "sign"))))
     last = F.max_by(F.struct("tags", "attributes"), F.when(F.col("kind") == "whole", F.col("k")))
-    signs = read.groupBy("key").agg(F.transform(by, lambda x: x["sign"]).alias("by"), F.transform(one, lambda x: x["sign"]).alias("one"), last.alias("last"))
+    signs = read.groupBy("raw", "all").agg(F.transform(by, lambda x: x["sign"]).alias("by"), F.transform(one, lambda x: x["sign"]).alias("one"), last.alias("last"))
 
     def idle(k: Column) -> Column:
         empty = F.get("by", F.lit(0))
         headed = F.coalesce((F.get("by", k + 2) != F.get("by", k + 1)) & (F.get("one", k + 1) == empty), F.lit(False))
         return (F.get("by", k + 1) == F.get("by", k)) & (F.get("one", k) == empty) & ~headed
 
-    found = signs.join(base.select("key", "all"), "key")
     unclassified = F.array_compact(F.transform("all", lambda d, k: F.when(idle(k) & ~d.rlike(r"(?i)^\s*(?:equivalent|(?:Vendor|Product|Quote Num|Quote Number|Quote No|Operation)\s*:.*)\s*$"), F.concat(F.lit("UNCLASSIFIED DETAIL: "), d))))
     doubts = F.transform(F.array_sort(F.filter(F.map_entries("last.attributes"), lambda e: e["key"].endswith("_review"))), lambda e: F.concat(F.upper(F.replace(e["key"], F.lit("_"), F.lit(" "))), F.lit(": "), e["value"]))
     flags = F.concat(F.when(F.size("last.tags") == 0, F.array(F.lit("UNTAGGED"))).otherwise(F.array().cast("array<string>")), doubts, F.array_distinct(unclassified))
-    return found.select(F.col("key").alias(key), flags.alias("flags"))
+    return met(base, stored(signs.select("raw", "all", flags.alias("flags")), "review-flags"), "raw", "all").select(F.col("key").alias(key), "flags")
 
 
 def hierarchy(items: DataFrame, job: str, place: str, text: str, price: str, attributes_of: str) -> DataFrame:

@@ -128,3 +128,12 @@ def test_context_of_the_whole_order(spark):
     lines = [(1, 0, "Sales Order"), (1, 1, "1. Extended lube lines L 12.00"), (1, 2, "Arrangement A/4"), (2, 0, "ARRANGEMENT: 8"), (2, 1, "1. Extended lube lines L 12.00"), (2, 2, "arrangement 4"), (3, 0, "1. Extended lube lines L 12.00"), (3, 1, None), (4, 0, "arrangement 9")]
     got = {r.doc: (r.arrangement, r.parts_only, list(r.tags)) for r in documents.order_items(spark.createDataFrame(lines, "doc int, pos int, line string"), "doc", "pos", "line").collect()}
     assert got == {1: ("A/4", False, ["MOTOR"]), 2: ("8", False, ["BEARINGS"]), 3: ("", False, ["BEARINGS", "MOTOR"])}
+
+
+def test_items_are_not_sent_to_all_tasks(spark):
+    """Flags depend on texts alone: texts of many items are read once, and only they may be broadcast."""
+    frame = spark.range(30_000).select("id", F.lit("Motor, 5 HP").alias("raw"), F.array(F.lit("blah"), F.concat(F.lit("x"), (F.col("id") % 3).cast("string"))).alias("d"))
+    got = items.review_flags(frame, "id", "raw", "d")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftOuter, BuildRight" in plan and plan.count("Range (0, 30000") == 1
+    assert got.groupBy("flags").count().count() == 3 and got.count() == 30_000
