@@ -7,20 +7,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderloom.functions.sheets import order_context
-from orderloom.functions.text import closes_section, line_kind, normalize, opens_section, split_lead, split_price, split_type
+from orderloom.functions.text import closes_section, let, line_kind, normalize, opens_section, split_lead, split_price, split_type
 from orderloom.operators.items import read_items
-from orderloom.sources.steps import spread
+from orderloom.sources.steps import met, spread, stored
+
+
+ITEMS = ("item_priced", "item_section")
+
+
+def read_lines(lines: DataFrame, line: str) -> DataFrame:
+    """lines with `__read`, what each says by itself: whether it opens or closes a section, the section's name, its kind outside a
+    section and inside one, its parts as an item, and what it says of its order. Each distinct text is read once, dealt over all tasks."""
+    rows = lines.withColumn("__line", F.struct(F.col(line).alias("text")))
+    text = F.col("__line.text")
+    each = spread(rows.select("__line").distinct(), F.xxhash64("__line"))
+    each = each.select("__line", line_kind(text, F.lit(None).cast("string")).alias("outside"), line_kind(text, F.lit("x")).alias("inside"))
+    priced = let(split_lead(text), lambda lead: let(split_price(lead["text"]), lambda p: let(split_type(p["text"]), lambda t: F.struct(normalize(text).alias("norm"), lead["qty"].alias("qty"), F.coalesce(F.nullif(p["price"], F.lit("")), t["mark"]).alias("price"), t["type"].alias("type")))))
+    parts = F.when(F.col("outside").isin(*ITEMS) | F.col("inside").isin(*ITEMS), priced)
+    said = F.struct(opens_section(text).alias("opens"), closes_section(text).alias("closes"), F.regexp_replace(F.trim(text), r"\s*:\s*$", "").alias("name"), "outside", "inside", parts.alias("parts"), order_context(F.array(F.coalesce(text, F.lit("")))).alias("context"))
+    return met(rows, stored(each.select("__line", said.alias("__read")), "read-lines"), "__line").drop("__line")
 
 
 def classified(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
     """lines with the section that is open after each (null: none), and its kind, which depends on the one open before it."""
+    return _classified(read_lines(lines, line), doc, pos).drop("__read")
+
+
+def _classified(read: DataFrame, doc: str, pos: str) -> DataFrame:
     order = W.partitionBy(doc).orderBy(pos)
-    name = F.regexp_replace(F.trim(line), r"\s*:\s*$", "")
-    event = F.when(opens_section(F.col(line)), F.struct(name.alias("s"))).when(closes_section(F.col(line)), F.struct(F.lit(None).cast("string").alias("s")))
-    rows = lines.withColumn("__event", event)
+    event = F.when(F.col("__read.opens"), F.struct(F.col("__read.name").alias("s"))).when(F.col("__read.closes"), F.struct(F.lit(None).cast("string").alias("s")))
+    rows = read.withColumn("__event", event)
     before = F.last("__event", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))["s"]
     after = F.last("__event", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))["s"]
-    return rows.withColumns({"__before": before, "section": after}).withColumn("kind", line_kind(F.col(line), F.col("__before"))).drop("__event", "__before")
+    return rows.withColumns({"__before": before, "section": after}).withColumn("kind", F.when(F.col("__before").isNull(), F.col("__read.outside")).otherwise(F.col("__read.inside"))).drop("__event", "__before")
 
 
 def extract_items(lines: DataFrame, doc: str, pos: str, line: str, raw_line: bool = False) -> DataFrame:
@@ -29,17 +48,19 @@ def extract_items(lines: DataFrame, doc: str, pos: str, line: str, raw_line: boo
 
     The section holds from its heading to a total. A priced line is an item, any line within a section too. Text lines belong
     to the last item before them, unless a heading or a total stands between: an item or a reset, whichever came last."""
+    return _extracted(read_lines(lines, line), doc, pos, line).drop(*([] if raw_line else ["raw"]))
+
+
+def _extracted(read: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
     own = W.partitionBy(doc).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    marked = classified(lines, doc, pos, line)
-    is_item = F.col("kind").isin("item_priced", "item_section")
+    marked = _classified(read, doc, pos)
+    is_item = F.col("kind").isin(*ITEMS)
     event = F.when(is_item, F.struct(F.col(pos).cast("long").alias("at"))).when(F.col("kind").isin("section_start", "section_end"), F.struct(F.lit(None).cast("long").alias("at")))
     open_item = marked.withColumn("item", F.last(event, ignorenulls=True).over(own)["at"]).filter("item is not null and kind in ('item_priced', 'item_section', 'text')")
     details = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct(F.col(pos).alias("p"), F.trim(line).alias("t"))))), lambda x: x["t"])
-    raw = F.max(F.when(F.col(pos) == F.col("item"), F.col(line)))
-    grouped = open_item.groupBy(doc, "item").agg(raw.alias("raw"), F.max(F.when(F.col(pos) == F.col("item"), F.col("section"))).alias("section"), details.alias("details"))
-    parts = grouped.withColumn("__lead", split_lead(F.col("raw"))).withColumn("__priced", split_price(F.col("__lead.text"))).withColumn("__typed", split_type(F.col("__priced.text")))
-    items = parts.select(doc, "item", "raw", "section", "details", normalize(F.col("raw")).alias("norm"), F.col("__lead.qty").alias("qty"), F.coalesce(F.nullif(F.col("__priced.price"), F.lit("")), F.col("__typed.mark")).alias("price"), F.col("__typed.type").alias("type"))
-    return items.withColumn("__n", F.row_number().over(W.partitionBy(doc, "norm").orderBy("item"))).filter("__n = 1").drop("__n", *([] if raw_line else ["raw"]))
+    head = F.max(F.when(F.col(pos) == F.col("item"), F.struct(F.col(line).alias("raw"), "section", "__read.parts")))
+    items = open_item.groupBy(doc, "item").agg(head.alias("h"), details.alias("details")).select(doc, "item", "h.raw", "h.section", "details", "h.parts.*")
+    return items.withColumn("__n", F.row_number().over(W.partitionBy(doc, "norm").orderBy("item"))).filter("__n = 1").drop("__n")
 
 
 def order_items(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:

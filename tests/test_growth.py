@@ -21,3 +21,17 @@ def plan(frame):
 @tables
 def test_facts_are_worked_out_for_each_part(spark):
     assert "regexp_replace" not in plan(catalog.queries()["item_facts"](spark, SF))
+
+
+def test_lines_are_read_once_for_each_text(spark):
+    """Rows of a null line and of equal lines keep what they are, in a section and outside one."""
+    lines = spark.createDataFrame([(1, 0, "1. Drain L 12.00"), (1, 1, None), (1, 2, "Accessories:"), (1, 3, "Drain"), (1, 4, None), (2, 0, "Drain")], "doc int, pos int, line string")
+    got = documents.classified(lines, "doc", "pos", "line")
+    assert "RLIKE" not in plan(got).upper() and "RLIKE" not in plan(documents.extract_items(lines, "doc", "pos", "line")).upper()
+    assert [r.kind for r in got.orderBy("doc", "pos").collect()] == ["item_priced", "text", "section_start", "item_section", "item_section", "text"]
+
+
+def test_prices_are_taken_off_up_to_eight_times(spark):
+    texts = ["fan  ", "fan 1.00", "fan 1.00 2.00 EA", "fan " + "1.00 " * 9, None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(text.split_price(F.col("t")).alias("s")).collect()
+    assert [(r.s.text, r.s.price) for r in got] == [("fan", ""), ("fan", "1.00"), ("fan", "1.00"), ("fan 1.00", "1.00"), (None, "")]
