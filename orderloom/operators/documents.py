@@ -69,11 +69,10 @@ def order_items(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
 
     Documents are read twice: what holds for the order is gathered from all its lines, one row for each, and joined to the items
     before their tags are corrected. The first line by pos that names an arrangement counts. Lines are dealt by document once, into
-    as many partitions as the session has, as their rules cost more than their bytes tell."""
-    lines = spread(lines, doc)
-    said = lines.select(doc, pos, order_context(F.array(F.coalesce(F.col(line), F.lit("")))).alias("c"))
-    context = said.groupBy(doc).agg(F.coalesce(F.min_by("c.arrangement", F.when(F.col("c.arrangement") != "", F.col(pos))), F.lit("")).alias("arrangement"), F.bool_or("c.parts_only").alias("parts_only"))
-    items = extract_items(lines, doc, pos, line, raw_line=True).join(context, doc)
+    as many partitions as the session has; what a line says is read once for each distinct text."""
+    read = read_lines(spread(lines, doc), line)
+    context = read.select(doc, pos, F.col("__read.context").alias("c")).groupBy(doc).agg(F.coalesce(F.min_by("c.arrangement", F.when(F.col("c.arrangement") != "", F.col(pos))), F.lit("")).alias("arrangement"), F.bool_or("c.parts_only").alias("parts_only"))
+    items = _extracted(read, doc, pos, line).join(context, doc)
     return read_items(items, "raw", "details", "section", "arrangement", "parts_only")
 
 

@@ -35,3 +35,8 @@ def test_prices_are_taken_off_up_to_eight_times(spark):
     texts = ["fan  ", "fan 1.00", "fan 1.00 2.00 EA", "fan " + "1.00 " * 9, None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(text.split_price(F.col("t")).alias("s")).collect()
     assert [(r.s.text, r.s.price) for r in got] == [("fan", ""), ("fan", "1.00"), ("fan", "1.00"), ("fan 1.00", "1.00"), (None, "")]
+
+
+@tables
+def test_orders_are_read_once_for_each_line(spark):
+    assert "RLIKE" not in plan(catalog.queries()["order_items"](spark, SF)).upper()
