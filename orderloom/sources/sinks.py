@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderloom.functions.text import let
+from orderloom.sources.steps import spread
 
 
 def write_snapshot(rows: DataFrame, root: str, day: str, once: bool = False) -> None:
@@ -46,11 +47,11 @@ def byte_shards(rows: DataFrame, key: str, size: Column, most: int, width: int =
     """low, high, rows, bytes of shards: ranges of `width` keys, each halved until it has at most `most` bytes or one key. size: the
     bytes of a row. Keys are long, from 0.
 
-    Sums of all halvings are found at once from the sums of keys, one row for each key and level before they are added up; rows are
-    not moved, and each key takes the widest range that fits."""
+    Rows are added up to keys, and only these are moved, once: a range of `width` keys lies in one task, which adds up its halvings
+    level by level. Each key takes the widest range that fits."""
     levels = width.bit_length()
-    keys = rows.groupBy(F.col(key).cast("long").alias("k")).agg(F.count("*").alias("rows"), F.sum(size.cast("long")).alias("bytes"))
-    base, at = F.floor(F.col("k") / width) * width, F.pmod(F.col("k"), F.lit(width))
+    base, at = (F.floor(F.col("k") / width) * width).cast("long"), F.pmod(F.col("k"), F.lit(width))
+    keys = rows.groupBy(F.col(key).cast("long").alias("k")).agg(F.count("*").alias("rows"), F.sum(size.cast("long")).alias("bytes")).withColumn("base", base)
     whole = F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("low"), F.lit(width - 1).cast("long").alias("high"))
 
     def halved(acc: Column, i: Column) -> Column:
@@ -61,11 +62,16 @@ def byte_shards(rows: DataFrame, key: str, size: Column, most: int, width: int =
         return F.array_append(acc, let(F.element_at(acc, -1), half))
 
     spans = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.array(whole), halved)
-    each = keys.select("k", "rows", "bytes", base.cast("long").alias("base"), F.explode(spans).alias("r")).select("k", "rows", "bytes", (F.col("base") + F.col("r.low")).alias("low"), (F.col("base") + F.col("r.high")).alias("high"), "r.level")
-    sums = each.groupBy("level", "low", "high").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
-    fits = sums.filter((F.col("bytes") <= most) | (F.col("low") == F.col("high")))
-    widest = each.select("k", "level", "low", "high").join(fits, ["level", "low", "high"]).groupBy("k").agg(F.min(F.struct("level", "low", "high", F.col("rows"), F.col("bytes"))).alias("s"))
-    return widest.select("s.low", "s.high", "s.rows", "s.bytes").distinct()
+    each = spread(keys, "base").withColumn("r", spans)
+    shards = []
+    for i in range(levels + 1):
+        low, high = (F.col("base") + F.col("r")[i][side] for side in ("low", "high"))
+        each = each.withColumn(f"low{i}", low)
+        total = W.partitionBy("base", f"low{i}")
+        each = each.withColumns({f"rows{i}": F.sum("rows").over(total), f"bytes{i}": F.sum("bytes").over(total)})
+        shard = F.struct(F.col(f"low{i}").alias("low"), high.alias("high"), F.col(f"rows{i}").alias("rows"), F.col(f"bytes{i}").alias("bytes"))
+        shards.append(F.when((F.col(f"bytes{i}") <= most) | (F.col(f"low{i}") == high), shard))
+    return each.select(F.coalesce(*shards).alias("s")).filter("s is not null").select("s.low", "s.high", "s.rows", "s.bytes").distinct()
 
 
 def write_shards(rows: DataFrame, key: str, root: str, width: int = 1000, max_rows: int = 1_000_000) -> DataFrame:

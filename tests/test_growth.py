@@ -40,3 +40,9 @@ def test_prices_are_taken_off_up_to_eight_times(spark):
 @tables
 def test_orders_are_read_once_for_each_line(spark):
     assert "RLIKE" not in plan(catalog.queries()["order_items"](spark, SF)).upper()
+
+
+def test_halvings_move_keys_once(spark):
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.lit(7).alias("b"))
+    got = plan(sinks.byte_shards(rows, "k", F.col("b"), 400))
+    assert "Generate explode" not in got and got.count("Join") == 0
