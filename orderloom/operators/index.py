@@ -30,13 +30,15 @@ def add(features: DataFrame, root: str, version: int, jobs: DataFrame | None = N
         jobs.select(F.col("job").cast("long").alias("job"), F.lit(version).cast("long").alias("version")).distinct().write.mode("append").parquet(f"{root}/updates")
 
 
-def postings(spark: SparkSession, root: str, of: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+def postings(spark: SparkSession, root: str, of: DataFrame | None = None, buckets: int = BUCKETS, few: bool = False) -> DataFrame:
     """job, kind, feature of what counts; with `of` (kind, feature) of the buckets of these only (at most `buckets` numbers come to
-    the driver)."""
+    the driver); few: of these features only."""
     rows = spark.read.schema(POSTINGS).parquet(f"{root}/postings")
     if of is not None:
         wanted = [r[0] for r in bucketed(of.select("kind", "feature"), buckets).select("bucket").distinct().collect()]
         rows = rows.filter(F.col("bucket").isin(wanted))
+        if few:
+            rows = rows.join(of.select("kind", "feature").distinct(), ["kind", "feature"], "left_semi")
     return current(rows, updates(spark, root)).select("job", "kind", "feature")
 
 
@@ -48,15 +50,17 @@ def updates(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def current(rows: DataFrame, changed: DataFrame | None) -> DataFrame:
-    """Rows of orders that were never parsed again, and of the others those of the latest version."""
+    """Rows of orders that were never parsed again, and of the others those of the latest version. The table of these grows with the
+    orders, so it is not sent to all tasks."""
     if changed is None:
         return rows
-    return rows.join(changed, "job", "left").filter(F.col("latest").isNull() | (F.col("version") == F.col("latest"))).drop("latest")
+    return rows.join(changed.hint("shuffle_hash"), "job", "left").filter(F.col("latest").isNull() | (F.col("version") == F.col("latest"))).drop("latest")
 
 
 def ranked(spark: SparkSession, root: str, target: DataFrame, exclude: int | None = None, only: DataFrame | None = None, top: int = 15) -> DataFrame:
     """similar() on the index: job, score, shared of the orders most like the target's features (kind, feature)."""
-    rows = postings(spark, root, target)
+    wanted = target.select("kind", "feature").distinct()
+    rows = postings(spark, root, wanted, few=True)
     return similar(rows if exclude is None else rows.filter(F.col("job") != exclude), target, only=only, top=top)
 
 

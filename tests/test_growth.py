@@ -46,3 +46,13 @@ def test_halvings_move_keys_once(spark):
     rows = spark.range(3000).select(F.col("id").alias("k"), F.lit(7).alias("b"))
     got = plan(sinks.byte_shards(rows, "k", F.col("b"), 400))
     assert "Generate explode" not in got and got.count("Join") == 0
+
+
+@tables
+def test_parsed_orders_are_not_sent_to_all_tasks(spark, tmp_path):
+    from orderloom.operators import index
+
+    rows = spark.createDataFrame([(j, "tag", f"f{j % 3}") for j in range(30)], "job long, kind string, feature string")
+    index.add(rows, f"{tmp_path}/i", 0)
+    index.add(rows.filter("job < 9"), f"{tmp_path}/i", 1, jobs=rows.filter("job < 9").select("job"))
+    assert "BroadcastHashJoin [job" not in plan(index.postings(spark, f"{tmp_path}/i"))
