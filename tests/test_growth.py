@@ -56,3 +56,9 @@ def test_parsed_orders_are_not_sent_to_all_tasks(spark, tmp_path):
     index.add(rows, f"{tmp_path}/i", 0)
     index.add(rows.filter("job < 9"), f"{tmp_path}/i", 1, jobs=rows.filter("job < 9").select("job"))
     assert "BroadcastHashJoin [job" not in plan(index.postings(spark, f"{tmp_path}/i"))
+
+
+@tables
+def test_shortlist_is_sifted_before_it_is_cut_to_jobs(spark):
+    got = plan(catalog.queries()["reuse_shortlist"](spark, SF))
+    assert "BroadcastHashJoin [l_partkey" not in got and "BroadcastHashJoin [job" not in got
