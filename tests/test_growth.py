@@ -62,3 +62,10 @@ def test_parsed_orders_are_not_sent_to_all_tasks(spark, tmp_path):
 def test_shortlist_is_sifted_before_it_is_cut_to_jobs(spark):
     got = plan(catalog.queries()["reuse_shortlist"](spark, SF))
     assert "BroadcastHashJoin [l_partkey" not in got and "BroadcastHashJoin [job" not in got
+
+
+@tables
+def test_orders_are_made_ready_after_they_are_sifted(spark):
+    got = catalog.queries()["focused_orders"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    quantity = r"\d+(?:\.\d+)?"
+    assert quantity in got and quantity not in got[got.index("Join Inner") :]
