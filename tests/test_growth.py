@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from test_catalog import SF
 
 from orderloom.functions import text
-from orderloom.operators import documents
-from orderloom.plans import catalog
-from orderloom.sources import sinks
+from orderloom.operators import documents, nearest
+from orderloom.plans import catalog, texts
+from orderloom.sources import sinks, steps
 
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
@@ -69,3 +69,26 @@ def test_orders_are_made_ready_after_they_are_sifted(spark):
     got = catalog.queries()["focused_orders"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     quantity = r"\d+(?:\.\d+)?"
     assert quantity in got and quantity not in got[got.index("Join Inner") :]
+
+
+@tables
+def test_nearest_orders_work_on_what_differs(spark, monkeypatch):
+    """Components are prepared once for each different one, and orders that are repeated add no comparisons."""
+    made = {}
+
+    def kept(df, label):
+        out = steps.stored(df, label)
+        made[label] = out.count()
+        return out
+
+    def sizes(orders):
+        made.clear()
+        assert nearest.nearest(orders, F.col("job") % 50 == 0).count() > 0
+        return dict(made)
+
+    monkeypatch.setattr(nearest, "stored", kept)
+    once = steps.stored(texts.whole_orders(spark, os.path.join(os.path.dirname(SF), "sf0.001")), "once")
+    one, two = sizes(once), sizes(once.unionByName(once.withColumn("job", F.col("job") + 1_000_000)))
+    assert one["nearest-components"] == once.select(F.explode("o.components").alias("c")).select(F.to_json(F.struct("c"))).distinct().count()
+    assert two["nearest-orders"] == 2 * one["nearest-orders"] and all(two[k] == one[k] for k in ("nearest-components", "nearest-whole", "nearest-classes", "nearest-core_id", "nearest-slots_id"))
+    assert all(two[k] <= one[k] for k in ("nearest-blocks", "nearest-first", "nearest-rest"))
