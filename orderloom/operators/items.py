@@ -79,31 +79,32 @@ def hierarchy(items: DataFrame, job: str, place: str, text: str, price: str, att
     Items meet by what they are used on, else by their component; an item with neither stands alone, under its text. An actuator
     with owners becomes a child of each of them, priced with the first. The dearest item (the first of equal ones) is the primary;
     its values come first, then the others' in order. Values of names in ADDING join by commas; of others by bars, and the name is
-    in `conflicts`. Items of an order are grouped by thing, so a large order is spread over its things."""
+    in `conflicts`. Items of an order are grouped by thing, so a large order is spread over its things; items that lie by their
+    orders already are not dealt again."""
     a = lambda name: F.trim(F.upper(F.coalesce(F.try_element_at(F.col(attributes_of), F.lit(name)), F.lit(""))))
     owned = F.filter(F.array_distinct(F.split(a("used_on"), r"\s*[,|]\s*")), lambda x: x != "")
-    rows = items.select(F.col(job).alias("job"), F.col(place).alias("place"), F.col(text).alias("text"), F.coalesce(F.col(price), F.lit(0)).cast("decimal(18,2)").alias("price"), F.coalesce(F.col(attributes_of), F.create_map().cast("map<string,string>")).alias("said"), a("component").alias("component"), a("used_on").alias("used_on"), owned.alias("owners"))
+    adds = lambda k: k.rlike(ADDING)
+    told = F.filter(F.map_entries(F.coalesce(F.col(attributes_of), F.create_map().cast("map<string,string>"))), lambda e: ~e["key"].isin(*STRUCTURE) & ~e["key"].endswith("_review") & (F.coalesce(e["value"], F.lit("")) != ""))
+    pairs = F.flatten(F.transform(told, lambda e: F.transform(F.when(adds(e["key"]), F.split(e["value"], ", ")).otherwise(F.array(e["value"])), lambda v: F.struct(e["key"].alias("k"), v.alias("v")))))
+    rows = items.select(F.col(job).alias("job"), F.col(place).alias("place"), F.col(text).alias("text"), F.coalesce(F.col(price), F.lit(0)).cast("decimal(18,2)").alias("price"), pairs.alias("pairs"), a("component").alias("component"), a("used_on").alias("used_on"), owned.alias("owners"))
     nested = (F.col("component") == "ACTUATOR") & (F.size("owners") > 0)
     own = F.coalesce(F.nullif("used_on", F.lit("")), F.nullif("component", F.lit("")))
     child = F.transform("owners", lambda o, k: F.struct(o.alias("parent"), F.col("component").alias("name"), F.lit(True).alias("keyed"), F.when(k == 0, F.col("price")).otherwise(F.lit(0).cast("decimal(18,2)")).alias("cost")))
     single = F.array(F.struct(F.lit("").alias("parent"), F.coalesce(own, F.col("text")).alias("name"), own.isNotNull().alias("keyed"), F.col("price").alias("cost")))
-    views = rows.withColumn("v", F.explode(F.when(nested, child).otherwise(single))).select("job", "place", "text", "said", "v.*")
+    views = rows.withColumn("v", F.explode(F.when(nested, child).otherwise(single))).select("job", "place", "text", "pairs", "v.*")
     # a thing without a key is a thing of its own even if its text repeats
     views = views.withColumn("thing", F.when(F.col("keyed"), F.lit(None)).otherwise(F.col("place")))
     by = ["job", "parent", "name", "keyed", "thing"]
     first = W.partitionBy(*by).orderBy(F.desc("cost"), "place")
     ranked = views.withColumn("rank", F.row_number().over(first)).withColumn("turn", F.when(F.col("rank") == 1, F.lit(None)).otherwise(F.col("place")))
-    pairs = ranked.select(*by, "rank", "turn", F.explode("said").alias("k", "v")).filter(~F.col("k").isin(*STRUCTURE) & ~F.col("k").endswith("_review") & (F.coalesce(F.col("v"), F.lit("")) != ""))
-    adds = F.col("k").rlike(ADDING)
-    parts = pairs.withColumn("v", F.explode(F.when(adds, F.split("v", ", ")).otherwise(F.array("v"))))
-    met = parts.groupBy(*by, "k", "v").agg(F.min("turn").alias("turn"), F.min("rank").alias("rank")).withColumn("turn", F.when(F.col("rank") == 1, F.lit(None)).otherwise(F.col("turn")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), "v"))), lambda x: x["v"])
-    values = met.groupBy(*by, "k").agg(listed.alias("vs")).withColumn("value", F.when(adds, F.array_join("vs", ", ")).otherwise(F.array_join("vs", " | ")))
-    conflict = ~adds & (F.size("vs") > 1)
-    facts = values.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "value")))).alias("attributes"), F.array_sort(F.collect_list(F.when(conflict, F.col("k")))).alias("conflicts"))
-    things = ranked.groupBy(*by).agg(F.min("place").alias("place"), F.sum("cost").cast("double").alias("price"), F.max(F.when(F.col("rank") == 1, F.col("text"))).alias("primary"), F.count("*").alias("members"))
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
-    on = same[0] & same[1] & same[2] & same[3] & same[4]
-    joined = things.alias("t").join(facts.alias("f"), on, "left")
-    none = F.array().cast("array<string>")
-    return joined.select(*(f"t.{c}" for c in ("job", "parent", "name", "keyed", "place", "price", "primary", "members")), F.coalesce("f.attributes", F.create_map().cast("map<string,string>")).alias("attributes"), F.coalesce("f.conflicts", none).alias("conflicts")).withColumnRenamed("job", job)
+    # each item says its pairs, and once, without a name, that it is there, the primary with its text; so one grouping by things does for both
+    said = ranked.select(*by, "place", "cost", "rank", "turn", F.explode(F.array_append("pairs", F.struct(F.lit(None).cast("string").alias("k"), F.when(F.col("rank") == 1, F.col("text")).alias("v")))).alias("p")).withColumns({"k": F.col("p.k"), "v": F.col("p.v")})
+    met = said.groupBy(*by, "k", "v").agg(F.min("turn").alias("turn"), F.min("rank").alias("rank"), F.min("place").alias("place"), F.sum("cost").alias("cost"), F.count("*").alias("n")).withColumn("turn", F.when(F.col("rank") == 1, F.lit(None)).otherwise(F.col("turn")))
+    there = lambda c: F.when(F.col("k").isNull(), F.col(c))
+    listed = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", F.coalesce("turn", F.lit(-1)).alias("turn"), "v"))))
+    things = met.groupBy(*by).agg(F.min(there("place")).alias("place"), F.sum(there("cost")).cast("double").alias("price"), F.max(there("v")).alias("primary"), F.sum(there("n")).alias("members"), listed.alias("listed"))
+    of = lambda k: F.transform(F.filter("listed", lambda x: x["k"] == k), lambda x: x["v"])
+    names = F.array_distinct(F.transform("listed", lambda x: x["k"]))
+    facts = F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), F.when(adds(k), F.array_join(of(k), ", ")).otherwise(F.array_join(of(k), " | ")).alias("value"))))
+    conflicts = F.filter(names, lambda k: ~adds(k) & (F.size(of(k)) > 1))
+    return things.select("job", "parent", "name", "keyed", "place", "price", "primary", "members", facts.alias("attributes"), conflicts.alias("conflicts")).withColumnRenamed("job", job)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orderloom.operators import items
 from orderloom.sources.tables import table
 
+#: lines of orders that a task takes
+LINES = 2**17
 # lines of documents with their details, the tags and the attributes that they must get; parts stand in for the items that print them
 CASES = [
     ("Base Fan with motor, mounted", [], "BASE FAN", ""),
@@ -110,8 +114,11 @@ def item_review(spark, sf):
 
 
 def item_hierarchy(spark, sf):
-    """Lines of orders as items: motors, dampers on a control, actuators with two owners, and others."""
-    l = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("place"))
+    """Lines of orders as items: motors, dampers on a control, actuators with two owners, and others. Lines are dealt by their orders,
+    once for all that follows, over as many tasks as keep what each sorts and groups in its memory."""
+    lines = table(spark, sf, "lineitem")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines.count() / LINES))
+    l = lines.repartition(tasks, "l_orderkey").groupBy(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("place"))
     l = l.agg(F.min("l_partkey").alias("k"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price"), F.min("l_returnflag").alias("colour"), F.min("l_linestatus").alias("feature"))
     kind = (F.col("k") % 4).cast("int")
     own = F.get(F.array(*(F.create_map(*map(F.lit, m)).cast("map<string,string>") for m in (["component", "Motor"], ["component", "damper", "used_on", "ivc"], ["component", "actuator", "used_on", "IVC, Damper"], ["x_review", "unknown"]))), kind)

@@ -1,6 +1,7 @@
 """What costs grow with, read off the plans: work once for each distinct text or part, and no table that grows sent to all tasks."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from test_catalog import SF
 
 from orderloom.functions import text
 from orderloom.operators import documents, nearest
-from orderloom.plans import catalog, texts
+from orderloom.plans import catalog, items, texts
 from orderloom.sources import sinks, steps
 
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -92,3 +93,11 @@ def test_nearest_orders_work_on_what_differs(spark, monkeypatch):
     assert one["nearest-components"] == once.select(F.explode("o.components").alias("c")).select(F.to_json(F.struct("c"))).distinct().count()
     assert two["nearest-orders"] == 2 * one["nearest-orders"] and all(two[k] == one[k] for k in ("nearest-components", "nearest-whole", "nearest-classes", "nearest-core_id", "nearest-slots_id"))
     assert all(two[k] <= one[k] for k in ("nearest-blocks", "nearest-first", "nearest-rest"))
+
+
+@tables
+def test_hierarchy_moves_items_once(spark, monkeypatch):
+    """And over more tasks, where they are more."""
+    monkeypatch.setattr(items, "LINES", 500)
+    got = plan(catalog.queries()["item_hierarchy"](spark, SF))
+    assert got.count("Exchange hashpartitioning") == 1 and "Join" not in got and re.search(r"Exchange hashpartitioning\(l_orderkey#\d+L?, 1[0-9]\)", got)
