@@ -95,6 +95,22 @@ def test_nearest_orders_work_on_what_differs(spark, monkeypatch):
     assert all(two[k] <= one[k] for k in ("nearest-blocks", "nearest-first", "nearest-rest"))
 
 
+@tables
+def test_pairs_of_orders_are_compared_once(spark, monkeypatch):
+    """And pairs of blocks are not shuffled to learn the bar of a block."""
+    plans = {}
+
+    def kept(df, label):
+        plans[label] = plan(df)
+        return steps.stored(df, label)
+
+    monkeypatch.setattr(nearest, "stored", kept)
+    orders = texts.whole_orders(spark, os.path.join(os.path.dirname(SF), "sf0.001"))
+    assert nearest.nearest(orders, F.col("job") % 50 == 0).count() > 0
+    assert plans["nearest-first"].count("arrays_overlap(") == plans["nearest-rest"].count("arrays_overlap(") == 1
+    assert "SortMergeJoin [from_block" not in plans["nearest-blocks"]
+
+
 @tables
 def test_hierarchy_moves_items_once(spark, monkeypatch):
     """And over more tasks, where they are more."""
