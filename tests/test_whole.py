@@ -51,3 +51,9 @@ def test_events_of_a_hot_inquiry_and_a_full_day(spark, tmp_path):
     n = max(map(len, want.values()))
     wide = rollups.numbered_columns(events, ["user_id", "day"], "event_id", "event_type", "field_", n)
     assert {(r.user_id, r.day): list(r[2:]) for r in wide.collect()} == {k: v + [None] * (n - len(v)) for k, v in want.items()}
+
+
+def test_shortlist_of_all_orders(spark):
+    """No order is left out before the best are taken, and what is rare is so among all orders."""
+    best = sorted(((r.score, r.job, r.shared) for r in catalog.queries()["similar_orders"](spark, SF).collect() if r.score >= 0.001), reverse=True)[:3]
+    assert len(best) == 3 and [(r.score, r.job, r.shared) for r in catalog.queries()["reuse_shortlist"](spark, SF).collect()] == best
