@@ -111,6 +111,19 @@ def test_pairs_of_orders_are_compared_once(spark, monkeypatch):
     assert "SortMergeJoin [from_block" not in plans["nearest-blocks"]
 
 
+def test_orders_are_paired_where_they_lie(spark, tmp_path):
+    """Over the ends of ranges, below zero, with orders twice, without lines, and without a number; nothing is shuffled for it."""
+    jobs = [-65, -64, -1, 0, 62, 63, 64, 64, 65, 200, None]
+    spark.createDataFrame([(j, i, "O", "1-URGENT") for i, j in enumerate(jobs)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(j, n, 2 + n % 2, 3.0 * n) for j in {-65, -64, 0, 63, 64, None} for n in (1, 2)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(2, "b", "PROMO", 30), (3, "c", "SMALL", None)], "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = catalog.queries()["order_likeness"](spark, str(tmp_path))
+    assert "Exchange" not in plan(found)
+    got = sorted((r.job, r.focused is not None, r.shared) for r in found.collect())
+    assert [(j, f) for j, f, _ in got] == [(-65, True), (-1, False), (62, False), (63, True), (63, True), (64, False), (64, False)]
+    assert all(s >= 2 for _, _, s in got)
+
+
 @tables
 def test_hierarchy_moves_items_once(spark, monkeypatch):
     """And over more tasks, where they are more."""
